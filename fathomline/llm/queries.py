@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import minhash, packing
+from fathomline.llm import minhash, packing, quality_mil, toxicity
 from fathomline.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, shingle=4, similarity=0.8)
 
 
+def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
+
+
+def op8_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.7)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(table(spark, sf_dir, "documents"), packing.vocabulary(), 4096, 1)
 
 
 QUERIES: dict[str, Query] = {
+    "op5_toxicity_cnn": op5_toxicity_cnn,
+    "op8_quality_mil": op8_quality_mil,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
