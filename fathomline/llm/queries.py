@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import minhash, packing, quality_mil, toxicity
+from fathomline.llm import minhash, packing, quality_mil, toxicity, url_filter, warc_shards
 from fathomline.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, shingle=4, similarity=0.8)
 
 
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op1_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
 
+def op7_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_shards.round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+
+
 def op8_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.7)
 
@@ -31,7 +42,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_markov_ratio": op1_url_markov_ratio,
     "op5_toxicity_cnn": op5_toxicity_cnn,
+    "op7_warc_shards": op7_warc_shards,
     "op8_quality_mil": op8_quality_mil,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
