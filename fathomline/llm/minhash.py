@@ -7,9 +7,11 @@ and only the lowest ``BITS`` bits of each are kept, packed into 64-bit words. Ca
 in a bucket, are screened by the collision-corrected estimate from the packed words, and are
 confirmed on full shingle sets, so every link found is exact.
 
-Candidate pairs never cover a bucket: each member first meets the bucket's smallest member only.
-Members that confirmation left in different components of one bucket are then compared with each
-other, by a join in small buckets and in numpy blocks that emit only plausible pairs in large ones.
+Candidate pairs never cover a bucket: each member first meets one member of each of its buckets,
+chosen by a hash of member and bucket, so a member has up to ``bands`` different partners. Members
+that confirmation left in different components of one bucket are then compared with each other: by
+a join in small buckets, and in large ones by numpy blocks that hold the full sets, confirm on the
+spot and emit only links that connect two components.
 
 Edge cases. Null and empty texts: no shingles, own component. Null id: kept, component null.
 Repeated rows: same id, hence same component. Ties: the smallest id represents. Extra columns are
@@ -36,8 +38,10 @@ BANDS = 24
 ROWS = 4
 _LANES = 32  # minima a 64-bit word holds at two bits each
 _PAIR_MASK = 0x5555555555555555
-BLOCK = 1024
+BLOCK = 512
 SMALL_BUCKET = 48
+#: Size of the bit table that names the texts whose sets are needed.
+LOG_CELLS = 22
 
 _SIGNED = T.StructType(
     [
@@ -140,9 +144,14 @@ def _sign(width: int, bands: int, rows: int):
     return run
 
 
-def _gather(width: int):
+def _gather(width: int, wanted):
+    """Shingle sets of the rows whose cell is marked; all others pass by untouched."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = wanted.value
         for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            batch = batch.filter(pa.array((marks[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
             for chunk in C.text_chunks(batch.column("text")):
                 gram, edge = shingle_sets(chunk, width)
                 yield pa.RecordBatch.from_arrays(
@@ -170,26 +179,39 @@ def _mismatches(a: str, b: str, words: int):
     return total
 
 
-def _block_compare(most: int):
-    """Plausible pairs of one block pair of a bucket, between components only."""
+def _block_compare(most: int, percent: int):
+    """Links between components that one block pair of a bucket holds, enough to join them."""
     mask, lanes = np.uint64(_PAIR_MASK), np.uint64(1)
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
-        comp = table.column("comp").to_numpy()
         side = table.column("side").to_numpy()
         one = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
         sig = np.array(table.column("sig").to_pylist(), dtype=np.int64).view(np.uint64)
+        grams = table.column("grams").combine_chunks()
+        flat, cut = grams.flatten().to_numpy(), grams.offsets.to_numpy() - grams.offsets[0].as_py()
+        size = np.diff(cut)
+        _, comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)
         left = np.arange(len(ids)) if one else np.flatnonzero(side == 0)
         right = np.arange(len(ids)) if one else np.flatnonzero(side == 1)
-        found = [np.zeros((0, 2), np.int64)]
+        found = []
         for i in left:
             x = sig[right] ^ sig[i]
             far = np.bitwise_count((x | (x >> lanes)) & mask).sum(1)
             hit = right[(far <= most) & (comp[right] != comp[i])]
-            if len(hit):
-                found.append(np.stack([np.minimum(ids[i], ids[hit]), np.maximum(ids[i], ids[hit])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
+            if not len(hit):
+                continue
+            own = flat[cut[i] : cut[i + 1]]
+            n = size[hit]
+            edge = np.concatenate([[0], np.cumsum(n)])
+            at = np.arange(edge[-1]) + np.repeat(cut[hit] - edge[:-1], n)
+            near = np.minimum(np.searchsorted(own, flat[at]), len(own) - 1)
+            both = np.add.reduceat((own[near] == flat[at]).astype(np.int64), edge[:-1])
+            for j in hit[both * 100 >= (len(own) + n - both) * percent]:
+                if comp[i] != comp[j]:
+                    comp[comp == comp[j]] = comp[i]
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
@@ -225,19 +247,28 @@ def near_duplicates(
     leaders = materialise(leaders.withColumnRenamed("id", "rep"), "minhash-leaders")
 
     member = leaders.select("rep", F.explode("keys").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    heads = member.groupBy("bucket").agg(
+        F.min_by("rep", F.xxhash64("rep", "bucket")).alias("head"), F.count(F.lit(1)).alias("size")
+    ).filter("size > 1")
     placed = materialise(member.join(heads, "bucket"), "minhash-buckets")
 
     words = -(-bands * rows // _LANES)
     low, most = estimate_floor(similarity, bands * rows)
     sigs = leaders.select("rep", "sig")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Shingle sets of the texts with these ids, and of few others: a bit table picks them in the scan."""
+        marks = np.zeros(1 << (LOG_CELLS - 3), np.uint8)
+        cells = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << LOG_CELLS)).cast("int").alias("cell")).distinct().toArrow()
+        cell = cells.column("cell").to_numpy()
+        np.bitwise_or.at(marks, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
+        texts = own.filter("id is not null").withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(1 << LOG_CELLS)).cast("int"))
+        return materialise(texts.mapInArrow(_gather(shingle, spark.sparkContext.broadcast(marks)), _SETS), "minhash-grams")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough. Sets are built for the pairs' texts only."""
         pairs = materialise(pairs, "minhash-pairs")
-        named = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
-        texts = own.join(named, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
-        sets = materialise(texts.mapInArrow(_gather(shingle), _SETS), "minhash-grams")
+        sets = sets_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))))
         both = (
             pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
@@ -256,7 +287,7 @@ def near_duplicates(
             .select("a", "b")
         )
 
-    star = placed.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    star = placed.filter("rep <> head").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
     links = confirmed(screened(star))
     first = components(links)
 
@@ -278,19 +309,24 @@ def near_duplicates(
         .filter(_mismatches("sa", "sb", words) <= most)
         .select("a", "b")
     )
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = (
-        rest.filter(F.col("size") > small_bucket)
-        .withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            "bucket", "rep", "comp", "sig",
-            F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"),
-        )
-    )
-    far = large.groupBy("bucket", "bi", "bj").applyInArrow(_block_compare(most), "a bigint, b bigint")
-    more = confirmed(near.unionAll(far).distinct())
+    big = rest.filter(F.col("size") > small_bucket)
+    far = spark.createDataFrame([], "a bigint, b bigint")
+    if not big.isEmpty():
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        sets = sets_of(big.select(F.col("rep").alias("id")))
+        large = (
+            big.join(sets.withColumnRenamed("id", "rep"), "rep")
+            .withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select(
+                "bucket", "rep", "comp", "sig", "grams",
+                F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
+                (F.col("own") > F.col("other")).cast("int").alias("side"),
+            )
+        )
+        far = large.groupBy("bucket", "bi", "bj").applyInArrow(_block_compare(most, percent), "a bigint, b bigint")
+        far = materialise(far.distinct(), "minhash-far")
+    more = confirmed(near.distinct()).unionAll(far)
     label = materialise(components(links.unionAll(more)), "minhash-components")
     return (
         copies.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
