@@ -189,7 +189,7 @@ def _block_compare(most: int, percent: int):
         one = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
         sig = np.array(table.column("sig").to_pylist(), dtype=np.int64).view(np.uint64)
         grams = table.column("grams").combine_chunks()
-        flat, cut = grams.flatten().to_numpy(), grams.offsets.to_numpy() - grams.offsets[0].as_py()
+        flat, cut = grams.flatten().to_numpy().view(np.uint64), grams.offsets.to_numpy() - grams.offsets[0].as_py()
         size = np.diff(cut)
         _, comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)
         left = np.arange(len(ids)) if one else np.flatnonzero(side == 0)
