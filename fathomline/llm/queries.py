@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontam, minhash, packing, quality_mil, toxicity, url_filter, warc_shards
+from fathomline.llm import decontam, embed_dedup, minhash, packing, quality_mil, toxicity, url_filter, warc_shards
 from fathomline.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op1_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op3_embedding_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_markov_ratio": op1_url_markov_ratio,
+    "op3_embedding_pca_tiles": op3_embedding_pca_tiles,
     "op4_template_decontamination": op4_template_decontamination,
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op7_warc_shards": op7_warc_shards,
