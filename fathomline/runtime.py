@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
     The files outlive any executor, so a later stage that is retried rereads them instead of
@@ -49,7 +49,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
