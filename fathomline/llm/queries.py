@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontam, embed_dedup, minhash, packing, quality_mil, toxicity, url_filter, warc_shards
+from fathomline.llm import decontam, embed_dedup, lm_mixing, minhash, packing, quality_mil, toxicity, url_filter, warc_shards
 from fathomline.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.mixing_scores(table(spark, sf_dir, "documents"), folds=5, held=1)
+
+
 def op7_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_shards.round_trip(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op3_embedding_pca_tiles": op3_embedding_pca_tiles,
     "op4_template_decontamination": op4_template_decontamination,
     "op5_toxicity_cnn": op5_toxicity_cnn,
+    "op6_context_mixing": op6_context_mixing,
     "op7_warc_shards": op7_warc_shards,
     "op8_quality_mil": op8_quality_mil,
     "op9_best_fit_packing": op9_best_fit_packing,
