@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import minhash
+from fathomline.llm import decontam, minhash, packing, quality_mil, toxicity
 from fathomline.runtime import materialise, table
 
 STAGES = [
+    ("toxicity_cnn", toxicity.stage),
+    ("quality_mil", quality_mil.stage),
     ("minhash_near_dedup", minhash.stage),
+    ("template_decontamination", decontam.stage),
+    ("best_fit_packing", packing.stage),
 ]
 
 #: Trained models and tokenised sequences are beyond SQL; tests use brute force instead.

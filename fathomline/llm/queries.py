@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontam, embed_dedup, lm_mixing, minhash, packing, quality_mil, toxicity, url_filter, warc_shards
+from fathomline.llm import (
+    decontam, embed_dedup, html_layout, lm_mixing, minhash, packing, quality_mil, toxicity, url_filter, warc_shards,
+)
 from fathomline.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +27,14 @@ def op1_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_layout.visible_text(table(spark, sf_dir, "pages"))
+    return texts.select(
+        "page_id", "text", F.length("text").cast("bigint").alias("n_chars"),
+        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
+    )
+
+
 def op3_embedding_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -55,6 +65,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_markov_ratio": op1_url_markov_ratio,
+    "op2_html_layout": op2_html_layout,
     "op3_embedding_pca_tiles": op3_embedding_pca_tiles,
     "op4_template_decontamination": op4_template_decontamination,
     "op5_toxicity_cnn": op5_toxicity_cnn,
