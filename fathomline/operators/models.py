@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -174,15 +175,26 @@ def kriging_cv(rows: DataFrame, edges: list[float]) -> DataFrame:
 
 
 def kriging_surface(train: DataFrame, cells: DataFrame, edges: list[float]) -> DataFrame:
-    """Adds prediction and sd to cells (with lon, lat). The system is fitted once and broadcast; its size is checked."""
+    """Adds prediction and sd to cells (with lon, lat). One task fits the system, whose size is checked; all use it."""
     spark = cells.sparkSession
     ship(spark)
-    got = train.select("id", "lon", "lat", "y").limit(MOST_POINTS + 1).toPandas().sort_values("id")
-    model = spark.sparkContext.broadcast(Kriging(got[["lon", "lat"]].to_numpy(), got["y"].to_numpy(), np.array(edges)))
+    grid = np.array(edges)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        made = Kriging(frame[["lon", "lat"]].to_numpy(), frame["y"].to_numpy(), grid)
+        return pd.DataFrame({"model": [pickle.dumps(made)]})
+
+    points = train.select("id", "lon", "lat", "y").limit(MOST_POINTS + 1)  # one more than fits, so that too many are refused
+    row = points.groupBy(F.lit(1).alias("all")).applyInPandas(fit, "model binary").first()
+    if row is None:
+        raise ValueError("0 points; three are needed")
+    model = spark.sparkContext.broadcast(bytes(row["model"]))
 
     def run(frames):
+        fitted = pickle.loads(model.value)
         for frame in frames:
-            p, sd = model.value.predict(frame[["lon", "lat"]].to_numpy()) if len(frame) else (np.zeros(0), np.zeros(0))
+            p, sd = fitted.predict(frame[["lon", "lat"]].to_numpy()) if len(frame) else (np.zeros(0), np.zeros(0))
             yield frame.assign(prediction=p, sd=sd)
 
     kinds = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
