@@ -49,8 +49,11 @@ def _moments(dim: int):
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Unit vectors as rows."""
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=True).reshape(-1, dim)
+    if not len(x):
+        return x
+    x /= np.abs(x).max(1, keepdims=True)  # so that squares of very large or small components stay finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _project(axes, width: float, dim: int):

@@ -41,7 +41,7 @@ from fathomline.runtime import materialise, ship, shuffle_width
 CAPACITY = 4096
 END_ID = 1
 #: Words a worker remembers before it starts afresh.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 500_000
 
 _PIECES = T.StructType(
     [
