@@ -136,11 +136,15 @@ def _write(uri: str, roll: int):
         from pyspark import TaskContext
 
         files = _Roller(uri, TaskContext.get().partitionId(), roll)
-        last, nth = None, 0
+        last, nth, target = None, 0, None
         for batch in batches:
-            for page_id, url, html, sha, target in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha", "target")), strict=True):
-                nth = nth + 1 if (page_id, sha) == last else 0
-                last = (page_id, sha)
+            for page_id, url, html, sha, keeper in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha", "target")), strict=True):
+                if html is None:  # stands before its pages: the page that holds their payload
+                    last, nth, target = (page_id, sha), -1, keeper
+                    continue
+                if (page_id, sha) != last:
+                    last, nth, target = (page_id, sha), -1, None
+                nth += 1
                 refers = None if page_id is None or target is None or (target == page_id and not nth) else target
                 files.add(_record(page_id, url, html, _b32(sha), nth, refers))
         files.close()
@@ -170,11 +174,16 @@ def write_archives(
         .filter("times > 1 and target is not null")
         .select("seen", "target")
     )
-    linked = own.join(keepers, own["sha"] == keepers["seen"], "left").drop("seen")
+    # payloads are shuffled once: which page to refer to travels as a row of its own to the same place
+    refer = own.filter("page_id is not null").select("page_id", "sha").join(keepers, F.col("sha") == F.col("seen")).distinct()
+    null = F.lit(None)
+    laid = own.withColumn("target", null.cast("bigint")).unionByName(
+        refer.select("page_id", null.cast("string").alias("url"), null.cast("binary").alias("html"), "sha", "target")
+    )
     n = ranges or shuffle_width(spark)
     files = (
-        linked.repartitionByRange(n, "page_id", "sha")
-        .sortWithinPartitions("page_id", "sha", "url")
+        laid.repartitionByRange(n, "page_id", "sha")
+        .sortWithinPartitions("page_id", "sha", F.col("html").isNotNull(), "url")
         .mapInArrow(_write(uri, roll_bytes), _FILES)
         .collect()
     )
