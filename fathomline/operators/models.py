@@ -115,7 +115,7 @@ def fit_bins(lag: np.ndarray, g: np.ndarray, w: np.ndarray) -> tuple[float, floa
 class Kriging:
     """Ordinary kriging of one training set. A failed fit raises and leaves nothing behind."""
 
-    def __init__(self, xy: np.ndarray, y: np.ndarray, edges: np.ndarray):
+    def __init__(self, xy: np.ndarray, y: np.ndarray, edges: np.ndarray, min_pairs: int = MIN_PAIRS):
         if len(y) < 3:
             raise ValueError(f"{len(y)} points; three are needed")
         if len(y) > MOST_POINTS:
@@ -126,9 +126,9 @@ class Kriging:
         i, j = np.triu_indices(len(y), 1)
         lag, half = h[i, j], 0.5 * (y[i] - y[j]) ** 2
         k = np.digitize(lag, edges) - 1
-        bins = [(lag[k == b].mean(), half[k == b].mean(), float((k == b).sum())) for b in range(len(edges) - 1) if (k == b).sum() >= MIN_PAIRS]
+        bins = [(lag[k == b].mean(), half[k == b].mean(), float((k == b).sum())) for b in range(len(edges) - 1) if (k == b).sum() >= min_pairs]
         if len(bins) < 3:
-            raise ValueError(f"{len(bins)} lag bin(s) with {MIN_PAIRS} pairs; three are needed")
+            raise ValueError(f"{len(bins)} lag bin(s) with {min_pairs} pairs; three are needed")
         self.model = fit_bins(*np.array(bins).T)
         system = np.ones((len(y) + 1, len(y) + 1))
         system[:-1, :-1] = gamma(h, *self.model)
@@ -149,7 +149,7 @@ class Kriging:
         return weight[:-1].T @ self.y, np.sqrt(np.maximum(0, var))
 
 
-def kriging_cv(rows: DataFrame, edges: list[float]) -> DataFrame:
+def kriging_cv(rows: DataFrame, edges: list[float], min_pairs: int = MIN_PAIRS) -> DataFrame:
     """(fold, id, y, prediction, sd, refusal) of (id, lon, lat, y, label): each fold kriged from the others.
 
     Training rows are laid out by fold through an equi-join on a table of folds, so each fold is one
@@ -163,7 +163,7 @@ def kriging_cv(rows: DataFrame, edges: list[float]) -> DataFrame:
         train = frame[frame["label"] != frame["fold"]]
         out = pd.DataFrame({"fold": test["fold"], "id": test["id"], "y": test["y"], "prediction": np.nan, "sd": np.nan, "refusal": None})
         try:
-            model = Kriging(train[["lon", "lat"]].to_numpy(), train["y"].to_numpy(), grid)
+            model = Kriging(train[["lon", "lat"]].to_numpy(), train["y"].to_numpy(), grid, min_pairs)
             out["prediction"], out["sd"] = model.predict(test[["lon", "lat"]].to_numpy())
         except ValueError as e:
             out["refusal"] = str(e)
@@ -174,7 +174,7 @@ def kriging_cv(rows: DataFrame, edges: list[float]) -> DataFrame:
     return dealt.groupBy("fold").applyInPandas(one, "fold int, id bigint, y double, prediction double, sd double, refusal string")
 
 
-def kriging_surface(train: DataFrame, cells: DataFrame, edges: list[float]) -> DataFrame:
+def kriging_surface(train: DataFrame, cells: DataFrame, edges: list[float], min_pairs: int = MIN_PAIRS) -> DataFrame:
     """Adds prediction and sd to cells (with lon, lat). One task fits the system, whose size is checked; all use it."""
     spark = cells.sparkSession
     ship(spark)
@@ -182,7 +182,7 @@ def kriging_surface(train: DataFrame, cells: DataFrame, edges: list[float]) -> D
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        made = Kriging(frame[["lon", "lat"]].to_numpy(), frame["y"].to_numpy(), grid)
+        made = Kriging(frame[["lon", "lat"]].to_numpy(), frame["y"].to_numpy(), grid, min_pairs)
         return pd.DataFrame({"model": [pickle.dumps(made)]})
 
     points = train.select("id", "lon", "lat", "y").limit(MOST_POINTS + 1)  # one more than fits, so that too many are refused

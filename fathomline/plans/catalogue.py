@@ -543,7 +543,7 @@ def kriging_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kriging_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = view(spark, sf_dir, "cell").select("i", "j", (F.lit(-125.0) + F.col("j") * 0.04).alias("lon"), (F.lit(10.0) + (F.col("i") % 50) * 0.04).alias("lat"))
-    return models.kriging_surface(view(spark, sf_dir, "outpost"), cells, [float(e) for e in range(0, 320, 20)])
+    return models.kriging_surface(view(spark, sf_dir, "outpost"), cells, [float(e) for e in range(0, 360, 60)], min_pairs=4)
 
 
 @query()
