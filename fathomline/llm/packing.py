@@ -24,16 +24,21 @@ Extra columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from fathomline.llm import common as C
 from fathomline.runtime import materialise, ship, shuffle_width
@@ -67,27 +72,17 @@ class WordTokenizer:
     _PART = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.slow = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self._fast = self._table = None
-        try:
-            self._prepare(path)
-        except (ImportError, KeyError, ValueError):
-            self._fast = None
-
-    def _prepare(self, path: str) -> None:
-        import json
-
-        import regex
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>":
-            raise ValueError("not a word-end BPE")
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        known = any(step.get("pattern", {}).get("Regex") == self._PART for step in steps)
+        if known and spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>":
+            self._prepare(spec["model"])
+
+    def _prepare(self, model: dict) -> None:
         vocab = model["vocab"]
         # byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -361,8 +356,6 @@ def packed_sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
     return public_tokenizers.path(name)
 
 
