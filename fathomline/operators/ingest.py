@@ -22,6 +22,7 @@ GRADES = ("A", "B", "C")
 STATUSES = ("pending", "pass", "fail", "flagged")
 READY_UNITS = ("kg_m2", "kg/m2")
 
+#: Derivation formulas.
 _ALREADY = "abundance_kg_m2 = abundance_value_original (already kg/m2)"
 _DIVIDED = "abundance_kg_m2 = nodule_mass_kg / sampled_area_m2"
 _COUNTED = "abundance_kg_m2 = nodule_density_m2 * mean_nodule_mass_g / 1000 (count->mass is an assumption; see quality_grade)"
