@@ -147,43 +147,38 @@ class WordTokenizer:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path)
+        tok = WordTokenizer(path)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
-        for batch in batches:
-            for chunk in C.text_chunks(batch.column("text"), 4 << 20):
-                raw = chunk.data.tobytes()
-                cut = chunk.starts.tolist()
-                texts = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(tok.encode(texts)):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at : at + step]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id")[chunk.rows].take(pa.array(row, pa.int64())),
-                        pa.array(piece, pa.int32()),
-                        *(pa.array(x, pa.int64()) for x in (start, length, crc)),
-                    ],
-                    names=_PIECES.names,
-                )
+        try:
+            for batch in batches:
+                for chunk in C.text_chunks(batch.column("text"), 4 << 20):
+                    raw = chunk.data.tobytes()
+                    cut = chunk.starts.tolist()
+                    texts = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+                    row, piece, start, length, crc = [], [], [], [], []
+                    for i, ids in enumerate(tok.encode(texts)):
+                        ids += end
+                        for k, at in enumerate(range(0, len(ids), step)):
+                            part = ids[at : at + step]
+                            row.append(i)
+                            piece.append(k)
+                            start.append(at // 4)
+                            length.append(len(part) // 4)
+                            crc.append(zlib.crc32(part))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("doc_id")[chunk.rows].take(pa.array(row, pa.int64())),
+                            pa.array(piece, pa.int32()),
+                            *(pa.array(x, pa.int64()) for x in (start, length, crc)),
+                        ],
+                        names=_PIECES.names,
+                    )
+        finally:  # workers live on: what a task remembers goes with it
+            del tok
+            C.give_back()
 
     return run
 
