@@ -46,7 +46,7 @@ from fathomline.runtime import materialise, ship, shuffle_width
 CAPACITY = 4096
 END_ID = 1
 #: Words a worker remembers before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 _PIECES = T.StructType(
     [
@@ -154,7 +154,7 @@ def _cut(path: str, capacity: int, end_id: int):
         step = 4 * capacity
         try:
             for batch in batches:
-                for chunk in C.text_chunks(batch.column("text"), 4 << 20):
+                for chunk in C.text_chunks(batch.column("text")):
                     raw = chunk.data.tobytes()
                     cut = chunk.starts.tolist()
                     texts = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
