@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.geodesy import haversine_km
+from fathomline.functions.geodesy import EARTH_KM, haversine_km
 from fathomline.operators.graph import components
+from fathomline.runtime import materialise
 
 
 def band_join(left: DataFrame, right: DataFrame, bands: dict[str, float], equal: list[str] = ()) -> DataFrame:
@@ -74,6 +75,44 @@ def close_pairs(points: DataFrame, km: float) -> DataFrame:
     )
 
 
+def nearest_other(points: DataFrame, label: str, reach: float, within: str | None = None, tiles: int = 16) -> DataFrame:
+    """(within, label, km, a, b): for every label the least (km, a, b) of a row of its own and one of another label, however far.
+
+    Pairs come from band joins. Labels that met no other within ``reach`` km go on with twice the reach,
+    dealt over tiles, up to half the globe; bands go around the date line. Labels with no other one in their
+    ``within`` are left out, rows without a label or a place are ignored.
+    """
+    group = F.col(within) if within else F.lit("")
+    own = points.select("id", "lon", "lat", F.col(label).alias("label"), group.alias("within"))
+    own = materialise(own.filter("label is not null and not isnan(coalesce(lon + lat, double('nan')))"), "nearest-points")
+    kinds = own.select("within", "label").distinct()
+    several = kinds.groupBy("within").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    left = materialise(kinds.join(several, "within", "left_semi"), "nearest-left")
+    edge = own.agg(F.max(F.abs("lat")).alias("top"), F.min("lon").alias("west"), F.max("lon").alias("east")).first()
+    found, dealt, last = [], 1, False
+    while left.count():
+        last = reach >= math.pi * EARTH_KM
+        degree = math.degrees(reach / EARTH_KM) * (1 + 1e-9)
+        wide = min(360.0, degree / max(1e-6, math.cos(math.radians(min(89.999, edge["top"] + degree)))))
+        asked = own.join(left, ["within", "label"], "left_semi").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
+        around = own.withColumn("lon", F.explode(F.array(*(F.col("lon") + F.lit(t) for t in (-360.0, 0.0, 360.0)))))
+        around = around.filter(F.col("lon").between(edge["west"] - wide, edge["east"] + wide)).withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(dealt)).cast("int"))
+        met = band_join(asked, around, {"lat": degree, "lon": wide}, ["within", "tile"]).filter("l_label <> r_label")
+        km = haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"))
+        met = met.select(F.col("l_within").alias("within"), F.col("l_label").alias("label"), km.alias("km"), F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
+        if not last:
+            met = met.filter(F.col("km") <= reach)
+        best = met.groupBy("within", "label").agg(F.min(F.struct("km", "a", "b")).alias("m")).select("within", "label", "m.km", "m.a", "m.b")
+        found.append(materialise(best, "nearest-found"))
+        if last:
+            break
+        left = materialise(left.join(found[-1], ["within", "label"], "left_anti"), "nearest-left")
+        reach, dealt = 2 * reach, tiles
+    if not found:
+        return own.select("within", "label", F.lit(0.0).alias("km"), F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return reduce(DataFrame.unionAll, found)
+
+
 def single_linkage(points: DataFrame, km: float) -> DataFrame:
     """(id, cluster): the smallest id linked to each point by steps of at most ``km``."""
     label = components(close_pairs(points, km))

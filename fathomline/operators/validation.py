@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.operators.geo import close_pairs
+from fathomline.operators.geo import close_pairs, nearest_other
 from fathomline.operators.merge import running_order
 
 
@@ -29,6 +29,15 @@ def fold_separation(points: DataFrame, label: str, reach: float) -> DataFrame:
     return named.groupBy("fold").agg(F.count(F.lit(1)).alias("test_rows")).join(near, "fold", "left")
 
 
+def fold_distance(points: DataFrame, label: str, reach: float) -> DataFrame:
+    """Smallest distance between a fold's test rows and its training rows, however far; null only without a training row.
+
+    ``reach`` km is where the search begins, no bound.
+    """
+    near = nearest_other(points, label, reach).select(F.col("label").alias("fold"), F.col("km").alias("min_km"))
+    return points.groupBy(F.col(label).alias("fold")).agg(F.count(F.lit(1)).alias("test_rows")).join(near, "fold", "left")
+
+
 def mean_baseline(rows: DataFrame, label: str = "label", y: str = "y") -> DataFrame:
     """Leave-fold-out mean and sample deviation: totals less the fold's sums, so one aggregate fits all folds."""
     centre = rows.agg(F.avg(y).alias("m")).first()["m"] or 0.0

@@ -446,6 +446,13 @@ def fold_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.fold_separation(view(spark, sf_dir, "outpost"), "site", 30.0).select("fold", "test_rows", r6("min_km"))
 
 
+@query(f"""{_OUT}, near as (select fold, min(km) as km from (select sa as fold, km from pairs where sa <> sb union all
+  select sb, km from pairs where sa <> sb) group by fold)
+select site as fold, count(*) as test_rows, round(any_value(km), 6) as min_km from o left join near on site = fold group by site""")
+def fold_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.fold_distance(view(spark, sf_dir, "outpost"), "site", 30.0).select("fold", "test_rows", r6("min_km"))
+
+
 _BASE = f"""(select f.site as fold, s.id, s.y, m.prediction, m.sd from {sql('station')} s join (
   select t.site, avg(y) as prediction, stddev_samp(y) as sd from (select distinct site from {sql('station')}) t join {sql('station')} u on u.site <> t.site group by t.site
 ) m on s.site = m.site join (select distinct site from {sql('station')}) f on f.site = s.site)"""

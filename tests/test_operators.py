@@ -301,3 +301,17 @@ def test_csv_reads_nan_as_null(spark, tmp_path):
     f.write_text("a,b\n1.5,NaN\n,2\n")
     got = [tuple(r) for r in readers.read_csv(spark, str(f), "a double, b double").collect()]
     assert got == [(1.5, None), (None, 2.0)]
+
+
+def test_fold_distance_has_no_bound(spark):
+    # b and c are nearest across the date line, d is far from all
+    rows = [(1, 0.0, 0.0, "a"), (2, 0.1, 0.0, "a"), (3, 179.0, 50.0, "b"), (4, -179.0, 50.0, "c"), (5, -10.0, -89.0, "d"), (6, 0.1, 0.1, "e"), (7, 30.0, None, "e"), (8, 5.0, 5.0, None)]
+    pts = spark.createDataFrame(rows, "id bigint, lon double, lat double, label string")
+    want = {f: min(
+        (models.great_circle(np.array([[x, y]]), np.array([[u, v]]))[0, 0] for _, x, y, g in rows for _, u, v, h in rows if g == f and None not in (f, h) and f != h and y is not None and v is not None),
+        default=None) for f in ("a", "b", "c", "d", "e", None)}
+    got = {r["fold"]: r for r in validation.fold_distance(pts, "label", 30.0).collect()}
+    assert {f: r["min_km"] for f, r in got.items()} == {f: pytest.approx(d, rel=1e-9) if d is not None else None for f, d in want.items()}
+    assert got["a"]["test_rows"] == 2 and want["d"] > 9000 and want["b"] < 150
+    alone = validation.fold_distance(pts.filter("label = 'a'"), "label", 30.0).collect()
+    assert [tuple(r) for r in alone] == [("a", 2, None)]
