@@ -7,8 +7,9 @@ start of a sentence). A window is ``window`` consecutive template words, or a wh
 is shorter. Windows of items and documents meet by their template's hash; what the placeholders
 stood for is kept as slots.
 
-A match is a document window equal to an item's window in either template. Matches of one document
-and item that lie on one diagonal form a passage. Slots are consistent when one value of the item
+A match is a document window equal to an item's window in either template, or word for word. Matches
+of one document and item that lie on one diagonal form a passage; those word for word form one of their
+own, which has no slots and always counts. Slots are consistent when one value of the item
 never maps to two values of the document within a passage, so a re-parameterised question is
 caught, and a chance meeting of placeholders is not. An item occurs when the words that consistent
 passages cover reach ``coverage`` of it, so an inserted or lost word does not hide it.
@@ -19,8 +20,9 @@ bound, and shuffled otherwise.
 
 Edge cases. Null and empty texts and items match nothing; null ids are ignored in items and kept
 as null in documents' windows, which match nothing. Repeated rows give one result row per
-(doc_id, item_id). Extra columns are ignored. Empty tables give an empty result. A window must
-hold half literal words at least, or it is no template of a question.
+(doc_id, item_id). Extra columns are ignored. Empty tables give an empty result. A window of
+a template must hold half literal words at least, or it is no template of a question; word for word it
+may hold any, so an item of numbers alone is found by its copy.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def templates(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def _windows(chunk: C.Chunk, widths: list[int], whole: bool):
     """(text, start, width, track, hash, words, slots) of windows; ``whole`` keeps, of widths below the
-    largest, only those that span their text."""
+    largest, only those that span their text. Track 2 is word for word, for windows with slots in track 0."""
     word, plain, named, edge = templates(chunk)
     n = len(word)
     if not n:
@@ -109,10 +111,12 @@ def _windows(chunk: C.Chunk, widths: list[int], whole: bool):
     room = edge[1:][text] - np.arange(n)
     size = np.diff(edge)[text]
     lane = C.seeded(max(widths), 31)
-    for track, template in ((0, plain), (1, named)):
+    salt = np.array([0, 0, 1 << 20], np.uint64)
+    numbers = np.concatenate([[0], np.cumsum(plain != word)])
+    for track, template in ((0, plain), (1, named), (2, word)):
         slot = template != word
         slots = np.concatenate([[0], np.cumsum(slot)])
-        if track and not (named != plain).any():
+        if track == 1 and not (named != plain).any() or track == 2 and not numbers[-1]:
             continue
         changed = np.concatenate([[0], np.cumsum(named != plain)])
         for width in widths:
@@ -120,15 +124,17 @@ def _windows(chunk: C.Chunk, widths: list[int], whole: bool):
             if fit < 1:
                 continue
             ok = (room[:fit] >= width) & (2 * (slots[width:] - slots[:fit]) <= width)
-            if track:  # the same as in the first track without a name
+            if track == 1:  # the same as in the first track without a name
                 ok &= changed[width:] > changed[:fit]
+            elif track == 2:  # and without a number
+                ok &= numbers[width:] > numbers[:fit]
             if whole and width < max(widths):
                 ok &= size[:fit] == width
             h = np.zeros(fit, np.uint64)
             for k in range(width):
                 h = (h + template[k : k + fit]) * (lane[k] | np.uint64(1))
                 h ^= h >> np.uint64(32)
-            yield text, edge, width, track, C.mix(h + np.uint64(width)), ok, word, slot
+            yield text, edge, width, track, C.mix(h + np.uint64(width) + salt[track]), ok, word, slot
 
 
 _ROWS = T.StructType(
@@ -219,7 +225,8 @@ def contaminated(
     one_each = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == F.size("slots")
     runs = (
         hits.filter(one_each)
-        .groupBy("doc_id", "item_id", "item_words", "diagonal")
+        .withColumn("literal", F.explode(F.when(F.size("slots") > 0, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+        .groupBy("doc_id", "item_id", "item_words", "diagonal", "literal")
         .agg(
             F.collect_set(F.struct("item_at", "width")).alias("windows"),
             F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
@@ -227,13 +234,13 @@ def contaminated(
     )
     covered = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1))))
     runs = runs.filter(one_each).select(
-        "doc_id", "item_id", "item_words", F.array_sort(covered).alias("covered"),
+        "doc_id", "item_id", "item_words", "diagonal", F.array_sort(covered).alias("covered"),
         F.exists("slots", lambda s: s["i"] != s["d"]).alias("changed"),
     )
     pairs = runs.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).cast("bigint").alias("matched_words"),
         F.max("item_words").cast("bigint").alias("item_words"),
-        F.count(F.lit(1)).alias("passages"),
+        F.size(F.collect_set("diagonal")).cast("bigint").alias("passages"),
         F.max("changed").alias("reparameterised"),
     )
     return pairs.filter(F.col("matched_words") >= F.ceil(F.col("item_words") * coverage))

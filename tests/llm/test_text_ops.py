@@ -312,3 +312,16 @@ def test_decontamination_odd_rows(spark, odd_docs, tmp_path):
     assert left.columns == odd_docs.columns
     ids = [r["doc_id"] for r in left.select("doc_id").collect()]
     assert 0 not in ids and 6 not in ids and None in ids and len(ids) == odd_docs.count() - 4
+
+
+
+def test_numbers_are_found_word_for_word(spark):
+    items = [(1, "Compute 3.14 * 2.72 + 1.41 - 0.58"), (2, "add 12 34 56"), (3, "If x is 5 and y is 7 then 12 19 31 50 81 131 212 343 come next")]
+    docs = [
+        (10, "Q: Compute 3.14 * 2.72 + 1.41 - 0.58 = ?"), (11, "Compute 3.15 * 2.73 + 1.42 - 0.59"), (12, "so add 12 34 56 up"), (13, "add 12 34 57"),
+        (14, "if x is 5 and y is 7 then 12 19 31 50 81 131 212 343 come next"), (15, "if x is 6 and y is 8 then 13 20 32 51 82 132 213 344 come next"),
+    ]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["matched_words"], r["passages"], r["reparameterised"]) for r in got} == {
+        (10, 1): (9, 1, False), (12, 2): (4, 1, False), (14, 3): (19, 1, False), (15, 3): (12, 1, True),
+    }
