@@ -2,11 +2,12 @@
 
 The tokenizer splits markup into tags, text, comments and raw text elements; the builder closes
 elements that others imply the end of (paragraphs, list items, cells, rows, options), opens table
-rows and bodies that are left out, ignores stray end tags, and closes what is open at the end. It
+rows and bodies that are left out, ends a head at the first thing that
+cannot stand in it, ignores stray end tags, and closes what is open at the end. It
 keeps an explicit stack, so depth is bounded by memory alone.
 
 The renderer walks the tree without recursion. Hidden are scripts, styles, templates, head data
-other than the title, form data lists, elements with the ``hidden`` attribute, ``aria-hidden`` or an
+other than the title, form data lists, unshown parts of drawings and formulas, elements with the ``hidden`` attribute, ``aria-hidden`` or an
 inline ``display:none`` or ``visibility:hidden``. Blocks are set apart by line breaks and paragraphs
 by blank lines; white space runs become one space except in ``pre``; list items get their mark or
 number and the indent of their depth; ``br`` and ``hr`` break lines; images give their ``alt``; table
@@ -32,11 +33,18 @@ from fathomline.runtime import ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
-HIDDEN = frozenset("script style template noscript iframe noembed noframes head meta link datalist object svg math canvas audio video".split())
+HIDDEN = frozenset("script style template noscript iframe noembed noframes head meta link datalist object canvas audio video".split())
+#: What may stand in a head; anything else ends it.
+HEADS = frozenset("head title meta link base basefont bgsound script style template noscript noframes".split())
+#: Parts of drawings and formulas that are not shown.
+UNSEEN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body div section article aside header footer nav main address form fieldset li dt dd tr caption thead tbody tfoot "
-    "figcaption details summary hr title center dir menu legend optgroup option".split()
+    "figcaption details summary hr title center dir menu legend optgroup option text".split()
 )
 #: Opening one of the keys ends an open element of the values, up to a border.
 ENDS = {
@@ -73,10 +81,13 @@ def parse(page: str) -> Node:
     """The tree of a page under one nameless root; text is str, elements are nodes."""
     root = Node("", {})
     stack = [root]
+    drawn = dict.fromkeys(UNSEEN, 0)
     at = 0
 
     def text(raw: str) -> None:
         if raw:
+            if stack[-1].tag == "head" and not raw.isspace():
+                stack.pop()
             stack[-1].children.append(html.unescape(raw))
 
     def close_to(names: tuple[str, ...], borders: tuple[str, ...]) -> None:
@@ -111,6 +122,13 @@ def parse(page: str) -> Node:
                     break  # a stray end tag does not leave its cell
             continue
         attrs = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTR.findall(m["attrs"])} if m["attrs"].strip(" /") else {}
+        if stack[-1].tag == "head" and name not in HEADS:
+            stack.pop()
+        for outer, parts in UNSEEN.items():
+            if name in parts and drawn[outer] and any(n.tag == outer for n in reversed(stack)):
+                attrs["hidden"] = ""
+        if name in drawn:
+            drawn[name] += 1
         if name in ENDS and ENDS[name]:
             close_to(ENDS[name], BORDERS.get(name, ()))
         if name in _ENDS_P:

@@ -314,6 +314,19 @@ def test_decontamination_odd_rows(spark, odd_docs, tmp_path):
     assert 0 not in ids and 6 not in ids and None in ids and len(ids) == odd_docs.count() - 4
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><p>Hello", "T\n\nHello"),
+        ("<head><meta x> \n<title>T</title> Hello <b>you</b>", "T\n\nHello you"),
+        ("<head><script>n</script><link rel=x><style>n</style><div>a</div></head>b", "a\nb"),
+        ("<p>a <svg width=1><title>n</title><defs><text>n</text></defs><text x=1>one</text><text>two</text></svg><p>b", "a\none\ntwo\n\nb"),
+        ("x <math><semantics><mi>y</mi><mo>=</mo><mn>2</mn><annotation>n</annotation></semantics></math> z", "x y=2 z"),
+    ],
+)
+def test_layout_without_body_tags(page, text):
+    assert html_layout.page_text(page) == text
+
 
 def test_numbers_are_found_word_for_word(spark):
     items = [(1, "Compute 3.14 * 2.72 + 1.41 - 0.58"), (2, "add 12 34 56"), (3, "If x is 5 and y is 7 then 12 19 31 50 81 131 212 343 come next")]
