@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.geodesy import EARTH_KM
-from fathomline.runtime import ship
+from fathomline.operators.geo import nearest_other
+from fathomline.operators.graph import components
+from fathomline.runtime import materialise, ship
 
 #: Fitting limits.
 MIN_PAIRS = 30
@@ -201,14 +204,42 @@ def kriging_surface(train: DataFrame, cells: DataFrame, edges: list[float], min_
     return cells.mapInPandas(run, f"{kinds}, prediction double, sd double")
 
 
-def mst_edges(points: DataFrame, group: str) -> DataFrame:
-    """(group, a, b, km): minimum spanning edges within each group of (id, lon, lat); groups are bounded by ``MOST_POINTS``."""
+def _boruvka(points: DataFrame, group: str) -> DataFrame:
+    """Minimum spanning edges of groups of any size: every round joins each component to its nearest other one of the group."""
+    own = points.select("id", "lon", "lat", group, F.to_json(F.struct(F.col(group))).alias("within"))
+    now = materialise(own.withColumn("label", F.to_json(F.struct("within", "id"))), "mst-points")
+    box = now.groupBy("within").agg(F.count(F.lit(1)).alias("n"), ((F.max("lon") - F.min("lon")) * (F.max("lat") - F.min("lat"))).alias("area"))
+    reach = 111.0 * (box.agg(F.max(F.sqrt(F.col("area") / F.col("n"))).alias("step")).first()["step"] or 0.0)  # about the spacing of the points
+    found = []
+    while True:
+        reach = max(reach, 1e-3)
+        # ties go by (km, a, b), so the edges of a round close no ring
+        edges = materialise(nearest_other(now, "label", reach, "within").select("within", "a", "b", "km").distinct(), "mst-edges")
+        if not edges.head(1):
+            break
+        a, b = (now.select(F.col("within").alias(f"w{c}"), F.col("id").alias(f"i{c}"), F.col("label").alias(f"l{c}"), F.col(group).alias(f"g{c}")) for c in "ab")
+        met = edges.join(a, (F.col("within") == F.col("wa")) & (F.col("a") == F.col("ia"))).join(b, (F.col("within") == F.col("wb")) & (F.col("b") == F.col("ib")))
+        met = materialise(met.select(F.col("ga").alias(group), "a", "b", "km", "la", "lb"), "mst-met")
+        found.append(met.select(group, "a", "b", "km"))
+        joined = components(met, "la", "lb").select(F.col("id").alias("label"), "component")
+        now = materialise(now.join(joined, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"), "mst-points")
+        reach *= 2
+    return reduce(DataFrame.unionAll, found) if found else points.select(group, F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("km")).limit(0)
+
+
+def mst_edges(points: DataFrame, group: str, most: int = MOST_POINTS) -> DataFrame:
+    """(group, a, b, km): minimum spanning edges within each group of (id, lon, lat).
+
+    A group of at most ``most`` points is solved in one task, a larger one by rounds of band joins.
+    """
     ship(points.sparkSession)
+    large = materialise(points.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "mst-large")
+    same = F.col(group).eqNullSafe(F.col("_g"))
+    more = _boruvka(points.join(large, same, "left_semi"), group) if large.head(1) else None
+    points = points.join(large, same, "left_anti")
 
     def prim(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        if len(frame) > MOST_POINTS:
-            raise ValueError(f"{len(frame)} points in one group; {MOST_POINTS} are the most")
         xy, ids = frame[["lon", "lat"]].to_numpy(), frame["id"].to_numpy()
         near, to = np.full(len(ids), np.inf), np.zeros(len(ids), int)
         out, at, left = [], 0, np.ones(len(ids), bool)
@@ -223,7 +254,8 @@ def mst_edges(points: DataFrame, group: str) -> DataFrame:
         return pd.DataFrame(out, columns=[group, "a", "b", "km"])
 
     kind = dict(points.dtypes)[group]
-    return points.groupBy(group).applyInPandas(prim, f"{group} {kind}, a bigint, b bigint, km double")
+    small = points.groupBy(group).applyInPandas(prim, f"{group} {kind}, a bigint, b bigint, km double")
+    return small if more is None else small.unionByName(more)
 
 
 def forest_quantiles(train: DataFrame, test: DataFrame, features: list[str], *, trees: int = 30, depth: int = 8, seed: int = 0) -> DataFrame:

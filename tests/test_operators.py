@@ -315,3 +315,13 @@ def test_fold_distance_has_no_bound(spark):
     assert got["a"]["test_rows"] == 2 and want["d"] > 9000 and want["b"] < 150
     alone = validation.fold_distance(pts.filter("label = 'a'"), "label", 30.0).collect()
     assert [tuple(r) for r in alone] == [("a", 2, None)]
+
+
+def test_mst_of_large_groups(spark):
+    r = np.random.default_rng(5)
+    at = [(k, float(x), float(y), "g" if k < 45 else "h") for k, (x, y) in enumerate(r.normal(0, 0.2, (60, 2)) + np.where(np.arange(60)[:, None] % 3 == 0, 4.0, 0.0))]
+    at += [(60, 0.0, 0.0, "i"), (61, 0.0, 0.0, "i"), (62, 0.0, 1.0, "i"), *((70 + k, 1.0 * k, 0.0, None) for k in range(12)), (90, 0.0, 0.0, "j")]
+    pts = spark.createDataFrame(at, "id bigint, lon double, lat double, g string")
+    rows = lambda df: sorted(((r["g"], r["a"], r["b"], round(r["km"], 6)) for r in df.collect()), key=str)
+    want = rows(models.mst_edges(pts, "g"))
+    assert rows(models.mst_edges(pts, "g", most=10)) == want and len(want) == 44 + 14 + 2 + 11
