@@ -260,3 +260,19 @@ def test_stages_bear_empty_input(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, tables).count() == 0
+
+
+def test_topics_and_weights_learn_from_all_rows(spark, monkeypatch):
+    # one kind of text is longer than 24,000 bytes throughout
+    kinds = ["red green blue", "one two three four", "north south east west", "salt " * 6000]
+    docs = [(k, " ".join([kinds[k % 4]] * (1 if k % 4 == 3 else 40)) + f" w{k}x") for k in range(60)]
+    seen, plain = [], lm_mixing.Mixer.average
+    monkeypatch.setattr(lm_mixing.Mixer, "average", lambda self, fits: (seen.extend(fits), plain(self, fits))[1])
+    made, fit = [], lm_mixing.Topics.fit
+    monkeypatch.setattr(lm_mixing.Topics, "fit", lambda self, *a: (fit(self, *a), made.append(self))[0])
+    got = lm_mixing.mixing_scores(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert len(got) == 60 and all(math.isfinite(r["score"]) for r in got)
+    share = np.exp(made[0].log[:-1])
+    assert sorted(share.max(0))[-1] > 0.95  # the long texts have a topic of their own
+    words = {w for _, t in docs for w in t.split()}
+    assert sum(n.sum() for _, _, n in seen) > 2 * len(words)
