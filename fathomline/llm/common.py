@@ -140,6 +140,17 @@ def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return data, first, last, edge, span_hashes(data, first, last)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as compressed bytes: low bytes apart from the few high ones."""
+    flat = np.ascontiguousarray(counts, np.uint32).view(np.uint8).reshape(-1, 4)
+    return pa.compress(np.ascontiguousarray(flat.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, n).T).view(np.uint32).ravel()
+
+
 def owner(edge: np.ndarray) -> np.ndarray:
     """For items grouped by text (``edge`` as from ``spans``): the text each belongs to."""
     return np.repeat(np.arange(len(edge) - 1), np.diff(edge))
