@@ -12,10 +12,10 @@ the unrotated vectors in double precision.
 Equal vectors of a label are collapsed first and counted. A group returns, for each of its
 vectors, the number of links and one edge to each linked set's first member, never its pairs.
 
-Edge cases. A null label, a null or zero vector, one that holds nulls or non-finite numbers, or
-one of another length than the first axis' fit: links with nothing. Null id: no links, component
-null. Repeated rows of one id are one vector each for counts and one component. Extra columns are
-ignored. An empty table gives an empty result.
+Edge cases. A null label, a null or zero vector, one that holds nulls or non-finite numbers: links with
+nothing. Vectors of different lengths link with nothing either; each length has axes and a plan of its own.
+Null id: no links, component null. Every row is a vector: rows that repeat an id are told apart, and each
+has the links and component of its own vector. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.operators.graph import components
 from fathomline.runtime import materialise, ship
 
-TILE = 1024
+TILE = 4096
+#: Rows of a tile that are compared at once.
+BLOCK = 1024
 LEAD = 12
 SLACK = 1e-9
 
@@ -97,7 +100,7 @@ def linked(u: np.ndarray, v: np.ndarray, axes: np.ndarray, threshold: float, lea
 
 def _compare(axes, threshold: float, dim: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, times = table.column("rep").to_numpy(), table.column("times").to_numpy()
+        ids, times = table.column("cid").to_numpy(), table.column("times").to_numpy()
         side = table.column("side").to_numpy()
         x = _matrix(table.column("vec").combine_chunks(), dim)
         one = not side.any()
@@ -112,8 +115,12 @@ def _compare(axes, threshold: float, dim: int):
                 n = parent[n]
             return n
 
-        i, j = linked(x[left], x[right], axes.value, threshold)
-        i, j = left[i], right[j]
+        parts = [
+            (left[a + i], right[b + j])
+            for a in range(0, len(left), BLOCK) for b in range(a if one else 0, len(right), BLOCK)
+            for i, j in [linked(x[left[a : a + BLOCK]], x[right[b : b + BLOCK]], axes.value, threshold)]
+        ]
+        i, j = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
         if one:
             i, j = i[i < j], j[i < j]
         np.add.at(links, i, times[j])
@@ -126,51 +133,26 @@ def _compare(axes, threshold: float, dim: int):
                     parent[max(p, q, key=lambda n: ids[n])] = min(p, q, key=lambda n: ids[n])
         some = np.flatnonzero(links)
         to = np.array([ids[root(n)] for n in some.tolist()], np.int64)
-        return pa.table({"rep": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(to)})
+        return pa.table({"cid": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(to)})
 
     return run
 
 
-def near_duplicates(rows: DataFrame, *, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
-    spark = rows.sparkSession
-    ship(spark)
-    vec = F.col("embedding").cast("array<double>")
-    own = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), vec.alias("vec"), F.col("label").alias("label"))
-    top = float(np.finfo(np.float64).max)
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= top))
-    usable = own.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).filter(
-        (F.size("vec") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda x: x != 0)
-    )
-    first = usable.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    nothing = own.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if first is None:
-        return nothing
-    dim = first["dim"]
-    usable = usable.filter(F.size("vec") == dim)
-    # -0.0 and 0.0 are one number; adding 0.0 makes them one key
-    keyed = usable.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
-    keyed = keyed.withColumn("code", F.sha2(F.concat_ws(",", F.transform("vec", lambda x: F.hex(x.cast("string").cast("binary")))), 256))
-    classes = materialise(
-        keyed.groupBy("label", "code").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.any_value("vec").alias("vec")),
-        "embed-classes",
-    )
+def _met(classes: DataFrame, dim: int, threshold: float, tile: int) -> DataFrame:
+    """(cid, links, root) of the classes of vectors of one length, by tile pair."""
+    spark = classes.sparkSession
+    classes = classes.filter(F.size("vec") == dim).select("label", "cid", "times", "vec")
     cells = classes.mapInArrow(_moments(dim), "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
     moment = np.zeros(dim * dim)  # dim x dim whatever the number of rows
     moment[cells.column("cell").to_numpy()] = cells.column("v").to_numpy()
     axes = spark.sparkContext.broadcast(np.linalg.eigh(moment.reshape(dim, dim))[1][:, ::-1].copy())
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-9
-    placed = materialise(
-        classes.select("label", "rep", "times", "vec").mapInArrow(
-            _project(axes, width, dim), classes.select("label", "rep", "times", "vec").schema.add("cell", "integer")
-        ),
-        "embed-cells",
-    )
+    placed = materialise(classes.mapInArrow(_project(axes, width, dim), T.StructType([*classes.schema.fields, T.StructField("cell", T.IntegerType())])), "embed-cells")
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     after = sizes.select("label", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("after"))
     before = sizes.select("label", (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("before"))
     around = sizes.join(after, ["label", "cell"], "left").join(before, ["label", "cell"], "left")
-    home = placed.join(around, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), "tiles").cast("int"))
+    home = placed.join(around, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(3)), "tiles").cast("int"))
 
     def to(cell, other, side) -> F.Column:
         """One group of a tile pair; side 0 is the lower tile."""
@@ -185,19 +167,44 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.93, tile: int = TIL
     )
     upper = some(F.col("after"), lambda o: to(F.col("cell") * 2 + 1, o, zero))
     lower = some(F.col("before"), lambda o: to(F.col("cell") * 2 - 1, o, one))
-    dealt = home.withColumn("g", F.explode(F.concat(inner, upper, lower))).select("label", "rep", "times", "vec", "g.*")
-    met = materialise(
-        dealt.groupBy("label", "c", "bi", "bj").applyInArrow(_compare(axes, threshold, dim), "rep bigint, links bigint, root bigint"),
-        "embed-links",
+    dealt = home.withColumn("g", F.explode(F.concat(inner, upper, lower))).select("label", "cid", "times", "vec", "g.*")
+    return dealt.groupBy("label", "c", "bi", "bj").applyInArrow(_compare(axes, threshold, dim), "cid bigint, links bigint, root bigint")
+
+
+def near_duplicates(rows: DataFrame, *, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
+    spark = rows.sparkSession
+    ship(spark)
+    vec = F.col("embedding").cast("array<double>")
+    own = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), vec.alias("vec"), F.col("label").alias("label"))
+    top = float(np.finfo(np.float64).max)
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= top))
+    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
+    usable = F.coalesce(usable & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
+    # -0.0 and 0.0 are one number; adding 0.0 makes them one key
+    own = own.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    code = F.sha2(F.concat_ws(",", F.transform("vec", lambda x: F.hex(x.cast("string").cast("binary")))), 256)
+    keyed = own.withColumn("code", F.when(usable, code))
+    classes = keyed.filter(F.col("code").isNotNull()).groupBy("label", "code").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.any_value("vec").alias("vec")
     )
-    label = components(met, "rep", "root").select(F.col("id").alias("rep"), "component")
-    counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("label", "code", "rep", "times").join(counts, "rep", "left").join(label, "rep", "left")
-    found = keyed.select("vec_id", "label", "code").join(known, ["label", "code"]).select(
-        "vec_id",
-        (F.coalesce("links", F.lit(0)) + F.col("times") - 1).cast("bigint").alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "embed-classes")
+    # a plan for every length of vectors; tables have one or few
+    met = spark.createDataFrame([], "cid bigint, links bigint, root bigint")
+    for r in classes.select(F.size("vec").alias("dim")).distinct().orderBy("dim").collect():
+        met = met.unionAll(_met(classes, r["dim"], threshold, tile))
+    met = materialise(met, "embed-links")
+    label = components(met, "cid", "root").select(F.col("id").alias("cid"), "component")
+    counts = met.groupBy("cid").agg(F.sum("links").alias("links"))
+    linked_classes = materialise(
+        classes.select("label", "code", "cid", "rep", "times").join(counts, "cid", "left").join(label, "cid", "left")
+        .withColumn("component", F.coalesce("component", "cid")), "embed-components",
+    )
+    least = linked_classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = linked_classes.join(least, "component").select(
+        "label", "code", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).cast("bigint").alias("n_links"), "component_id"
     )
-    odd = own.join(keyed.select(F.col("vec_id").alias("k")), F.col("vec_id") == F.col("k"), "left_anti")
+    found = keyed.filter(F.col("code").isNotNull()).select("vec_id", "label", "code").join(known, ["label", "code"])
+    odd = keyed.filter(F.col("code").isNull())
     odd = odd.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return found.unionByName(odd).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.select("vec_id", "n_links", "component_id").unionAll(odd).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -104,6 +104,34 @@ def test_embeddings_equal_brute_force(spark):
     assert embed_dedup.near_duplicates(df.filter("vec_id >= 900 and vec_id < 905")).count() == 5
 
 
+def test_rows_that_repeat_an_id_are_vectors_of_their_own(spark):
+    e = np.eye(4)
+    near = e[0] + 0.1 * e[1]
+    rows = [(1, e[0], 0), (1, [0.0] * 4, 0), (1, e[2], 0), (5, near, 0), (5, near, 0), (7, e[2], 0), (7, None, 0), (None, e[0], 0), (8, [1.0, 0.0], 0), (9, [2.0, 0.0], 0), (3, e[3], 0)]
+    rows = [(i, None if v is None else [float(x) for x in v], c) for i, v, c in rows]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted((tuple(x) for x in embed_dedup.near_duplicates(df).collect()), key=str)
+    want = [
+        (1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (5, 2, 1, False), (5, 2, 1, False), (7, 1, 1, False), (7, 0, 7, True),
+        (None, 0, None, None), (8, 1, 8, True), (9, 1, 8, False), (3, 0, 3, True),
+    ]
+    assert got == sorted(want, key=str)
+
+
+def test_texts_that_share_an_id(spark):
+    t, u, v = ("one two three four five six " * 3 + k for k in "tuv")
+    t, u, v = t.replace("one", "t1"), u.replace("two", "u2"), v.replace("six", "v6")
+    rows = [(7, u), (7, t), (8, u), (1, t), (9, v), (9, v), (9, v.upper()), (None, t), (None, t), (4, ""), (4, None), (6, None), (7, u)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as row", "1 as nth", "2 as rep", "3 as first")
+    got = sorted((tuple(x)[0:1] + tuple(x)[2:] for x in minhash.near_duplicates(docs).collect()), key=str)
+    want = [(7, 7, True)] * 2 + [(7, 1, False), (8, 7, False), (1, 1, True)] + [(9, 9, True)] * 3 + [(None, None, True)] * 2 + [(4, 4, True)] * 2 + [(6, 6, True)]
+    assert got == sorted(want, key=str)
+    left = minhash.stage(spark, docs, "")
+    assert left.columns == docs.columns
+    kept = sorted(((x["doc_id"], (x["text"] or "").lower()) for x in left.collect()), key=str)
+    assert kept == sorted([(7, u), (1, t), (9, v), (None, t), (None, t), (4, ""), (6, "")], key=str)
+
+
 def test_no_pair_is_given_up_wrongly():
     r = np.random.default_rng(4)
     u = r.normal(size=(200, 32)) + 1.5
