@@ -13,8 +13,9 @@ that confirmation left in different components of one bucket are then compared w
 a join in small buckets, and in large ones by numpy blocks that hold the full sets, confirm on the
 spot and emit only links that connect two components.
 
-Edge cases. Null and empty texts: no shingles, own component. Null id: kept, component null.
-Repeated rows: same id, hence same component. Ties: the smallest id represents. Extra columns are
+Edge cases. Null and empty texts: no shingles, own component. Null id: kept, component null, linked with nothing.
+Every row is a document: rows that repeat an id have the component of their own text, so equal rows
+share one, and an id with two texts may have two. Ties: the smallest id represents. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -40,8 +41,8 @@ _LANES = 32  # minima a 64-bit word holds at two bits each
 _PAIR_MASK = 0x5555555555555555
 BLOCK = 512
 SMALL_BUCKET = 48
-#: Size of the bit table that names the texts whose sets are needed.
-LOG_CELLS = 22
+#: Least and largest bit table that names the texts whose sets are needed: 16 bits an id, 16 MB at most.
+LOG_CELLS = (16, 27)
 
 _SIGNED = T.StructType(
     [
@@ -53,7 +54,16 @@ _SIGNED = T.StructType(
         T.StructField("keys", T.ArrayType(T.LongType())),
     ]
 )
-_SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+_SETS = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("n_shingles", T.LongType()),
+        T.StructField("set_a", T.LongType()),
+        T.StructField("set_b", T.LongType()),
+        T.StructField("grams", T.ArrayType(T.LongType())),
+    ]
+)
+_SET = ["set_a", "set_b", "n_shingles"]
 
 
 def shingle_sets(chunk: C.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,23 +128,26 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
+def _set_hashes(gram: np.ndarray, edge: np.ndarray) -> list[pa.Array]:
+    """Number of shingles and two 64-bit hashes of each text's set; null hashes for empty sets."""
+    sums = [np.zeros(len(gram) + 1, np.uint64) for _ in range(2)]
+    np.cumsum(C.mix(gram), out=sums[0][1:])
+    np.cumsum(C.mix(gram ^ np.uint64(0x632BE59BD9B4E019)), out=sums[1][1:])
+    count = np.diff(edge)
+    return [pa.array(count.astype(np.int64)), *(pa.array((s[edge[1:]] - s[edge[:-1]]).view(np.int64), mask=count == 0) for s in sums)]
+
+
 def _sign(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in C.text_chunks(batch.column("text")):
                 gram, edge = shingle_sets(chunk, width)
-                count = np.diff(edge)
                 packed, keys = signatures(gram, edge, bands, rows)
-                sums = [np.zeros(len(gram) + 1, np.uint64) for _ in range(2)]
-                np.cumsum(C.mix(gram), out=sums[0][1:])
-                np.cumsum(C.mix(gram ^ np.uint64(0x632BE59BD9B4E019)), out=sums[1][1:])
-                some = count > 0
-                at = np.concatenate([[0], np.cumsum(some)])
+                at = np.concatenate([[0], np.cumsum(np.diff(edge) > 0)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id")[chunk.rows],
-                        pa.array(count.astype(np.int64)),
-                        *(pa.array((s[edge[1:]] - s[edge[:-1]]).view(np.int64), mask=~some) for s in sums),
+                        *_set_hashes(gram, edge),
                         _lists(packed.ravel(), at * packed.shape[1]),
                         _lists(keys.ravel(), at * keys.shape[1]),
                     ],
@@ -155,7 +168,7 @@ def _gather(width: int, wanted):
             for chunk in C.text_chunks(batch.column("text")):
                 gram, edge = shingle_sets(chunk, width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[chunk.rows], _lists(gram.view(np.int64), edge)], names=_SETS.names
+                    [batch.column("id")[chunk.rows], *_set_hashes(gram, edge), _lists(gram.view(np.int64), edge)], names=_SETS.names
                 )
 
     return run
@@ -217,7 +230,13 @@ def _block_compare(most: int, percent: int):
     return run
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+    """One row per row of ``docs``: (key, n_shingles, component_id, kept)."""
+    kept = F.col("id").isNull() | (F.col("id") == F.col("component_id"))
+    return grouped(docs, key=key, **options).select(F.col("id").alias(key), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def grouped(
     docs: DataFrame,
     *,
     key: str = "doc_id",
@@ -228,23 +247,19 @@ def near_duplicates(
     rows: int = ROWS,
     small_bucket: int = SMALL_BUCKET,
 ) -> DataFrame:
-    """One row per row of ``docs``: (key, n_shingles, component_id, kept)."""
+    """One row per row of ``docs``: (id, n_shingles, set_a, set_b, component_id); equal sets have equal hashes."""
     spark = docs.sparkSession
     ship(spark)
     percent = round(100 * similarity)
     own = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = materialise(own.mapInArrow(_sign(shingle, bands, rows), _SIGNED), "minhash-sets")
 
-    # classes of equal sets
+    # classes of equal sets, numbered; a written table, so that a join on a hot set may be split
     full = signed.filter("n_shingles > 0 and id is not null")
-    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"))
-    copies = materialise(
-        signed.select("id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left"),
-        "minhash-classes",
-    )
-    reps = copies.filter("id = rep").select("rep").distinct()
-    leaders = full.join(reps, F.col("id") == F.col("rep"), "left_semi").select("id", "sig", "keys").dropDuplicates(["id"])
-    leaders = materialise(leaders.withColumnRenamed("id", "rep"), "minhash-leaders")
+    classes = materialise(full.groupBy(*_SET).agg(F.min("id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
+    leaders = full.join(classes.withColumnRenamed("first", "id"), ["id", *_SET])
+    # rows that repeat both id and set have one signature
+    leaders = materialise(leaders.groupBy("rep").agg(F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys")), "minhash-leaders")
 
     member = leaders.select("rep", F.explode("keys").alias("bucket"))
     heads = member.groupBy("bucket").agg(
@@ -256,22 +271,32 @@ def near_duplicates(
     low, most = estimate_floor(similarity, bands * rows)
     sigs = leaders.select("rep", "sig")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """Shingle sets of the texts with these ids, and of few others: a bit table picks them in the scan."""
-        marks = np.zeros(1 << (LOG_CELLS - 3), np.uint8)
-        cells = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << LOG_CELLS)).cast("int").alias("cell")).distinct().toArrow()
-        cell = cells.column("cell").to_numpy()
-        np.bitwise_or.at(marks, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
-        texts = own.filter("id is not null").withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(1 << LOG_CELLS)).cast("int"))
-        return materialise(texts.mapInArrow(_gather(shingle, spark.sparkContext.broadcast(marks)), _SETS), "minhash-grams")
+    def sets_of(reps: DataFrame) -> DataFrame:
+        """(rep, grams) of these classes: a bit table picks their first texts, and few others, in the scan."""
+        some = materialise(classes.join(reps.distinct(), "rep"), "minhash-wanted")
+        least, most_cells = LOG_CELLS
+        log = min(most_cells, max(least, (some.count() * 16).bit_length()))
+        cell = F.pmod(F.xxhash64("id"), F.lit(1 << log)).cast("int")
+        marked = some.select(F.col("first").alias("id")).select(cell.alias("cell"))
+        # bit c of the table is number c + 1 of the bitmap functions, whose buckets of 32,768 count from 1
+        number = "CAST(cell + 1 AS BIGINT)"
+        bits = marked.groupBy(F.expr(f"bitmap_bucket_number({number})").alias("k"))
+        marks = np.zeros(max(4096, 1 << (log - 3)), np.uint8)
+        for x in bits.agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({number}))").alias("bits")).collect():  # at most 2^12 rows of 4 KB
+            at = (x["k"] - 1) * 4096
+            marks[at : at + 4096] = np.frombuffer(bytes(x["bits"]), np.uint8)
+        texts = own.filter("id is not null").withColumn("cell", cell)
+        grams = texts.mapInArrow(_gather(shingle, spark.sparkContext.broadcast(marks)), _SETS)
+        grams = grams.withColumnRenamed("id", "first").join(some, ["first", *_SET])
+        return materialise(grams.groupBy("rep").agg(F.any_value("grams").alias("grams")), "minhash-grams")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough. Sets are built for the pairs' texts only."""
         pairs = materialise(pairs, "minhash-pairs")
-        sets = sets_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))))
+        sets = sets_of(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))))
         both = (
-            pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+            pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a")
+            .join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
             .select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("both"))
         )
         return materialise(
@@ -313,9 +338,9 @@ def near_duplicates(
     far = spark.createDataFrame([], "a bigint, b bigint")
     if not big.isEmpty():
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        sets = sets_of(big.select(F.col("rep").alias("id")))
+        sets = sets_of(big.select("rep"))
         large = (
-            big.join(sets.withColumnRenamed("id", "rep"), "rep")
+            big.join(sets, "rep")
             .withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select(
@@ -327,24 +352,54 @@ def near_duplicates(
         far = large.groupBy("bucket", "bi", "bj").applyInArrow(_block_compare(most, percent), "a bigint, b bigint")
         far = materialise(far.distinct(), "minhash-far")
     more = confirmed(near.distinct()).unionAll(far)
-    label = materialise(components(links.unionAll(more)), "minhash-components")
-    return (
-        copies.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .withColumn("component_id", F.coalesce("component", "rep", "id"))
-        .select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    )
+    label = components(links.unionAll(more)).select(F.col("id").alias("rep"), "component")
+    placed = classes.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # a component's smallest id; sets that are linked with none keep their own
+    joint = placed.join(label.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("first").alias("least"))
+    known = placed.join(joint, "component", "left").select(*_SET, F.coalesce("least", "first").alias("component_id"))
+    known = materialise(known, "minhash-components")
+    columns = ["id", "n_shingles", "set_a", "set_b"]
+    alone = signed.filter("n_shingles = 0 or id is null").select(*columns, F.col("id").alias("component_id"))
+    return full.select(*columns).join(known, _SET).select(*columns, "component_id").unionAll(alone)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of every group of near duplicates stays.
+    """Pipeline stage: one row of every group of near duplicates stays, the one with the smallest id.
 
-    Rows repeated with one id stay once. Rows without an id stay.
+    Rows of one id stay as long as their sets of shingles are not linked; of rows that repeat both id and set, the
+    one with the smallest text stays. Rows without an id stay.
     """
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"))
-    gone = materialise(gone.distinct(), "minhash-gone")
-    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    extra = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1 and doc_id is not null").select("doc_id")
-    if extra.isEmpty():
-        return left
-    once = left.join(extra, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(extra, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    rows = materialise(grouped(docs), "minhash-rows")
+    named = rows.filter("id is not null")
+    again = named.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(F.col("id").alias("again_id"))
+    again = materialise(again, "minhash-again")
+    gone = named.filter("id <> component_id").select(F.col("id").alias("gone_id")).unionAll(again).distinct()
+    single = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    if again.isEmpty():
+        return single
+    # rows that share an id: by id and set
+    mine = docs.join(again, docs["doc_id"] == again["again_id"], "left_semi")
+    marked = materialise(mine.select(F.struct(*(mine[c] for c in docs.columns)).alias("row")), "minhash-mine")
+    chosen = named.join(again, named["id"] == again["again_id"], "left_semi").filter("id = component_id")
+    # of several sets of one id in one group, one
+    chosen = chosen.select("id", "component_id", *_SET, (F.col("n_shingles") > 0).alias("some")).distinct()
+    chosen = chosen.groupBy("component_id", "some").agg(F.min(F.struct("set_a", "set_b", "n_shingles", "id")).alias("pick")).select("pick.*")
+    signed = marked.select(F.col("row.doc_id").cast("bigint").alias("id"), F.col("row.text").alias("text"), F.xxhash64("row").alias("nth"))
+    signed = signed.mapInArrow(_resign(5), T.StructType([*_SETS.fields[:4], T.StructField("nth", T.LongType())]))
+    same = [signed["id"] == chosen["id"], *(signed[c].eqNullSafe(chosen[c]) for c in _SET)]
+    kept = signed.join(chosen, same, "left_semi")
+    first = marked.withColumn("nth", F.xxhash64("row")).join(kept.select(F.col("id").alias("k"), *_SET, "nth").distinct(), "nth")
+    once = first.groupBy("k", *_SET).agg(F.min_by("row", F.struct("row.text", "nth")).alias("row")).select("row.*")
+    return single.unionByName(once)
+
+
+def _resign(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in C.text_chunks(batch.column("text")):
+                gram, edge = shingle_sets(chunk, width)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id")[chunk.rows], *_set_hashes(gram, edge), batch.column("nth")[chunk.rows]], names=[*_SETS.names[:4], "nth"]
+                )
+
+    return run
