@@ -167,18 +167,16 @@ def test_base_counts_are_exact(spark, odd_docs, no_docs):
 
 def small_mixer(words):
     tree = S.Tree(np.bincount(np.frombuffer(b" ".join(words), np.uint8), minlength=256))
-    tables = np.zeros((S.TABLES, 2, 1 << S.LOG_SLOTS), np.float32)
-    plain = np.zeros((2, S.CHUNK), np.float32)
+    tables, plain = np.zeros((S.TABLES, 2 << S.LOG_SLOTS), np.float32), np.zeros(2 * S.CHUNK, np.float32)
     mixer = S.Mixer(tree, tables, plain)
     column = pa.array(words, pa.binary())
     data, starts = S.symbols(column)
     _, node, bit, slots = S.events(tree, data, starts)
-    for value in (0, 1):
-        np.add.at(plain[value], node[bit == value], 1)
-        for t in range(S.TABLES):
-            np.add.at(tables[t, value], slots[t][bit == value], 1)
-    mixer.train(column)
+    np.add.at(plain, node * 2 + bit, 1)
+    for t in range(S.TABLES):
+        np.add.at(tables[t], slots[t] * 2 + bit, 1)
     mixer.freeze()
+    mixer.train(column)
     return mixer
 
 
@@ -212,15 +210,19 @@ def test_mixing_learns_spelling():
 
 def small_model(texts, held=()):
     """A model of texts of word numbers, and the texts' leaves."""
-    own = [np.array(t, np.uint64) * np.uint64(7919) + np.uint64(50) for t in texts]
-    train = Counter(int(h) for k, t in enumerate(own) if k not in held for h in t)
-    many = sorted(h for h, n in train.items() if n >= 2)
+    train = Counter(w for k, t in enumerate(texts) if k not in held for w in t)
+    many = np.array(sorted(w for w, n in train.items() if n >= 2)[: B.WORDS], np.uint64)
     code = B.Code(
-        np.array(many, np.uint64), np.array([train[h] for h in many], np.int64), np.zeros(B.CLASSES, np.int64),
-        sum(n == 1 for n in train.values()), 0, len(texts) - len(held),
+        many, np.array([train[int(w)] for w in many], np.int64), np.zeros((B.TOPICS, len(B.BANDS) + 1), np.int64),
+        np.full(B.TOPICS, sum(n == 1 for n in train.values())), np.zeros(B.TOPICS, np.int64), len(texts) - len(held),
     )
-    leaf = [np.append(code.leaves(t, np.array([train[int(h)] - (k not in held) for h in t]), np.uint64(1))[0], code.end) for k, t in enumerate(own)]
-    model = B.Model(code, B.topics(np.ones((B.TOPIC_WORDS, B.TOPIC_WORDS))), 16)
+    at = {int(w): k for k, w in enumerate(many)}
+    leaf = []
+    for k, t in enumerate(texts):
+        own, count = np.array([at.get(w, -1) for w in t], np.int64), np.array([train[w] - (k not in held) for w in t], np.int64)
+        leaf.append(np.append(code.leaves(own, count, np.array([w % B.TOPICS for w in t], np.int64))[0], code.end))
+    log = np.log(np.random.default_rng(3).dirichlet(np.ones(B.TOPICS), len(many)))
+    model = B.Model(code, log, 16)
     edge = np.concatenate([[0], np.cumsum([len(x) for x in leaf])])
     learned = [x for k, x in enumerate(leaf) if k not in held]
     tables = model.empty()
@@ -235,23 +237,20 @@ def plain_log(model, leaf, held):
     own, patch = np.zeros(B.INPUTS), np.zeros(B.PATCHES)
     step, moved, fixed, n = 0, np.zeros(B.INPUTS), np.zeros(B.PATCHES), 0
     mask = (1 << 64) - 1
-    mix = lambda h: int(C.mix(np.array([int(h) & mask], np.uint64))[0])
     for i, x in enumerate(leaf):
         now = int(math.log2(max(i, 16) / 16)) if i < 1024 else 5 + i // 1024
         if now != step:
-            own, patch = own + 0.03 * moved / math.sqrt(n), patch + 0.1 * fixed / math.sqrt(n)
+            own, patch = own + B.RATES[0] * moved / math.sqrt(n), patch + B.RATES[1] * fixed / math.sqrt(n)
             step, moved, fixed, n = now, np.zeros(B.INPUTS), np.zeros(B.PATCHES), 0
-        coarse = [int(code.coarse[leaf[i - k]]) + 1 if i >= k else 0 for k in (1, 2)]
-        contexts = [mix((leaf[i - 1] + 1 if i else 0) + 1), mix(coarse[0] * 1000 + coarse[1] + 7_000_000)]
-        near = sum((model.topic[code.common[y]] for y in leaf[max(0, i - B.TOPIC_WINDOW) : i]), np.zeros(B.TOPICS))
-        topic = int(near.argmax()) if (near < -1e-9).any() else B.TOPICS
+        one, two = (int(leaf[i - k]) + 1 if i >= k else 0 for k in (1, 2))
+        pair = int(C.mix(np.array([(two << 20) + one + 1], np.uint64))[0])
+        near = sum((model.topic[y] for y in leaf[max(0, i - B.TOPIC_WINDOW) : i]), np.zeros(B.TOPICS))
+        topic = int(near.argmax()) if near[0] < -1e-9 else B.TOPICS
         for at in range(code.start[x], code.start[x] + code.size[x]):
             node, bit = int(code.node[at]), int(code.bit[at])
             kind = 0 if held else 1 + bit
-            state = [
-                kind << 16 | int(table[(((h ^ int(model.salt[node])) * 0xBF58476D1CE4E5B9) & mask) >> (64 - model.log_slots)])
-                for table, h in zip(model.states, contexts, strict=True)
-            ]
+            slot = (((pair ^ int(model.salt[node])) * 0xBF58476D1CE4E5B9) & mask) >> (64 - model.log_slots)
+            state = [kind << 16 | int(model.states[0][one * code.nodes + node]), kind << 16 | int(model.states[1][slot])]
             past = seen[node, 0], seen[node, 1]
             odds = np.array(
                 [
@@ -260,12 +259,9 @@ def plain_log(model, leaf, held):
                 ]
             )
             gate = int(model.sure[state[0]]) * 4 + (sum(past) > 0) + (sum(past) > 3) + (sum(past) > 15)
-            dot = float(odds @ (model.weight[gate] + own))
-            spot = (min(max(dot, -B.REACH), B.REACH - 1e-3) + B.REACH) * (B.BUCKETS - 1) / (2 * B.REACH)
-            low = int(spot)
-            cell = min(max(low // 4 - 1, 0), B.PATCHES - 1)
-            z = 0.5 * (dot + model.refine[gate, low] * (1 - spot + low) + model.refine[gate, low + 1] * (spot - low)) + patch[cell]
-            p = 1 / (1 + math.exp(-z))
+            dot = float(odds @ (B.GATED[gate] + own))
+            cell = int((min(max(dot, -B.REACH), B.REACH - 1e-3) + B.REACH) * B.PATCHES / (2 * B.REACH))
+            p = 1 / (1 + math.exp(-dot - patch[cell]))
             total += math.log(p if bit else 1 - p)
             fixed[cell] += bit - p
             moved += (bit - 1 / (1 + math.exp(-dot))) * odds
@@ -279,9 +275,6 @@ def test_texts_score_as_bit_by_bit(monkeypatch):
     r = random.Random(5)
     texts = [[int(r.paretovariate(0.7)) % 300 for _ in range(n)] for n in (1, 0, 40, 700, 2600, 90, 33, 1024)]
     model, leaf, edge, held = small_model(texts, {3, 5})
-    seen = np.zeros(B.GATES)
-    model.fit(leaf[: edge[3]], edge[:4], seen)
-    assert seen.sum() > 0
     got = model.log(leaf, edge, held)
     for k in range(len(texts)):
         assert got[k] == pytest.approx(plain_log(model, leaf[edge[k] : edge[k + 1]], held[k]), rel=2e-3)
@@ -362,8 +355,8 @@ def test_topics_and_weights_learn_from_all_rows(spark, monkeypatch):
     docs = [(k, " ".join([kinds[k % 4]] * (1 if k % 4 == 3 else 40)) + f" w{k}x") for k in range(60)]
     seen, plain = [], S.Mixer.average
     monkeypatch.setattr(S.Mixer, "average", lambda self, fits: (seen.extend(fits), plain(self, fits))[1])
-    bits, also = [], B.Model.average
-    monkeypatch.setattr(B.Model, "average", lambda self, fits: (bits.extend(fits), also(self, fits))[1])
+    bits, also = [], B.Model.freeze
+    monkeypatch.setattr(B.Model, "freeze", lambda self, tables: (bits.extend((self, t.copy()) for t in tables), also(self, tables))[1])
     made, find = [], B.topics
     monkeypatch.setattr(B, "topics", lambda *a: (made.append(find(*a)), made[-1])[1])
     got = lm_mixing.mixing_scores(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
@@ -371,9 +364,12 @@ def test_topics_and_weights_learn_from_all_rows(spark, monkeypatch):
     assert len({tuple(row) for row in np.round(made[0], 3)}) >= 3  # words of one kind of text share their topic
     words = {w for _, t in docs for w in t.split()}
     assert sum(n.sum() for _, _, n in seen) > len(words)
-    # every third bit of every training text
-    training = sum(len(t.split()) + 1 for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1)
-    assert sum(n.sum() for _, _, n in bits) > training / 3
+    # every bit of every training text: each has one end, and no other bit tells as much
+    training = sum(zlib.crc32(str(k).encode()) % 5 != 1 for k, _ in docs)
+    code = bits[0][0].code
+    last = code.start[code.end] + code.size[code.end] - 1
+    by_topic = bits[2][1].reshape(B.TOPICS + 1, code.nodes, 2).sum(0)
+    assert by_topic[code.node[last], code.bit[last]] == training == code.weight[code.end]
 
 
 def test_score_of_odd_texts(spark):
