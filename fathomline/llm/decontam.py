@@ -10,16 +10,18 @@ stood for is kept as slots.
 A match is a document window equal to an item's window in either template, or word for word. Matches
 of one document and item that lie on one diagonal form a passage; those word for word form one of their
 own, which has no slots and always counts. Slots are consistent when one value of the item
-never maps to two values of the document within a passage, so a re-parameterised question is
-caught, and a chance meeting of placeholders is not. An item occurs when the words that consistent
-passages cover reach ``coverage`` of it, so an inserted or lost word does not hide it.
+maps to one value of the document within a passage, so a re-parameterised question is
+caught, and a chance meeting of placeholders is not. A passage is ``STRETCH`` words of the item at most: longer
+items are judged stretch by stretch, so a slot that differs far off leaves the rest standing. An item occurs when the words that consistent
+passages cover reach ``coverage`` of it, so an inserted or lost word does not hide it. An item of fewer
+than ``LEAST`` words occurs only in a text that has no other words.
 
 Documents stream once against a bit table of item windows whose size is fixed; only windows that
 pass it are emitted and joined by hash. The item windows are broadcast if their count is within a
 bound, and shuffled otherwise.
 
-Edge cases. Null and empty texts and items match nothing; null ids are ignored in items and kept
-as null in documents' windows, which match nothing. Repeated rows give one result row per
+Edge cases. Null and empty texts and items match nothing; rows with a null id are left out, in items and in
+documents (the pipeline's stage goes by texts, so it judges those too). Repeated rows give one result row per
 (doc_id, item_id). Extra columns are ignored. Empty tables give an empty result. A window of
 a template must hold half literal words at least, or it is no template of a question; word for word it
 may hold any, so an item of numbers alone is found by its copy.
@@ -40,6 +42,8 @@ from fathomline.runtime import materialise, ship, table
 
 WINDOW = 8
 COVERAGE = 0.6
+LEAST = 4
+STRETCH = 64
 LOG_BITS = 22
 #: Item windows up to this number are broadcast (about 100 bytes each).
 BROADCAST_WINDOWS = 200_000
@@ -207,7 +211,7 @@ def contaminated(
     np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
     own = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text")).filter("id is not null")
     found = own.mapInArrow(_emit(widths, False, spark.sparkContext.broadcast(bits)), _ROWS)
-    found = found.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "width", "hash", F.col("slots").alias("doc_slots"))
+    found = found.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "width", "hash", F.col("size").alias("doc_words"), F.col("slots").alias("doc_slots"))
     asked = wanted.select(
         F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("width").alias("w"), F.col("size").alias("item_words"),
         F.col("hash").alias("h"), F.col("slots").alias("item_slots"),
@@ -215,7 +219,7 @@ def contaminated(
     if count <= broadcast_windows:
         asked = F.broadcast(asked)
     hits = found.join(asked, (F.col("hash") == F.col("h")) & (F.col("width") == F.col("w")))
-    hits = hits.filter(F.size("doc_slots") == F.size("item_slots"))
+    hits = hits.filter(F.size("doc_slots") == F.size("item_slots")).filter((F.col("width") >= LEAST) | (F.col("doc_words") == F.col("width")))
     # one value of the item, one value of the document: first within the window, then along the diagonal
     mapped = F.zip_with("item_slots", "doc_slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     hits = hits.select(
@@ -223,10 +227,11 @@ def contaminated(
         F.array_distinct(mapped).alias("slots"),
     )
     one_each = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == F.size("slots")
+    kinds = F.when(F.size("slots") > 0, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     runs = (
         hits.filter(one_each)
-        .withColumn("literal", F.explode(F.when(F.size("slots") > 0, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
-        .groupBy("doc_id", "item_id", "item_words", "diagonal", "literal")
+        .withColumn("literal", F.explode(kinds))
+        .groupBy("doc_id", "item_id", "item_words", "diagonal", "literal", F.floor(F.col("item_at") / STRETCH).alias("stretch"))
         .agg(
             F.collect_set(F.struct("item_at", "width")).alias("windows"),
             F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
@@ -247,7 +252,8 @@ def contaminated(
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in which a benchmark item occurs go."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
+    """Pipeline stage: documents in which a benchmark item occurs go, whatever their id: texts are judged."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_text")).distinct()
     leaks = materialise(leaks, "decontam-leaks")
-    return docs.join(leaks, docs["doc_id"] == leaks["leak_id"], "left_anti")
+    return docs.join(leaks, F.xxhash64(docs["text"]) == leaks["leak_text"], "left_anti")

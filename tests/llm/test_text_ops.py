@@ -488,3 +488,30 @@ def test_numbers_are_found_word_for_word(spark):
     assert {(r["doc_id"], r["item_id"]): (r["matched_words"], r["passages"], r["reparameterised"]) for r in got} == {
         (10, 1): (9, 1, False), (12, 2): (4, 1, False), (14, 3): (19, 1, False), (15, 3): (12, 1, True),
     }
+
+
+def test_a_slot_that_changes_late_costs_its_windows_only(spark):
+    item = (
+        "a train leaves the old station at 5 in the morning and needs 3 hours to reach the far coast where 5 ships wait for the "
+        "people on board until the tide turns and the harbour master counts all 3 crews once more before 5 bells are rung"
+    )
+    late = item.replace("before 5", "before 9")
+    other = item.replace("5", "8").replace("3", "4")
+    both = other.replace("before 8", "before 6")
+    long = " ".join(f"step {k} turn the wheel and hold it for 7 turns until lamp {'abcdefghijkl'[k]} is lit" for k in range(12))
+    far = long.replace("7", "6")[:-40] + long.replace("7", "9")[-40:]
+    docs = [(1, f"intro {late} end"), (2, other), (3, both), (7, far), (None, item), (4, "we met in paris last year"), (5, "Paris!"), (6, "so 12 and 15")]
+    items = [(10, item), (11, "Paris"), (12, "so 13 and 16"), (13, long)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b).collect()}
+    # in document 3, one value of a short item stands for two
+    assert sorted(got) == [(1, 10), (2, 10), (5, 11), (6, 12), (7, 13)]
+    n = len(item.split())
+    assert got[2, 10]["matched_words"] == n and got[2, 10]["reparameterised"] and n - 16 < got[1, 10]["matched_words"] < n
+
+
+def test_the_stage_judges_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(None, "x the quick brown fox jumps over the lazy dog again"), (7, "the quick brown fox jumps over the lazy dog again y"), (7, "clean words"), (None, None)]
+    left = decontam.stage(spark, spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as leak_text"), str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == [(7, "clean words"), (None, None)]
