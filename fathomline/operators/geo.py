@@ -55,24 +55,28 @@ def all_pairs(points: DataFrame, key: str = "id", tile: int = 512, rows: int | N
     return a.join(b, met).filter(F.col(f"a_{key}") < F.col(f"b_{key}")).drop("_p", "_q", "_ta", "_tb", "_oa", "_ob")
 
 
-def close_pairs(points: DataFrame, km: float) -> DataFrame:
+def close_pairs(points: DataFrame, km: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (a, b) within a great-circle distance, through a band join on latitude and longitude.
 
+    Columns to keep come along as a_* and b_*.
+
     The longitude band is that of the highest latitude present, so no pair is missed; points are
     taken not to span the date line.
     """
     top = points.agg(F.max(F.abs("lat")).alias("m")).first()["m"]
     if top is None:
-        return points.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("km"))
+        kept = (F.col(c).alias(f"{s}_{c}") for s in "ab" for c in keep)
+        return points.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("km"), *kept)
     degree = math.degrees(km / 6371.0088) * (1 + 1e-9)
     wide = min(360.0, degree / max(1e-6, math.cos(math.radians(min(89.999, top + degree)))))
-    own = points.select("id", "lon", "lat")
+    own = points.select("id", "lon", "lat", *keep)
     met = band_join(own, own, {"lat": degree, "lon": wide})
     return (
         met.filter("l_id < r_id")
-        .select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat")).alias("km"))
+        .select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat")).alias("km"),
+                *(F.col(f"{s}_{c}").alias(f"{t}_{c}") for s, t in (("l", "a"), ("r", "b")) for c in keep))
         .filter(F.col("km") <= km)
-    )
+    )
 
 
 def nearest_other(points: DataFrame, label: str, reach: float, within: str | None = None, tiles: int = 16) -> DataFrame:

@@ -133,8 +133,17 @@ def validate(records: DataFrame, strict: bool = False) -> tuple[DataFrame, DataF
     return marked.filter(F.size("violations") == 0).drop("violations"), marked.filter(F.size("violations") > 0)
 
 
+#: Marks of a licence that bars commercial use.
+NON_COMMERCIAL = ("-NC-", "NONCOMMERCIAL", "NON-COMMERCIAL")
+
+
 def non_commercial(licence: Column) -> Column:
-    return F.coalesce(F.upper(licence).rlike("-NC-|NONCOMMERCIAL|NON-COMMERCIAL"), F.lit(False))
+    return F.coalesce(F.exists(F.array(*(F.lit(m) for m in NON_COMMERCIAL)), lambda m: F.upper(licence).contains(m)), F.lit(False))
+
+
+def author_allowed(author: Column, allowed: list[str]) -> Column:
+    """Whether an author is of the list, by exact match; a missing one is not."""
+    return F.coalesce(author.isin(*allowed), F.lit(False))
 
 
 #: Data origins from most to least real.
@@ -177,5 +186,15 @@ def nested_to_events(pieces: DataFrame, event: str, mass: str, unweighed: Column
 
 
 def unweighed_in(comment: Column) -> Column:
-    """Pieces that a remark such as "Plus 13 Nodules of less than 5g" counts."""
-    return F.coalesce(F.try_element_at(F.regexp_extract_all(comment, F.lit(r"(?i)plus\s+(\d+)\s+nodules?\s+of\s+less\s+than\s+5\s*g"), F.lit(1)), F.lit(1)).try_cast("bigint"), F.lit(0))
+    """Pieces that a remark such as "Plus 13 Nodules of less than 5g" counts; the first such remark holds, 0 without one.
+
+    The remark is read word by word: a number between "plus" and "nodules", then the limit of weight.
+    """
+    words = F.filter(F.split(F.lower(comment), r"\s+"), lambda w: w != "")
+    after = lambda i, k: F.coalesce(F.try_element_at(words, (i + F.lit(k)).cast("int")), F.lit(""))
+    limit = lambda i: F.concat(*(after(i, k) for k in range(3, 8)))
+    here = lambda i: (
+        after(i, 0).endswith("plus") & after(i, 1).try_cast("bigint").isNotNull() & after(i, 2).isin("nodule", "nodules") & limit(i).startswith("oflessthan5g")
+    )
+    counts = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), here), lambda i: after(i, 1).try_cast("bigint"))
+    return F.coalesce(F.try_element_at(counts, F.lit(1)), F.lit(0).cast("bigint"))

@@ -42,9 +42,12 @@ def variogram_bins(pairs: DataFrame, edges: list[float], km: str = "km", half: s
 def variogram_fit(bins: DataFrame, family: str = "exponential", max_lag: float = MAX_LAG_KM, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """One row: nugget, partial_sill, range_km, sse. Weighted least squares over a grid of ranges.
 
+    Bins are written once, so pairs are not made again for every use of them.
+
     The bins are a handful of rows; each candidate range is one group of sums, solved in closed
     form with both parts kept from going below zero.
     """
+    bins = materialise(bins, "variogram-bins")
     used = bins.filter((F.col("pair_count") >= min_pairs) & (F.col("lag_hi_km") <= max_lag)).select(
         F.col("mean_lag_km").alias("h"), F.col("semivariance").alias("g"), F.col("pair_count").cast("double").alias("w")
     )

@@ -387,7 +387,7 @@ def terrain_roughness_tpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.square_moments(view(spark, sf_dir, "cell"), 5).select("i", "j", r6("roughness"), r6("tpi"))
 
 
-@query(f"""select i, j, round(case when m = {len(grid.annulus(2, 4))} then z - mean end, 6) as bpi from (
+@query(f"""select i, j, round(case when m = {grid.ring_size(2, 4)} then z - mean end, 6) as bpi from (
   select c.i, c.j, c.z, count(k.z) as m, avg(k.z) as mean from {sql('cell')} c left join {sql('cell')} k on k.i between c.i - 4 and c.i + 4
   and k.j between c.j - 4 and c.j + 4 and (k.i - c.i) * (k.i - c.i) + (k.j - c.j) * (k.j - c.j) between 4 and 16 group by c.i, c.j, c.z)""")
 def terrain_bpi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -519,10 +519,16 @@ def cv_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BINS = "(select * from (values " + ", ".join(f"({k}, {a}e0, {b}e0)" for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))) + ") t(bin, lo, hi))"
 
 
+def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that a bin may hold, by a band join."""
+    near = geo.close_pairs(view(spark, sf_dir, "outpost"), EDGES[-1], ("y",))
+    return near.withColumn("half_sq", 0.5 * (F.col("a_y") - F.col("b_y")) * (F.col("a_y") - F.col("b_y")))
+
+
 @query(f"""{_OUT} select bin, lo as lag_lo_km, hi as lag_hi_km, count(km) as pair_count, round(avg(half_sq), 2) as semivariance, round(avg(km), 6) as mean_lag_km
 from {_BINS} left join pairs on km >= lo and km < hi group by bin, lo, hi""")
 def variogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = models.variogram_bins(_pairs(spark, sf_dir), EDGES)
+    got = models.variogram_bins(_near_pairs(spark, sf_dir), EDGES)
     return got.select("bin", "lag_lo_km", "lag_hi_km", "pair_count", r6("semivariance", 2), r6("mean_lag_km"))
 
 
@@ -537,7 +543,7 @@ three as (select *, case when p1 < 0 then g / w else n1 end as n, greatest(p1, 0
 four as (select *, gg - 2 * n * g - 2 * p * sg + n * n * w + 2 * n * p * s + p * p * ss as sse from three)
 select round(n / 1e3, 2) as nugget, round(p / 1e3, 2) as partial_sill, round(case when p > 0 then a else 0e0 end, 4) as range_km from four order by sse, c limit 1""")
 def variogram_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = models.variogram_fit(models.variogram_bins(_pairs(spark, sf_dir), EDGES), max_lag=40.0, min_pairs=10)
+    fit = models.variogram_fit(models.variogram_bins(_near_pairs(spark, sf_dir), EDGES), max_lag=40.0, min_pairs=10)
     return fit.select(F.round(F.col("nugget") / 1e3, 2).alias("nugget"), F.round(F.col("partial_sill") / 1e3, 2).alias("partial_sill"), r6("range_km", 4))
 
 

@@ -9,9 +9,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_EVENT = re.compile(r"^\s*(?:Event\(s\):)?\s*(?P<label>\S+)\s+\(.*?\).*?COMMENT:\s*(?P<comment>[^*]+?)\s*(?:\*.*)?$")
-
-
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN is not a value of the data model: doubles that hold it become null."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
@@ -22,24 +19,44 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str
     return without_nan((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path))
 
 
+def event_comments(lines: DataFrame) -> DataFrame:
+    """(event, comment) of header lines (at, line) such as ``Event(s): A_1 (station 1) * LATITUDE: .. * COMMENT: ..``.
+
+    An event's label is one word before the first bracket; its comment is all that follows the key, later
+    stars included. Of several lines of one event, the last holds; lines without either are left out.
+    """
+    body = F.trim(F.regexp_replace(F.trim("line"), "^Event\\(s\\):", ""))
+    label = F.trim(F.translate(F.substring_index(body, "(", 1), "\t", " "))
+    text = F.trim(F.translate(F.expr("substring(line, locate('COMMENT:', line) + 8)"), "\t\r", "  "))
+    told = lines.filter(F.col("line").contains("COMMENT:") & F.substring_index("line", "COMMENT:", 1).contains(")"))
+    told = told.select("at", label.alias("event"), text.alias("comment")).filter((F.col("event") != "") & ~F.col("event").contains(" ") & (F.col("comment") != ""))
+    return told.groupBy("event").agg(F.max_by("comment", "at").alias("comment"))
+
+
+def with_comments(rows: DataFrame, comments: DataFrame, event: str) -> DataFrame:
+    """Rows with their event's ``comment``, null where the header has none."""
+    return rows.join(comments.withColumnRenamed("event", "_event"), rows[event] == F.col("_event"), "left").drop("_event")
+
+
 def read_tab(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A ``.tab`` export: (rows with native headers, event comments).
+    """A ``.tab`` export: (rows with native headers and their line as ``_row``, event comments).
 
     The header block ends at the line that is ``*/``; a file without it is refused. Native headers
-    may repeat in part, so they are kept whole. Files are small; lines are read through Spark, so
-    any store it reads will do.
+    may repeat in part, so they are kept whole. Lines are a table: only the header's end and the
+    column names reach the driver.
     """
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    lines = text.split("\n")
-    stop = next((k for k, line in enumerate(lines) if line.strip() == "*/"), None)
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    stop = lines.filter(F.trim("line") == "*/").agg(F.min("at").alias("at")).first()["at"]
     if stop is None:
         raise ValueError(f"{path}: the header block has no end")
-    comments = [(m["label"], m["comment"].strip()) for m in map(_EVENT.match, lines[:stop]) if m]
-    names = lines[stop + 1].rstrip("\r").split("\t")
-    rows = [[v if v.strip() else None for v in line.rstrip("\r").split("\t")] for line in lines[stop + 2 :] if line.strip()]
-    wide = [tuple([*r, *[None] * (len(names) - len(r))][: len(names)]) + (k,) for k, r in enumerate(rows)]
-    schema = ", ".join(f"`{n.replace('`', '')}` string" for n in names)
-    return spark.createDataFrame(wide, f"{schema}, _row bigint"), spark.createDataFrame(comments, "event string, comment string")
+    names = lines.filter(F.col("at") == stop + 1).first()["line"].split("\t")
+    cells = F.split("line", "\t")
+    value = lambda k: F.try_element_at(cells, F.lit(k + 1))
+    rows = lines.filter((F.col("at") > stop + 1) & (F.trim("line") != "")).select(
+        *(F.when(F.trim(value(k)) != "", value(k)).alias(n.replace("`", "")) for k, n in enumerate(names)), (F.col("at") - stop - 2).cast("bigint").alias("_row")
+    )
+    return rows, event_comments(lines.filter(F.col("at") < stop))
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:

@@ -14,7 +14,8 @@ class CorpusTable:
     """Versions of a corpus under one folder; the highest whole version is the current one.
 
     A version is written before it is read, and a batch writes the version its id names, so a
-    batch that is tried again replaces its own version and nothing else.
+    batch that is tried again replaces its own version and nothing else. Rows that break a rule go
+    to a table of refusals beside it, by the same versions.
     """
 
     def __init__(self, folder: str, empty: DataFrame):
@@ -33,8 +34,22 @@ class CorpusTable:
                     raise
         return self.empty
 
+    def refused(self, version: int | None = None) -> DataFrame:
+        """Rows that a batch (or any) brought and that broke a rule, with their ``violations`` and ``version``."""
+        schema = f"{', '.join(f'`{n}` {t}' for n, t in self.empty.dtypes)}, violations array<string>, version bigint"
+        spark = self.empty.sparkSession
+        try:
+            rows = spark.read.schema(schema).parquet(f"{self.folder}/refused/v{version:09d}" if version is not None else f"{self.folder}/refused/*")
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = spark.createDataFrame([], schema)
+        return rows
+
     def merge(self, batch: DataFrame, version: int, bands: dict[str, float], tolerant_on: list[str]) -> None:
-        good, _ = validate(screen(normalise(batch)))
+        good, bad = validate(screen(normalise(batch)))
+        bad = bad.select(*self.empty.columns, "violations", F.lit(version).cast("bigint").alias("version"))
+        bad.write.mode("overwrite").parquet(f"{self.folder}/refused/v{version:09d}")
         corpus = self.before(version)
         last = corpus.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
         # order of arrival: the batch's own order after all that came before

@@ -65,7 +65,7 @@ def test_tpi_roughness_and_bpi(spark):
     assert slope[4, 4]["roughness"] == pytest.approx(7 * math.sqrt(2 / 3))
     ring = {(r["i"], r["j"]): r["bpi"] for r in grid.bpi(bump, 1, 2).collect()}
     assert ring[4, 4] == pytest.approx(10)
-    assert ring[4, 5] == pytest.approx(-10 / len(grid.annulus(1, 2)))
+    assert ring[4, 5] == pytest.approx(-10 / grid.ring_size(1, 2))
     assert ring[1, 4] is None
     hole = bump.filter("not (i = 4 and j = 5)")
     assert grid.slope_aspect(grid.gather(grid.metric(hole, 14, 0.01))).filter("i = 4 and j = 4").first()["slope"] is None
@@ -112,8 +112,10 @@ def test_validation_modes(spark):
 
 
 def test_unweighed_and_origins(spark):
-    rows = spark.createDataFrame([("Plus 13 Nodules of less than 5g",), ("broken",), (None,)], "c string")
-    assert [r[0] for r in rows.select(ingest.unweighed_in(F.col("c"))).collect()] == [13, 0, 0]
+    remarks = ["Plus 13 Nodules of less than 5g", "broken", None, "one; plus 2 nodule of  less than 5 g, plus 4 nodules of less than 5g", "plus some nodules of less than 5g", ""]
+    rows = spark.createDataFrame([(r,) for r in remarks], "c string")
+    assert [r[0] for r in rows.select(ingest.unweighed_in(F.col("c"))).collect()] == [13, 0, 0, 2, 0, 0]
+    assert [r[0] for r in rows.select(ingest.author_allowed(F.col("c"), ["broken"])).collect()] == [False, True, False, False, False, False]
     names = spark.createDataFrame([("MEASURED",), ("SYNTHETIC",), ("DERIVED",)], "o string")
     assert names.agg(ingest.least_real(ingest.origin_rank(F.col("o")))).first()[0] == "SYNTHETIC"
     with pytest.raises(Exception, match="undeclared"):
@@ -283,7 +285,9 @@ def test_tab_reader_and_guard(spark, tmp_path):
     f.write_text("/* DATA\nEvent(s):\tA_1 (x) * COMMENT: failed recovery\nA_2 (y) * COMMENT: fine * LOC: q\n*/\nEvent\tNodules [#]\nA_1\t3\nA_2\t\n")
     rows, comments = readers.read_tab(spark, str(f))
     assert [tuple(r) for r in rows.orderBy("_row").collect()] == [("A_1", "3", 0), ("A_2", None, 1)]
-    assert {tuple(r) for r in comments.collect()} == {("A_1", "failed recovery"), ("A_2", "fine")}
+    assert {tuple(r) for r in comments.collect()} == {("A_1", "failed recovery"), ("A_2", "fine * LOC: q")}
+    told = readers.with_comments(rows, comments, "Event").orderBy("_row").select("Event", "comment").collect()
+    assert [tuple(r) for r in told] == [("A_1", "failed recovery"), ("A_2", "fine * LOC: q")]
     f.write_text("no header end\n")
     with pytest.raises(ValueError, match="no end"):
         readers.read_tab(spark, str(f))

@@ -26,6 +26,9 @@ def test_stream_into_corpus(spark, tmp_path):
     ingest_stream(stream(), table, f"{tmp_path}/cp", bands).awaitTermination()
     got = {r["source_record_id"]: r for r in table.before(99).collect()}
     assert set(got) == {"r0", "r1"} and got["r1"]["qa_status"] == "flagged"  # 300 is refused, 50 is flagged
+    assert [(r["source_record_id"], r["version"], len(r["violations"]) > 0) for r in table.refused().collect()] == [("r2", 0, True)]
     first.withColumn("longitude", F.col("longitude") + 0.0005).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     ingest_stream(stream(), table, f"{tmp_path}/cp", bands).awaitTermination()
     assert table.before(99).count() == 2
+    assert sorted(r["version"] for r in table.refused().collect() if r["source_record_id"] == "r2") == [0, 1]
+    assert table.refused(1).count() == 1 and table.refused(7).count() == 0
