@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.geodesy import EARTH_KM, haversine_km
@@ -126,3 +126,47 @@ def single_linkage(points: DataFrame, km: float) -> DataFrame:
 def cell_of(lon: Column, lat: Column, west: float, north: float, resolution: float) -> tuple[Column, Column]:
     """(row, column) of the cell that contains a point; shared edges go east and south."""
     return F.floor((F.lit(north) - lat) / resolution).cast("int"), F.floor((lon - F.lit(west)) / resolution).cast("int")
+
+
+def ordered_summary(values: DataFrame, column: str) -> DataFrame:
+    """One row (n, least, median, most, gap, gap_from, gap_to) of a column without nulls: the median is the value at n // 2
+    of the sorted values, the gap the widest between neighbours (the first such).
+
+    Values are range-sorted; each partition tells its own, and only a row a partition meets the others.
+    """
+    spark = values.sparkSession
+    ordered = materialise(values.select(F.col(column).cast("double").alias("v")).repartitionByRange("v").sortWithinPartitions("v"), "ordered")
+    part = ordered.select("v", F.spark_partition_id().alias("p"))
+    near = part.withColumn("after", F.lead("v").over(Window.partitionBy("p").orderBy("v")))
+    gap = F.max(F.struct((F.col("after") - F.col("v")).alias("gap"), (-F.col("v")).alias("turned"), F.col("after").alias("to")))
+    parts = near.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), gap.alias("gap")).orderBy("lo", "hi").collect()
+    if not parts:
+        return spark.createDataFrame([], "n bigint, least double, median double, most double, gap double, gap_from double, gap_to double")
+    gaps = [(r["gap"]["gap"], -r["gap"]["turned"], r["gap"]["to"]) for r in parts if r["gap"]["gap"] is not None]
+    gaps += [(b["lo"] - a["hi"], a["hi"], b["lo"]) for a, b in zip(parts, parts[1:], strict=False)]
+    n = sum(r["n"] for r in parts)
+    left = n // 2
+    for r in parts:
+        if left < r["n"]:
+            own = part.filter((F.col("p") == r["p"]))
+            row = own.select("v", F.row_number().over(Window.partitionBy("p").orderBy("v")).alias("k")).filter(F.col("k") == left + 1).first()
+            break
+        left -= r["n"]
+    widest = max(gaps, key=lambda g: (g[0], -g[1]), default=(None, None, None))
+    made = [(n, parts[0]["lo"], row["v"], parts[-1]["hi"], *widest)]
+    return spark.createDataFrame(made, "n bigint, least double, median double, most double, gap double, gap_from double, gap_to double")
+
+
+def cluster_spread(rows: DataFrame) -> DataFrame:
+    """(cluster, members, internal_km) of (id, cluster, lon, lat): the greatest distance of two members, 0 for one alone.
+
+    Members meet tile by tile within their cluster; a pair's distance is folded at once, so pairs never leave a task.
+    """
+    tiles = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    tiles = tiles.withColumn("tiles", F.ceil(F.col("members") / 512).cast("int"))
+    own = rows.join(tiles, "cluster").withColumn("_t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    left = own.withColumn("_o", F.explode(F.sequence(F.col("_t"), F.col("tiles") - 1)))
+    right = own.select("cluster", F.col("id").alias("_id"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.col("_t").alias("_o"))
+    km = F.max(haversine_km(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")))
+    far = left.join(right, ["cluster", "_o"]).groupBy("cluster").agg(km.alias("internal_km"))
+    return tiles.join(far, "cluster").select("cluster", "members", "internal_km")

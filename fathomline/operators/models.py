@@ -39,6 +39,12 @@ def variogram_bins(pairs: DataFrame, edges: list[float], km: str = "km", half: s
     )
 
 
+def bin_report(bins: DataFrame, max_lag: float = MAX_LAG_KM, min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """Adds to each lag bin whether a fit uses it, or why not."""
+    status = F.when(F.col("pair_count") == 0, F.lit("no pairs")).when(F.col("lag_hi_km") > max_lag, F.lit("beyond the largest lag"))
+    return bins.withColumn("status", status.when(F.col("pair_count") < min_pairs, F.lit("too few pairs")).otherwise(F.lit("fitted")))
+
+
 def variogram_fit(bins: DataFrame, family: str = "exponential", max_lag: float = MAX_LAG_KM, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """One row: nugget, partial_sill, range_km, sse. Weighted least squares over a grid of ranges.
 

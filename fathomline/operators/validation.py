@@ -124,3 +124,19 @@ def assert_separated(points: DataFrame, label: str, required_km: float) -> None:
     near = fold_separation(points, label, required_km).filter(F.col("min_km") < required_km).orderBy("min_km").first()
     if near is not None:
         raise ValueError(f"fold {near['fold']}: a training row is {near['min_km']:.3f} km from a test row; {required_km} km are required")
+
+
+def linkage_folds(clusters: DataFrame, min_blocks: int) -> DataFrame:
+    """(label, test_rows, train_rows) of folds that hold out one linked component each; fewer than ``min_blocks`` are refused."""
+    part = clusters.groupBy(F.col("cluster").alias("label")).agg(F.count(F.lit(1)).alias("test_rows"))
+    total = part.agg(F.sum("test_rows").alias("n"), F.count(F.lit(1)).alias("blocks"))
+    enough = F.assert_true(F.col("blocks") >= min_blocks, F.lit(f"fewer than {min_blocks} blocks"))
+    whole = total.select("n", enough.alias("ok"))  # one row
+    return part.join(F.broadcast(whole), F.col("ok").isNull()).select("label", "test_rows", (F.col("n") - F.col("test_rows")).alias("train_rows"))
+
+
+def stability_interval(edges: DataFrame, linkage_km: float) -> DataFrame:
+    """One row (largest spanning edge up to the linkage, smallest beyond it): between them the components stay as they are."""
+    return edges.agg(
+        F.max(F.when(F.col("km") <= linkage_km, F.col("km"))).alias("holds_from"), F.min(F.when(F.col("km") > linkage_km, F.col("km"))).alias("holds_to")
+    )

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.geodesy import covered, haversine_km
-from fathomline.operators import geo, grid, ingest, merge, models, surfaces, validation
+from fathomline.operators import contracts, geo, grid, ingest, merge, models, surfaces, validation
 from fathomline.plans.staging import sql, view
 from fathomline.runtime import table
+from fathomline.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -605,5 +606,104 @@ def scenario_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.difference(_minable(spark, sf_dir, 5.0), _minable(spark, sf_dir, 5.6), ["i", "j"]).select("i", "j")
 
 
+# ---------------------------------------------------------------- adapters, reports and guards
+
+_CORE = [
+    "'SO' || cast(user_id % 7 as string) || '_' || cast(event_id as string) as event", "-abs(value) as elevation_m",
+    "case when event_id % 6 = 0 then 'recovery FAILED' when event_id % 4 = 0 then 'fine' end as comment",
+]
+
+
+@query(f"""select source_record_id, evidence_class, cruise, round(-elevation_m, 9) as water_depth_m, kg, gear,
+  case when lower(comment) like '%failed%' then 'flagged' else 'pending' end as qa_status,
+  case when evidence_class in ('MASS', 'COUNT') then 'A' end as quality_grade,
+  nullif(concat_ws('; ', case when lower(comment) like '%failed%' then 'event comment: ' || comment end,
+    case when evidence_class = 'COVER' then 'cover read from photographs' end), '') as notes
+from (select printf('core_%s_%06d', lower(c), event_id) as source_record_id, c as evidence_class, split_part(event, '_', 1) as cruise, 'box core' as gear,
+    elevation_m, comment, case when c = 'MASS' then mass_kg end as kg
+  from (select *, {', '.join(_CORE)} from {sql('field_event')}) e, (values ('MASS'), ('COUNT'), ('COVER')) k(c)
+  where case c when 'MASS' then mass_kg when 'COUNT' then pieces else cover_pct end is not null)""")
+def box_core_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "field_event").selectExpr("*", *_CORE)
+    records = adapters.mapped_fan_out(
+        rows, "core", "event_id", {"MASS": "mass_kg", "COUNT": "pieces", "COVER": "cover_pct"},
+        shared={"event": "event", "elevation_m": "elevation_m", "comment": "comment"}, static={"gear": "box core"}, per_class={"MASS": {"kg": "mass_kg"}},
+    )
+    columns = ("source_record_id", "evidence_class", "cruise", "kg", "gear", "qa_status", "quality_grade", "notes")
+    return adapters.box_cores(records).select(*columns, r6("water_depth_m", 9))
+
+
+@query(f"""select printf('grid_grid_%06d', event_id) as source_record_id, 'GRID' as evidence_class, 'compiled' as observation_or_prediction, grid_kg_m2 as value
+from {sql('field_event')} where grid_kg_m2 is not null""")
+def regional_grid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.regional_grid(view(spark, sf_dir, "field_event"), "grid", "event_id", "grid_kg_m2", per_class={"GRID": {"value": "grid_kg_m2"}})
+    return rows.select("source_record_id", "evidence_class", "observation_or_prediction", "value")
+
+
+@query(f"""{_LINKED} select cluster as label, count(*) as test_rows, cast(sum(count(*)) over () - count(*) as bigint) as train_rows from label group by cluster""")
+def linkage_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.linkage_folds(geo.single_linkage(view(spark, sf_dir, "outpost"), LINK_KM), 2)
+
+
+@query(f"""{_OUT}, s as (select km, lead(km) over (order by km) as after, row_number() over (order by km) as k from pairs)
+select (select count(*) from pairs) as n, round((select min(km) from pairs), 6) as least, round((select km from s where k = (select count(*) from pairs) // 2 + 1), 6) as median,
+  round((select max(km) from pairs), 6) as most, round(after - km, 6) as gap, round(km, 6) as gap_from, round(after, 6) as gap_to
+from s where after is not null order by after - km desc, km limit 1""")
+def spatial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = geo.ordered_summary(_pairs(spark, sf_dir), "km")
+    return got.select("n", *(r6(c) for c in ("least", "median", "most", "gap", "gap_from", "gap_to")))
+
+
+@query(f"""{_LINKED} select cluster, count(*) as members, round(coalesce(max(km), 0e0), 6) as internal_km from label l left join (
+  select la.id as a, {_KM.format('a', 'b')} as km from label la join label lb on la.cluster = lb.cluster and la.id <> lb.id
+  join o a on a.id = la.id join o b on b.id = lb.id) d on d.a = l.id group by cluster""")
+def cluster_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = view(spark, sf_dir, "outpost")
+    label = geo.single_linkage(o, LINK_KM).join(o.select("id", "lon", "lat"), "id")
+    return geo.cluster_spread(label).select("cluster", "members", r6("internal_km"))
+
+
+@query(f"""{_OUT} select bin, lo as lag_lo_km, hi as lag_hi_km, count(km) as pair_count, case when count(km) = 0 then 'no pairs' when hi > 20e0 then 'beyond the largest lag'
+  when count(km) < 30 then 'too few pairs' else 'fitted' end as status from {_BINS} left join pairs on km >= lo and km < hi group by bin, lo, hi""")
+def variogram_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.bin_report(models.variogram_bins(_near_pairs(spark, sf_dir), EDGES), max_lag=20.0, min_pairs=30).select("bin", "lag_lo_km", "lag_hi_km", "pair_count", "status")
+
+
+@query(f"select count(*) as cells, count(distinct (z, slope)) as distinct_rows, cast(count(*) filter (slope is null) as bigint) as incomplete from {_SLOPE}")
+def distinct_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = grid.slope_aspect(grid.gather(_cells(spark, sf_dir)))
+    rows = layers.select(F.struct("z", "slope").alias("x"), F.col("slope").isNull().alias("gap"))
+    return rows.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("x").alias("distinct_rows"), F.count_if("gap").alias("incomplete"))
+
+
+@query(f"""select cast(sum(n) as bigint) as points, sha256(string_agg(h, '|' order by b)) as fingerprint from (
+  select cast(floor(id / 4096e0) as bigint) as b, count(*) as n, sha256(string_agg(concat_ws(',', cast(id as string), printf('%.9f', lon), printf('%.9f', lat)), '|' order by id)) as h
+  from {sql('station')} group by 1)""")
+def coordinate_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.coordinate_fingerprint(view(spark, sf_dir, "station"))
+
+
+@query(f"""select cast(count(*) filter (is_open) as bigint) as published, cast(count(*) filter (not is_open) as bigint) as withheld,
+  cast(sum(seq) filter (is_open) as bigint) as published_seq from {sql('record')}""")
+def publication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, kept = contracts.publishable(view(spark, sf_dir, "record"))
+    told = out.agg(F.count(F.lit(1)).alias("published"), F.sum("seq").alias("published_seq"))
+    return told.join(F.broadcast(kept.agg(F.count(F.lit(1)).alias("withheld"))), F.lit(True)).select("published", "withheld", "published_seq")
+
+
+@query(f"select count(*) as cells, round(sum(dx * dy / 1e6), 6) as km2, round(sum(metric * dx * dy / 1e6 * 3.5e0), 4) as worth from {_MINE.format('5.2e0')}")
+def minable_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    km2 = F.col("dx") * F.col("dy") / 1e6
+    return _minable(spark, sf_dir, 5.2).agg(
+        F.count(F.lit(1)).alias("cells"), F.round(F.sum(km2), 6).alias("km2"), F.round(F.sum(F.col("metric") * km2 * 3.5), 4).alias("worth")
+    )
+
+
+@query()
+def linkage_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = models.mst_edges(view(spark, sf_dir, "outpost").select("id", "lon", "lat", F.lit(0).alias("all")), "all")
+    return validation.stability_interval(edges, LINK_KM).select(r6("holds_from"), r6("holds_to"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline_cv(spark, sf_dir)
