@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.geodesy import EARTH_KM
-from fathomline.operators.geo import nearest_other
+from fathomline.functions.geodesy import EARTH_KM, haversine_km
+from fathomline.operators.geo import band_join, close_pairs, nearest_other
 from fathomline.operators.graph import components
 from fathomline.runtime import materialise, ship
 
@@ -20,8 +20,9 @@ from fathomline.runtime import materialise, ship
 MIN_PAIRS = 30
 MAX_LAG_KM = 13.0
 CANDIDATES = 200
-#: Points a single kriging system may hold; more are refused, not dropped.
+#: Points that one kriging system holds; beyond, each place is kriged from its nearest points.
 MOST_POINTS = 4000
+NEAREST = 64
 
 
 def variogram_bins(pairs: DataFrame, edges: list[float], km: str = "km", half: str = "half_sq") -> DataFrame:
@@ -130,8 +131,6 @@ class Kriging:
     def __init__(self, xy: np.ndarray, y: np.ndarray, edges: np.ndarray, min_pairs: int = MIN_PAIRS):
         if len(y) < 3:
             raise ValueError(f"{len(y)} points; three are needed")
-        if len(y) > MOST_POINTS:
-            raise ValueError(f"{len(y)} points; one system holds {MOST_POINTS}")
         if np.ptp(y) == 0:
             raise ValueError("the target is constant")
         h = great_circle(xy, xy)
@@ -161,14 +160,119 @@ class Kriging:
         return weight[:-1].T @ self.y, np.sqrt(np.maximum(0, var))
 
 
-def kriging_cv(rows: DataFrame, edges: list[float], min_pairs: int = MIN_PAIRS) -> DataFrame:
+def nearest_points(asked: DataFrame, points: DataFrame, near: int = NEAREST, label: str | None = None) -> DataFrame:
+    """Asked rows (with id, lon, lat) and ``around``: their nearest points as (km, id, lon, lat, y), nearest first.
+
+    With a label, points of the row's own label do not count. Pairs come from band joins whose reach doubles for rows that
+    have met too few points; only the nearest of each row are shuffled. Rows that can meet none keep an empty array.
+    """
+    own = asked.select("id", "lon", "lat", (F.col(label) if label else F.lit(0)).alias("label"))
+    points = materialise(points.select("id", "lon", "lat", "y", (F.col(label) if label else F.lit(1)).alias("label")), "krige-points")
+    box = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("lat")).alias("top"), (F.max("lon") - F.min("lon")).alias("x"), (F.max("lat") - F.min("lat")).alias("y")).first()
+    kind = "array<struct<km:double,id:bigint,lon:double,lat:double,y:double>>"
+    if not box["n"]:
+        return asked.withColumn("around", F.expr(f"cast(array() as {kind})"))
+    reach = max(1e-3, 111.0 * math.sqrt(max(box["x"] * box["y"], 1e-12) * 2 * near / box["n"] / math.pi))
+    left, found = materialise(own, "krige-left"), []
+    while left.head(1):
+        last = reach >= math.pi * EARTH_KM
+        degree = math.degrees(reach / EARTH_KM) * (1 + 1e-9)
+        wide = min(360.0, degree / max(1e-6, math.cos(math.radians(min(89.999, box["top"] + degree)))))
+        met = band_join(left, points, {"lat": degree, "lon": wide}).filter("l_label <> r_label")
+        met = met.withColumn("km", haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat")))
+        met = met if last else met.filter(F.col("km") <= reach)
+        first = met.withColumn("k", F.row_number().over(Window.partitionBy("l_id").orderBy("km", "r_id"))).filter(F.col("k") <= near)
+        point = F.struct("km", F.col("r_id").alias("id"), F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"), F.col("r_y").alias("y"))
+        got = first.groupBy(F.col("l_id").alias("asked_id")).agg(F.array_sort(F.collect_list(point)).alias("around"))
+        found.append(materialise(got if last else got.filter(F.size("around") == near), "krige-found"))
+        if last:
+            break
+        left = materialise(left.join(found[-1], left["id"] == F.col("asked_id"), "left_anti"), "krige-left")
+        reach *= 2
+    around = reduce(DataFrame.unionAll, found)
+    empty = F.expr(f"cast(array() as {kind})")
+    return asked.join(around, asked["id"] == around["asked_id"], "left").drop("asked_id").withColumn("around", F.coalesce("around", empty))
+
+
+def _krige_near(frame: pd.DataFrame, model: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Ordinary kriging of each row from its own points."""
+    out = np.full((len(frame), 2), np.nan)
+    for k, (lon, lat, around) in enumerate(zip(frame["lon"], frame["lat"], frame["around"], strict=True)):
+        if len(around) < 3:
+            continue
+        xy = np.array([(p["lon"], p["lat"]) for p in around])
+        system = np.ones((len(xy) + 1, len(xy) + 1))
+        system[:-1, :-1] = gamma(great_circle(xy, xy), *model)
+        system[-1, -1] = 0
+        right = np.append(gamma(great_circle(xy, np.array([[lon, lat]]))[:, 0], *model), 1)
+        weight = np.linalg.lstsq(system, right, rcond=None)[0]
+        out[k] = weight[:-1] @ np.array([p["y"] for p in around]), math.sqrt(max(0.0, float(weight @ right)))
+    return out[:, 0], out[:, 1]
+
+
+def _lag_sums(pairs: DataFrame, edges: list[float]) -> DataFrame:
+    bin_ = F.lit(None).cast("int")
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        bin_ = F.when((F.col("km") >= lo) & (F.col("km") < hi), F.lit(k)).otherwise(bin_)
+    half = 0.5 * (F.col("a_y") - F.col("b_y")) * (F.col("a_y") - F.col("b_y"))
+    return pairs.select(bin_.alias("k"), "km", half.alias("half"), "a_label", "b_label").filter("k is not null").groupBy("k", "a_label", "b_label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("km").alias("km"), F.sum("half").alias("half")
+    )
+
+
+def _models(rows: DataFrame, edges: list[float], min_pairs: int) -> dict:
+    """A fitted model, or why there is none, for the rows outside each label (None: for all rows).
+
+    Pairs are counted once, by both labels; a fold's training pairs are all but those that touch it.
+    """
+    sums = _lag_sums(close_pairs(rows.select("id", "lon", "lat", "y", "label"), edges[-1], ("y", "label")), edges).collect()  # a row a bin and two labels
+    total = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
+    made = {}
+    for fold in [None, *(r["label"] for r in total)]:
+        rest = [r for r in total if fold is None or r["label"] != fold]
+        n = sum(r["n"] for r in rest)
+        lag = np.zeros((len(edges) - 1, 3))
+        for r in sums:
+            if fold is None or fold not in (r["a_label"], r["b_label"]):
+                lag[r["k"]] += r["n"], r["km"], r["half"]
+        bins = [(km / c, half / c, c) for c, km, half in lag if c >= min_pairs]
+        if n < 3:
+            made[fold] = f"{n} points; three are needed"
+        elif min(r["lo"] for r in rest) == max(r["hi"] for r in rest):
+            made[fold] = "the target is constant"
+        elif len(bins) < 3:
+            made[fold] = f"{len(bins)} lag bin(s) with {min_pairs} pairs; three are needed"
+        else:
+            made[fold] = fit_bins(*np.array(bins).T)
+    return made
+
+
+def kriging_cv(rows: DataFrame, edges: list[float], min_pairs: int = MIN_PAIRS, *, most: int = MOST_POINTS, near: int = NEAREST) -> DataFrame:
     """(fold, id, y, prediction, sd, refusal) of (id, lon, lat, y, label): each fold kriged from the others.
 
-    Training rows are laid out by fold through an equi-join on a table of folds, so each fold is one
-    group of bounded size; a fold that cannot be fitted gives its rows a named refusal.
+    Up to ``most`` rows, training rows are laid out by fold through an equi-join on a table of folds, so each fold is one
+    group of bounded size. Beyond, each row is kriged from the ``near`` rows of other folds that are nearest to it, with
+    its fold's own model. A fold that cannot be fitted gives its rows a named refusal.
     """
     ship(rows.sparkSession)
     grid = np.array(edges)
+    schema = "fold int, id bigint, y double, prediction double, sd double, refusal string"
+    if rows.count() > most:
+        fitted = _models(rows, edges, min_pairs)
+        around = nearest_points(rows.select("id", "lon", "lat", "y", "label"), rows, near, "label")
+
+        def local(frames):
+            for frame in frames:
+                out = pd.DataFrame({"fold": frame["label"], "id": frame["id"], "y": frame["y"], "prediction": np.nan, "sd": np.nan, "refusal": None})
+                for fold, own in frame.groupby("label"):
+                    if isinstance(fitted[fold], str):
+                        out.loc[own.index, "refusal"] = fitted[fold]
+                    else:
+                        p, sd = _krige_near(own, fitted[fold])
+                        out.loc[own.index, "prediction"], out.loc[own.index, "sd"] = p, sd
+                yield out
+
+        return around.mapInPandas(local, schema)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         test = frame[frame["label"] == frame["fold"]]
@@ -183,33 +287,52 @@ def kriging_cv(rows: DataFrame, edges: list[float], min_pairs: int = MIN_PAIRS)
 
     folds = sorted(r["label"] for r in rows.select("label").distinct().collect())
     dealt = rows.select("id", "lon", "lat", "y", "label", F.explode(F.array(*(F.lit(f) for f in folds))).alias("fold"))
-    return dealt.groupBy("fold").applyInPandas(one, "fold int, id bigint, y double, prediction double, sd double, refusal string")
+    return dealt.groupBy("fold").applyInPandas(one, schema)
+
 
+def kriging_surface(
+    train: DataFrame, cells: DataFrame, edges: list[float], min_pairs: int = MIN_PAIRS, *, most: int = MOST_POINTS, near: int = NEAREST
+) -> DataFrame:
+    """Adds prediction and sd to cells (with lon, lat).
 
-def kriging_surface(train: DataFrame, cells: DataFrame, edges: list[float], min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """Adds prediction and sd to cells (with lon, lat). One task fits the system, whose size is checked; all use it."""
+    Up to ``most`` points, one task fits the system and all use it. Beyond, each cell is kriged from its ``near`` nearest
+    points, with the model of all of them.
+    """
     spark = cells.sparkSession
     ship(spark)
     grid = np.array(edges)
+    kinds = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
+    points = train.select("id", "lon", "lat", "y")
+    if points.count() > most:
+        model = _models(points.withColumn("label", F.lit(0)), edges, min_pairs)[None]
+        if isinstance(model, str):
+            raise ValueError(model)
+        numbered = materialise(cells.withColumn("_cell", F.monotonically_increasing_id()), "krige-cells")
+        around = nearest_points(numbered.select(F.col("_cell").alias("id"), "lon", "lat"), points, near)
+
+        def local(frames):
+            for frame in frames:
+                p, sd = _krige_near(frame, model)
+                yield pd.DataFrame({"_cell": frame["id"], "prediction": p, "sd": sd})
+
+        return numbered.join(around.mapInPandas(local, "_cell bigint, prediction double, sd double"), "_cell").drop("_cell")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
         made = Kriging(frame[["lon", "lat"]].to_numpy(), frame["y"].to_numpy(), grid, min_pairs)
         return pd.DataFrame({"model": [pickle.dumps(made)]})
 
-    points = train.select("id", "lon", "lat", "y").limit(MOST_POINTS + 1)  # one more than fits, so that too many are refused
     row = points.groupBy(F.lit(1).alias("all")).applyInPandas(fit, "model binary").first()
     if row is None:
         raise ValueError("0 points; three are needed")
-    model = spark.sparkContext.broadcast(bytes(row["model"]))
+    shared = spark.sparkContext.broadcast(bytes(row["model"]))
 
     def run(frames):
-        fitted = pickle.loads(model.value)
+        fitted = pickle.loads(shared.value)
         for frame in frames:
             p, sd = fitted.predict(frame[["lon", "lat"]].to_numpy()) if len(frame) else (np.zeros(0), np.zeros(0))
             yield frame.assign(prediction=p, sd=sd)
 
-    kinds = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
     return cells.mapInPandas(run, f"{kinds}, prediction double, sd double")
 
 

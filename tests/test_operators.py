@@ -329,3 +329,57 @@ def test_mst_of_large_groups(spark):
     rows = lambda df: sorted(((r["g"], r["a"], r["b"], round(r["km"], 6)) for r in df.collect()), key=str)
     want = rows(models.mst_edges(pts, "g"))
     assert rows(models.mst_edges(pts, "g", most=10)) == want and len(want) == 44 + 14 + 2 + 11
+
+
+def field(spark, n=260):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    lon, lat = r.uniform(-120, -119, n), r.uniform(10, 11, n)
+    y = np.sin(6 * lon) + np.cos(5 * lat) + 0.05 * r.normal(size=n)
+    rows = [(k, float(lon[k]), float(lat[k]), float(y[k]), k % 4) for k in range(n)]
+    return spark.createDataFrame(rows, "id bigint, lon double, lat double, y double, label int"), rows
+
+
+LAGS = [0.0, 5, 10, 15, 20, 30, 40, 60]
+
+
+def test_kriging_equals_plain_systems(spark):
+    """Each fold: bins, fit and system in plain numpy, one right side at a time."""
+    import numpy as np
+
+    df, rows = field(spark, 120)
+    got = {r["id"]: r for r in models.kriging_cv(df, LAGS, 20).collect()}
+    km = lambda a, b: float(models.great_circle(np.array([a[1:3]]), np.array([b[1:3]]))[0, 0])
+    for fold in range(4):
+        train = [r for r in rows if r[4] != fold]
+        pairs = [(km(a, b), 0.5 * (a[3] - b[3]) ** 2) for i, a in enumerate(train) for b in train[i + 1 :]]
+        bins = []
+        for lo, hi in zip(LAGS, LAGS[1:], strict=False):
+            own = [p for p in pairs if lo <= p[0] < hi]
+            if len(own) >= 20:
+                bins.append((np.mean([p[0] for p in own]), np.mean([p[1] for p in own]), len(own)))
+        model = models.fit_bins(*np.array(bins, float).T)
+        n = len(train)
+        system = np.array([[float(models.gamma(np.array([km(a, b)]), *model)[0]) for b in train] + [1.0] for a in train] + [[1.0] * n + [0.0]])
+        for test in [r for r in rows if r[4] == fold][:6]:
+            right = np.array([float(models.gamma(np.array([km(a, test)]), *model)[0]) for a in train] + [1.0])
+            w = np.linalg.solve(system, right)
+            assert got[test[0]]["prediction"] == pytest.approx(w[:-1] @ [a[3] for a in train], abs=1e-6)
+            assert got[test[0]]["sd"] == pytest.approx(math.sqrt(max(0, w @ right)), abs=1e-5)
+
+
+def test_local_kriging_is_near_the_whole_system(spark):
+    df, _ = field(spark)
+    whole = {r["id"]: r for r in models.kriging_cv(df, LAGS, 20).collect()}
+    for near, error in ((260, 1e-6), (64, 0.05)):
+        local = {r["id"]: r for r in models.kriging_cv(df, LAGS, 20, most=10, near=near).collect()}
+        assert local.keys() == whole.keys()
+        assert max(abs(local[k]["prediction"] - whole[k]["prediction"]) for k in whole) < error
+        assert max(abs(local[k]["sd"] - whole[k]["sd"]) for k in whole) < error
+    cells = df.select(F.col("id").alias("cell"), (F.col("lon") + 0.01).alias("lon"), "lat")
+    a = {r["cell"]: r for r in models.kriging_surface(df, cells, LAGS, 20).collect()}
+    b = {r["cell"]: r for r in models.kriging_surface(df, cells, LAGS, 20, most=10).collect()}
+    assert a.keys() == b.keys() and max(abs(a[k]["prediction"] - b[k]["prediction"]) for k in a) < 0.05
+    flat = {r["refusal"] for r in models.kriging_cv(df.withColumn("y", F.lit(1.0)), LAGS, 20, most=10).collect()}
+    assert flat == {"the target is constant"}
