@@ -122,6 +122,16 @@ def test_unweighed_and_origins(spark):
         names.agg(ingest.least_real(ingest.origin_rank(F.lit("x")))).collect()
 
 
+def test_small_components_equal_rounds(spark, monkeypatch):
+    import random
+
+    r = random.Random(1)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(190)] + [(1000 + k, 1001 + k) for k in range(60)], "a bigint, b bigint")
+    at_once = sorted(map(tuple, graph.components(edges).collect()))
+    monkeypatch.setattr(graph, "SMALL", -1)
+    assert at_once == sorted(map(tuple, graph.components(edges).collect()))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
