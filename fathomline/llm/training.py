@@ -21,25 +21,28 @@ def labelled_sample(
     """A bounded sample of labelled rows outside the held-out fold, and each class's whole count.
 
     At most about ``per_class`` rows a class, chosen by the hash of the id; texts beyond
-    ``max_bytes`` are not drawn. Rows with a null or other label than 0 and 1 are ignored.
+    ``max_bytes`` are not drawn. Rows with a null or other label than 0 and 1 are ignored, and so are
+    ids whose labels contradict each other. Of texts that share an id, the smallest hash is drawn.
     Columns: text, lang, label, in an order that depends on the ids only.
     """
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("int").alias("label"))
     marks = marks.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).filter(C.fold(F.col("doc_id"), folds) != held)
+    marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").select("doc_id", "label")
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(per_class / n)).otherwise(share)
     # about two times per_class ids at most, so this side may be broadcast
-    chosen = F.broadcast(marks.filter(draw < share * float(1 << 30)).dropDuplicates(["doc_id"]))
+    chosen = F.broadcast(marks.filter(draw < share * float(1 << 30)))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     text = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
         lang.cast("string").alias("lang"),
     )
     rows = text.filter(F.octet_length("text") <= max_bytes).join(chosen, "doc_id")
-    table = rows.select("doc_id", "text", "lang", "label").toArrow()
+    one = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text", "lang"), "text", "lang")).alias("one")
+    table = rows.groupBy("doc_id", "label").agg(one).select("doc_id", "one.text", "one.lang", "label").toArrow()
     order = np.argsort(C.mix(table.column("doc_id").to_numpy().astype(np.uint64) + np.uint64(9)), kind="stable")
     return table.take(pa.array(order)).drop_columns(["doc_id"]), counts
 

@@ -11,7 +11,7 @@ Counts cover all labelled URLs. They are kept in ``2**LOG_SLOTS`` hashed cells p
 class, so what the driver gathers and broadcasts has a fixed bound.
 
 Edge cases. A null URL or one without ``://`` has an empty host and path, fits no rule, and is
-judged by its whole text (null: empty, score 0). Without examples of both classes every score is
+judged by its whole text (null: empty, score 0). A long URL is read piece by piece. Without examples of both classes every score is
 0 and every such URL passes. Rows are kept as they come, repeated ones too; extra columns are
 ignored; an empty table gives an empty result.
 """
@@ -35,6 +35,8 @@ LOG_SLOTS = 15
 HELD = 5
 STEP = 0.01
 ALPHABET = 64
+#: Characters that are read at once.
+PIECE = 1 << 18
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,68 +59,80 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return found
 
 
-def _cells(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Per character of all URLs: its cell at each order, its URL, the length of each, its context's cell."""
-    chunks = list(C.text_chunks(column, 1 << 30))
-    if not chunks:
-        return [np.zeros(0, np.int64)] * (ORDER + 1), np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    (chunk,) = chunks
-    data = C.LOWER[chunk.data].astype(np.uint64) + np.uint64(1)
-    size = np.diff(chunk.starts)
-    url = np.repeat(np.arange(chunk.n), size)
-    place = np.arange(len(data)) - chunk.starts[:-1][url]
-    cells, contexts = [], []
-    context = np.zeros(len(data), np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            back = np.zeros(len(data), np.uint64)
-            back[order:] = data[:-order]
-            back[place < order] = 0  # before the URL's start
-            context = C.mix(context + back + np.uint64(order << 20))
-        contexts.append((C.mix(context) >> np.uint64(64 - LOG_SLOTS)).astype(np.int64))
-        cells.append((C.mix(context + data * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - LOG_SLOTS)).astype(np.int64))
-    return cells, url, size, contexts
-
-
-_COUNTS = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType())])
+def _cells(column: pa.Array) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """Some characters at a time: their cells and their contexts' cells at each order, and their URLs."""
+    rows = 0
+    for chunk in C.text_chunks(column, PIECE):
+        url = np.repeat(np.arange(rows, rows + chunk.n), np.diff(chunk.starts))
+        rows += chunk.n
+        for a in range(0, len(chunk.data), PIECE):
+            lo, to = max(0, a - ORDER), min(len(chunk.data), a + PIECE)
+            data = C.LOWER[chunk.data[lo:to]].astype(np.uint64) + np.uint64(1)
+            own = url[lo:to]
+            place = np.arange(lo, to) - chunk.starts[:-1][own - url[0]]
+            cells, contexts = [], []
+            context = np.zeros(len(data), np.uint64)
+            for order in range(ORDER + 1):
+                if order:
+                    back = np.zeros(len(data), np.uint64)
+                    back[order:] = data[:-order]
+                    back[place < order] = 0  # before the URL's start
+                    context = C.mix(context + back + np.uint64(order << 20))
+                contexts.append((C.mix(context) >> np.uint64(64 - LOG_SLOTS)).astype(np.int64)[a - lo :])
+                cells.append((C.mix(context + data * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - LOG_SLOTS)).astype(np.int64)[a - lo :])
+            yield cells, contexts, own[a - lo :]
+
+
+_COUNTS = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("home", T.IntegerType())])
 _PER = 1 << LOG_SLOTS
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task, non-zero cells only. Cells: class, order, (symbol | context), slot."""
+    """Partial counts of a task, non-zero cells only, and the context each symbol's cell stands in.
+
+    Cells: class, order, (symbol | context), slot.
+    """
     total = np.zeros((2, ORDER + 1, 2, _PER), np.int64)
+    home = np.full((2, ORDER + 1, 2, _PER), -1, np.int32)
     for batch in batches:
         label = batch.column("label").to_numpy()
-        cells, url, _, contexts = _cells(batch.column("url"))
-        for c in (0, 1):
-            own = label[url] == c if len(url) else np.zeros(0, bool)
-            for order in range(ORDER + 1):
-                total[c, order, 0] += np.bincount(cells[order][own], minlength=_PER)
-                total[c, order, 1] += np.bincount(contexts[order][own], minlength=_PER) if len(contexts) else 0
+        for cells, contexts, url in _cells(batch.column("url")):
+            for c in (0, 1):
+                own = label[url] == c
+                for order in range(ORDER + 1):
+                    total[c, order, 0] += np.bincount(cells[order][own], minlength=_PER)
+                    total[c, order, 1] += np.bincount(contexts[order][own], minlength=_PER)
+                    home[c, order, 0][cells[order][own]] = contexts[order][own]
     flat = total.ravel()
     at = np.flatnonzero(flat)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=_COUNTS.names)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at]), pa.array(home.ravel()[at])], names=_COUNTS.names)
 
 
 class Ratio:
     """Log-likelihood difference per character under the two models' counts."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, home: np.ndarray):
+        """Counts by cell, and for symbols' cells the contexts they stand in, whose distinct successors they are."""
         self.n = counts.reshape(2, ORDER + 1, 2, _PER).astype(np.float32)
-
-    def __call__(self, column: pa.Array) -> np.ndarray:
-        cells, url, size, contexts = _cells(column)
-        if not len(url):
-            return np.zeros(len(size) if len(size) else len(column))
-        logs = []
+        home = home.reshape(2, ORDER + 1, 2, _PER)
+        self.kinds = np.zeros((2, ORDER + 1, _PER), np.float32)
         for c in (0, 1):
-            p = np.full(len(url), 1 / ALPHABET, np.float32)
             for order in range(ORDER + 1):
-                n, all_ = self.n[c, order, 0][cells[order]], self.n[c, order, 1][contexts[order]]
-                kinds = np.minimum(all_, 4 + np.sqrt(all_))  # about the distinct successors
-                p = np.where(all_ > 0, (np.minimum(n, all_) + kinds * p) / np.maximum(all_ + kinds, 1), p)
-            logs.append(np.bincount(url, np.log(p), len(size)))
-        return (logs[1] - logs[0]) / np.maximum(1, size)
+                own = home[c, order, 0][self.n[c, order, 0] > 0]
+                # a context has a successor, even where another context took its cell
+                self.kinds[c, order] = np.maximum(1, np.bincount(own[own >= 0], minlength=_PER))
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        total, size = np.zeros(len(column)), np.zeros(len(column))
+        for cells, contexts, url in _cells(column):
+            size += np.bincount(url, minlength=len(column))
+            for c in (0, 1):
+                p = np.full(len(url), 1 / ALPHABET, np.float32)
+                for order in range(ORDER + 1):
+                    n, all_, kinds = self.n[c, order, 0][cells[order]], self.n[c, order, 1][contexts[order]], self.kinds[c, order][contexts[order]]
+                    p = np.where(all_ > 0, (np.minimum(n, all_) + kinds * p) / np.maximum(all_ + kinds, 1), p)
+                total += (2 * c - 1) * np.bincount(url, np.log(p), len(column))
+        return total / np.maximum(1, size)
 
 
 def _score(shared, schema_names):
@@ -147,11 +161,11 @@ def judge(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     own = own.withColumn("said", said)
     marked = own.filter("said is not null").select("url", (F.col("said") == "allow").cast("int").alias("label"))
     held = F.pmod(F.xxhash64("url"), F.lit(HELD)) == 0
-    cells = marked.filter(~held).mapInArrow(_count, _COUNTS).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * (ORDER + 1) * 2 * _PER, np.int64)
-    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    cells = marked.filter(~held).mapInArrow(_count, _COUNTS).groupBy("cell").agg(F.sum("n").alias("n"), F.max("home").alias("home")).toArrow()
+    counts, home = np.zeros(2 * (ORDER + 1) * 2 * _PER, np.int64), np.full(2 * (ORDER + 1) * 2 * _PER, -1, np.int32)
+    counts[cells.column("cell").to_numpy()], home[cells.column("cell").to_numpy()] = cells.column("n").to_numpy(), cells.column("home").to_numpy()
     both = counts.reshape(2, -1).sum(1).min() > 0
-    shared = spark.sparkContext.broadcast(Ratio(counts) if both else None)
+    shared = spark.sparkContext.broadcast(Ratio(counts, home) if both else None)
     limit = 0.0
     if both:
         scored = marked.filter(held).mapInArrow(_score(shared, ["url", "label"]), "url string, label int, score double")

@@ -146,6 +146,18 @@ def test_gradients_of_the_attention_net():
     assert steps[-1] < before / 10
 
 
+def test_labels_that_contradict_are_left_out(spark):
+    from fathomline.llm.training import labelled_sample
+
+    docs = spark.createDataFrame([(1, "a", "en"), (1, "b", "en"), (3, "c", None), (4, "d", "de"), (5, None, "de")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (3, 1), (4, 0), (5, 1), (None, 1), (9, 2)], "doc_id bigint, toxic int")
+    table, counts = labelled_sample(docs, labels, "toxic", folds=1, held=9)
+    got = sorted(zip(table.column("text").to_pylist(), table.column("label").to_pylist(), strict=True))
+    assert counts == {0: 1, 1: 2} and [c for _, c in got] == [1, 1, 0] and {t for t, _ in got} - {"a", "b"} == {"", "d"}
+    again, _ = labelled_sample(docs.orderBy("text"), labels, "toxic", folds=1, held=9)
+    assert again.equals(table)
+
+
 # ---------------------------------------------------------------- language model
 
 def test_base_counts_are_exact(spark, odd_docs, no_docs):

@@ -5,11 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fathomline.llm import decontam, html_layout, packing, queries, url_filter, warc_shards
@@ -68,6 +71,51 @@ def test_model_tells_kinds_of_urls_apart(spark):
     assert got[600]["rule"] is None and (got[600]["verdict"], got[601]["verdict"]) == ("allow", "block")
 
 
+def plain_ratio(urls, texts):
+    """Witten-Bell models of labelled urls, character by character, without hashing."""
+    seen = {c: [Counter() for _ in range(url_filter.ORDER + 1)] for c in (0, 1)}
+    for url, label in urls:
+        raw = url.encode().lower()
+        for k in range(len(raw)):
+            for order in range(url_filter.ORDER + 1):
+                seen[label][order][bytes(max(0, order - k)) + raw[max(0, k - order) : k], raw[k]] += 1
+    out = []
+    for text in texts:
+        raw, total = text.encode().lower(), 0.0
+        for label in (0, 1):
+            by = [({}, {}) for _ in seen[label]]
+            for order, counts in enumerate(seen[label]):
+                for (context, _), n in counts.items():
+                    by[order][0][context] = by[order][0].get(context, 0) + n
+                    by[order][1][context] = by[order][1].get(context, 0) + 1
+            for k in range(len(raw)):
+                p = 1 / url_filter.ALPHABET
+                for order in range(url_filter.ORDER + 1):
+                    context = bytes(max(0, order - k)) + raw[max(0, k - order) : k]
+                    n, kinds = by[order][0].get(context, 0), by[order][1].get(context, 0)
+                    if n:
+                        p = (seen[label][order][context, raw[k]] + kinds * p) / (n + kinds)
+                total += (2 * label - 1) * math.log(p)
+        out.append(total / max(1, len(raw)))
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 7])
+def test_scores_equal_plain_models(monkeypatch, piece):
+    monkeypatch.setattr(url_filter, "PIECE", piece)
+    r = random.Random(8)
+    urls = [(f"http://a{r.randrange(9)}.b/c{r.randrange(30)}", k % 2) for k in range(60)] + [("x" * 40 + "é", 1), ("", 0)]
+    counts, home = np.zeros(2 * (url_filter.ORDER + 1) * 2 * url_filter._PER, np.int64), np.full(2 * (url_filter.ORDER + 1) * 2 * url_filter._PER, -1)
+    batch = pa.RecordBatch.from_pydict({"url": [u for u, _ in urls], "label": pa.array([c for _, c in urls], pa.int32())})
+    for made in url_filter._count(iter([batch])):
+        at = made.column("cell").to_numpy()
+        counts[at], home[at] = made.column("n").to_numpy(), made.column("home").to_numpy()
+    texts = ["http://a3.b/c77", "", "zzz", "xxxxxxxx", "http://a1.b/c2é"]
+    got = url_filter.Ratio(counts, home)(pa.array(texts))
+    # contexts that meet in one of 32,768 cells are rare here
+    assert got == pytest.approx(plain_ratio(urls, texts), abs=2e-2)
+
+
 def test_calibration():
     assert -0.05 < url_filter.calibrate([(0, -9, 5), (1, 8, 5)]) < 0.05
     assert url_filter.calibrate([]) == pytest.approx(-0.005)
