@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a private one only where that is unset and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="fathomline-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -45,12 +47,35 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
     The files outlive any executor, so a later stage that is retried rereads them instead of
-    recomputing the plan above; columns are compressed, unlike a checkpoint's rows.
+    recomputing the plan above; columns are compressed, unlike a checkpoint's rows. Tables lie in
+    a folder of their application, which ``clear`` deletes; ``discard`` deletes one.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` made, once nothing that is still to run reads them."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that ``materialise`` made in this application, when their results are stored elsewhere."""
+    _delete(spark, _own_folder(spark))
 
 
 def shuffle_width(spark: SparkSession) -> int:
