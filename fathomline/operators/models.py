@@ -390,12 +390,35 @@ def mst_edges(points: DataFrame, group: str, most: int = MOST_POINTS) -> DataFra
     return small if more is None else small.unionByName(more)
 
 
-def forest_quantiles(train: DataFrame, test: DataFrame, features: list[str], *, trees: int = 30, depth: int = 8, seed: int = 0) -> DataFrame:
-    """(id, prediction, q16, q84, sd) of a quantile forest: training rows weigh 1 / leaf size in each tree.
+def pooled_quantiles(held: DataFrame, asked: DataFrame, trees: int) -> DataFrame:
+    """(id, prediction, q16, q84, sd) from leaves of training rows (tree, leaf, y) and of asked rows (id, tree, leaf).
 
-    Leaves meet by an equi-join on (tree, leaf) after equal targets of a leaf were summed, and a
-    target's weight is summed over trees before the quantiles are read off.
+    A training row weighs 1 / leaf size in each tree. Leaves meet by an equi-join after equal targets of a leaf were
+    summed, and a target's weight is summed over trees before the quantiles are read off.
     """
+    held = held.groupBy("tree", "leaf", "y").agg(F.count(F.lit(1)).alias("n"))
+    size = held.groupBy("tree", "leaf").agg(F.sum("n").alias("size"))
+    weigh = held.join(size, ["tree", "leaf"]).select("tree", "leaf", "y", (F.col("n") / F.col("size") / trees).alias("w"))
+    pooled = asked.join(weigh, ["tree", "leaf"]).groupBy("id", "y").agg(F.sum("w").alias("w"))
+    run = pooled.withColumn("c", F.sum("w").over(Window.partitionBy("id").orderBy("y")))
+    out = run.groupBy("id").agg(
+        F.sum(F.col("y") * F.col("w")).alias("prediction"),
+        F.min(F.when(F.col("c") >= 0.16 - 1e-12, F.col("y"))).alias("q16"),
+        F.min(F.when(F.col("c") >= 0.84 - 1e-12, F.col("y"))).alias("q84"),
+    )
+    return out.withColumn("sd", (F.col("q84") - F.col("q16")) / 2)
+
+
+def forest_report(train: DataFrame, predicted: DataFrame, features: list[str]) -> DataFrame:
+    """One row on a forest: training rows, distinct feature rows, quantiles of the target, and predictions without a spread."""
+    q = F.percentile_approx("y", [0.0, 0.16, 0.5, 0.84, 1.0], 10_000)
+    fit = train.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(*features)).alias("distinct_rows"), q.alias("quantiles"))
+    flat = predicted.agg(F.count(F.lit(1)).alias("predictions"), F.count_if(F.col("sd") == 0).alias("without_spread"))
+    return fit.join(F.broadcast(flat), F.lit(True))  # two single rows
+
+
+def forest_quantiles(train: DataFrame, test: DataFrame, features: list[str], *, trees: int = 30, depth: int = 8, seed: int = 0) -> DataFrame:
+    """(id, prediction, q16, q84, sd) of a quantile forest, pooled by the leaves that rows share."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import RandomForestRegressor
@@ -408,15 +431,5 @@ def forest_quantiles(train: DataFrame, test: DataFrame, features: list[str], *,
     def leaves(df: DataFrame, *keep: str) -> DataFrame:
         return df.select(*keep, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
 
-    held = leaves(model.transform(laid), "y").groupBy("tree", "leaf", "y").agg(F.count(F.lit(1)).alias("n"))
-    size = held.groupBy("tree", "leaf").agg(F.sum("n").alias("size"))
-    weigh = held.join(size, ["tree", "leaf"]).select("tree", "leaf", "y", (F.col("n") / F.col("size") / trees).alias("w"))
     asked = leaves(model.transform(join_up.transform(test)), "id")
-    pooled = asked.join(weigh, ["tree", "leaf"]).groupBy("id", "y").agg(F.sum("w").alias("w"))
-    run = pooled.withColumn("c", F.sum("w").over(Window.partitionBy("id").orderBy("y")))
-    out = run.groupBy("id").agg(
-        F.sum(F.col("y") * F.col("w")).alias("prediction"),
-        F.min(F.when(F.col("c") >= 0.16 - 1e-12, F.col("y"))).alias("q16"),
-        F.min(F.when(F.col("c") >= 0.84 - 1e-12, F.col("y"))).alias("q84"),
-    )
-    return out.withColumn("sd", (F.col("q84") - F.col("q16")) / 2)
+    return pooled_quantiles(leaves(model.transform(laid), "y"), asked, trees)

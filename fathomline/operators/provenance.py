@@ -6,9 +6,11 @@ import hashlib
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.functions.geodesy import covered
+
 
 def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
@@ -33,8 +35,9 @@ def verify(artifact: dict[str, Any], upstream: dict[str, dict[str, Any]] | None
             raise ValueError(f"{artifact['kind']}: {name} is not the one it was made from")
 
 
-def corpus_manifest(corpus: DataFrame, log: DataFrame | None = None) -> dict[str, Any]:
-    """Counts by class, status and source, the bounding box, and dispositions, from grouped aggregates."""
+def corpus_manifest(corpus: DataFrame, log: DataFrame | None = None, licences: DataFrame | None = None, ring: list[tuple[float, float]] | None = None) -> dict[str, Any]:
+    """Counts by class, status and source, distinct places, the bounding box, dispositions, rows by licence of their source
+    (source_id, licence; an unknown source counts as such), and rows inside a study area, from grouped aggregates."""
     def by(column: str) -> dict[str, int]:
         return {str(r[0]): r[1] for r in sorted(corpus.groupBy(column).count().collect(), key=lambda r: str(r[0]))}
 
@@ -42,9 +45,27 @@ def corpus_manifest(corpus: DataFrame, log: DataFrame | None = None) -> dict[str
     body: dict[str, Any] = {"rows": corpus.count(), "by_class": by("evidence_class"), "by_status": by("qa_status"), "by_source": by("source_id"), "bounding_box": list(box)}
     if log is not None:
         body["dispositions"] = {r[0]: r[1] for r in sorted(log.groupBy("disposition").count().collect())}
+    body["places"] = corpus.agg(F.count_distinct("longitude", "latitude")).first()[0]
+    if licences is not None:
+        told = corpus.join(licences.select(F.col("source_id").alias("_s"), "licence"), F.col("source_id") == F.col("_s"), "left").groupBy("licence").count().collect()
+        body["by_licence"] = {str(r[0] or "unknown"): r[1] for r in sorted(told, key=lambda r: str(r[0]))}
+    if ring is not None:
+        body["inside"] = corpus.filter(covered(F.col("longitude"), F.col("latitude"), ring)).count()
     return sealed("corpus", body)
 
 
+def write_manifest(spark: SparkSession, manifest: dict[str, Any], path: str) -> None:
+    """One line of canonical JSON, in whatever store Spark writes."""
+    spark.createDataFrame([(canonical(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict[str, Any]:
+    """A manifest whose content is what its hash says."""
+    made = json.loads(spark.read.text(path).first()["value"])
+    verify(made)
+    return made
+
+
 def frame_hash(df: DataFrame) -> str:
     """Order-free content hash of a table: count and sum of row hashes, never its rows."""
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()

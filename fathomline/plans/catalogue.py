@@ -699,6 +699,21 @@ def minable_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LEAVES = "(select id, y, tree, (id * (7 + 4 * tree)) % 23 + tree as leaf from {0} cross join range(5) t(tree) where id % 10 {1} 0)"
+
+
+@query(f"""with held as {_LEAVES.format(sql('station'), '<>')}, asked as {_LEAVES.format(sql('station'), '=')},
+w as (select tree, leaf, y, count(*) / sum(count(*)) over (partition by tree, leaf) / 5e0 as w from held group by tree, leaf, y),
+p as (select a.id, w.y, sum(w) as w from asked a join w on a.tree = w.tree and a.leaf = w.leaf group by a.id, w.y),
+c as (select *, sum(w) over (partition by id order by y) as c from p)
+select id, round(sum(y * w), 6) as prediction, min(y) filter (c >= 0.16e0 - 1e-12) as q16, min(y) filter (c >= 0.84e0 - 1e-12) as q84 from c group by id""")
+def leaf_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "station").select("id", "y", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("tree"))
+    rows = rows.withColumn("leaf", F.col("id") * (7 + 4 * F.col("tree")) % 23 + F.col("tree"))
+    got = models.pooled_quantiles(rows.filter("id % 10 <> 0").select("tree", "leaf", "y"), rows.filter("id % 10 = 0").select("id", "tree", "leaf"), 5)
+    return got.select("id", r6("prediction"), "q16", "q84")
+
+
 @query()
 def linkage_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = models.mst_edges(view(spark, sf_dir, "outpost").select("id", "lon", "lat", F.lit(0).alias("all")), "all")

@@ -84,3 +84,16 @@ def test_folds_gaps_and_stability(spark):
     values = spark.createDataFrame([(float(v),) for v in (5, 1, 2, 9, 14, 2)], "v double")
     assert tuple(geo.ordered_summary(values, "v").first()) == (6, 1.0, 5.0, 14.0, 5.0, 9.0, 14.0)
     assert geo.ordered_summary(values.limit(0), "v").count() == 0
+
+
+def test_manifest_files_and_corpus(spark, tmp_path):
+    rows = [("MASS", "pass", "s1", -120.5, 10.5), ("MASS", "pass", "s2", -120.5, 10.5), ("COUNT", "fail", "s3", -100.0, 50.0)]
+    corpus = spark.createDataFrame(rows, "evidence_class string, qa_status string, source_id string, longitude double, latitude double")
+    licences = spark.createDataFrame([("s1", "CC-BY"), ("s2", "CC-BY")], "source_id string, licence string")
+    made = provenance.corpus_manifest(corpus, licences=licences, ring=[(-121, 10), (-120, 10), (-120, 11), (-121, 11), (-121, 10)])
+    assert made["places"] == 2 and made["by_licence"] == {"CC-BY": 2, "unknown": 1} and made["inside"] == 2
+    provenance.write_manifest(spark, made, f"{tmp_path}/m")
+    assert provenance.read_manifest(spark, f"{tmp_path}/m") == made
+    provenance.write_manifest(spark, made | {"inside": 3}, f"{tmp_path}/n")
+    with pytest.raises(ValueError, match="differs"):
+        provenance.read_manifest(spark, f"{tmp_path}/n")

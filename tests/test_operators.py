@@ -262,6 +262,36 @@ def test_forest_pairs_each_prediction_with_a_spread(spark):
     assert out.filter("abs(prediction - y) <= 12").count() >= 90
 
 
+def test_forest_report(spark):
+    train = spark.createDataFrame([(1.0, 2.0, 5.0), (1.0, 2.0, 6.0), (3.0, 2.0, 9.0)], "a double, b double, y double")
+    got = models.forest_report(train, spark.createDataFrame([(0.0,), (1.5,)], "sd double"), ["a", "b"]).first()
+    assert (got["rows"], got["distinct_rows"], got["predictions"], got["without_spread"]) == (3, 2, 2, 1)
+    assert got["quantiles"] == [5.0, 5.0, 6.0, 9.0, 9.0]
+
+
+def test_spanning_edges_equal_kruskal(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, r.uniform(-120, -118), r.uniform(9, 11), k % 3) for k in range(90)]
+    km = lambda a, b: float(models.great_circle(np.array([a[1:3]]), np.array([b[1:3]]))[0, 0])
+    parent = list(range(90))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    want = set()
+    for _, a, b in sorted((km(p, q), p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and p[3] == q[3]):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            want.add((a, b))
+    df = spark.createDataFrame(rows, "id bigint, lon double, lat double, g int")
+    for most in (4000, 20):
+        assert {(x["a"], x["b"]) for x in models.mst_edges(df, "g", most=most).collect()} == want
+
+
 def test_mst(spark):
     pts = spark.createDataFrame([(k, 0.1 * k, 0.0, "g") for k in range(6)], "id bigint, lon double, lat double, g string")
     assert sorted((r["a"], r["b"]) for r in models.mst_edges(pts, "g").collect()) == [(k, k + 1) for k in range(5)]
