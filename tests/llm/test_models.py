@@ -146,6 +146,30 @@ def test_gradients_of_the_attention_net():
     assert steps[-1] < before / 10
 
 
+def test_attention_equals_plain_loops():
+    r = np.random.default_rng(7)
+    net = quality_mil.Net(3)
+    net.p["enc0"], net.p["base"] = r.normal(size=quality_mil.HIDDEN).astype(np.float32), np.array([0.3], np.float32)
+    texts = ["One short line.", " ".join(f"Wort{k % 31} und, mehr" for k in range(220)), "", "x " * 400]
+    x, bags = quality_mil.passages(next(C.text_chunks(pa.array(texts))))
+    assert np.diff(bags).tolist() == [1, 7, 1, 5]
+    got = net.score(x, bags)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for i in range(len(texts)):
+        weights, shown = [], []
+        for row in x[bags[i] : bags[i + 1]].astype(float):
+            h = [math.tanh(sum(row[j] * p["enc"][j, k] for j in np.flatnonzero(row)) + p["enc0"][k]) for k in range(quality_mil.HIDDEN)]
+            e = 0.0
+            for g in range(quality_mil.GATES):
+                t = math.tanh(sum(h[k] * p["tan"][k, g] for k in range(len(h))))
+                e += p["att"][g] * t / (1 + math.exp(-sum(h[k] * p["gate"][k, g] for k in range(len(h)))))
+            weights.append(math.exp(e))
+            shown.append(h)
+        z = [sum(w * h[k] for w, h in zip(weights, shown, strict=True)) / sum(weights) for k in range(quality_mil.HIDDEN)]
+        want = 1 / (1 + math.exp(-sum(z[k] * p["out"][k] for k in range(len(z))) - p["base"][0]))
+        assert got[i] == pytest.approx(want, rel=1e-3)
+
+
 def test_labels_that_contradict_are_left_out(spark):
     from fathomline.llm.training import labelled_sample
 
