@@ -395,6 +395,20 @@ def terrain_bpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.bpi(view(spark, sf_dir, "cell"), 2, 4).select("i", "j", r6("bpi"))
 
 
+def _ring(inner: int, outer: int) -> str:
+    return f"""(select i, j, case when m = {grid.ring_size(inner, outer)} then z - mean end as bpi from (
+  select c.i, c.j, c.z, count(k.z) as m, avg(k.z) as mean from {sql('cell')} c left join {sql('cell')} k on k.i between c.i - {outer} and c.i + {outer}
+  and k.j between c.j - {outer} and c.j + {outer} and (k.i - c.i) * (k.i - c.i) + (k.j - c.j) * (k.j - c.j) between {inner * inner} and {outer * outer} group by c.i, c.j, c.z))"""
+
+
+@query(f"""select i, j, z as depth, round(slope, 9) as slope, round(aspect, 6) as aspect, round(case when m = 9 then sd end, 6) as roughness,
+  round(case when m = 9 then q.z - mean end, 6) as tpi, round(bpi, 6) as bpi
+from {_square(3)} q join (select i, j, slope, aspect from {_SLOPE}) using (i, j) join {_ring(1, 3)} using (i, j)""")
+def terrain_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = grid.stack(_cells(spark, sf_dir))
+    return layers.select("i", "j", "depth", r6("slope", 9), *(r6(c) for c in ("aspect", "roughness", "tpi", "bpi")))
+
+
 _PLACED = f"(select id, y, cast(floor((20e0 - lat) / 0.05e0) as int) as i, cast(floor((lon - (-125e0)) / 0.2e0) as int) as j from {sql('station')})"
 
 

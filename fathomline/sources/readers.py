@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.operators.ingest import validate
+
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN is not a value of the data model: doubles that hold it become null."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
@@ -77,6 +79,11 @@ def read_live(identifier: str, loader: Callable[[str], DataFrame] | None = None)
     return loader(identifier)
 
 
+def read_corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored corpus, each of whose rows keeps the rules; the first that does not fails the job, naming what it breaks."""
+    return validate(read_csv(spark, path, schema), strict=True)[0]
+
+
 def write_corpus(corpus: DataFrame, path: str, columns: list[str]) -> None:
     """Rows in order of source and record in range-sorted part files, columns in a fixed order."""
     corpus.select(*columns).orderBy("source_id", "source_record_id").write.mode("overwrite").option("header", True).csv(path)

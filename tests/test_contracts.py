@@ -97,3 +97,15 @@ def test_manifest_files_and_corpus(spark, tmp_path):
     provenance.write_manifest(spark, made | {"inside": 3}, f"{tmp_path}/n")
     with pytest.raises(ValueError, match="differs"):
         provenance.read_manifest(spark, f"{tmp_path}/n")
+
+
+def test_a_stored_corpus_keeps_the_rules(spark, tmp_path):
+    from fathomline.sources import readers
+
+    schema = "evidence_class string, abundance_kg_m2 double, source_id string, source_record_id string"
+    rows = spark.createDataFrame([("MASS", 10.0, "src_a", "r1"), ("COVER", None, "src_a", "r2")], schema)
+    readers.write_corpus(rows, f"{tmp_path}/good", rows.columns)
+    assert {r["source_record_id"] for r in readers.read_corpus(spark, f"{tmp_path}/good", schema).collect()} == {"r1", "r2"}
+    readers.write_corpus(rows.unionByName(spark.createDataFrame([("MASS", 1000.0, "src_a", "r3")], schema)), f"{tmp_path}/bad", rows.columns)
+    with pytest.raises(Exception, match="abundance_kg_m2"):
+        readers.read_corpus(spark, f"{tmp_path}/bad", schema).collect()
