@@ -158,18 +158,21 @@ def _sign(width: int, bands: int, rows: int):
 
 
 def _gather(width: int, wanted):
-    """Shingle sets of the rows whose cell is marked; all others pass by untouched."""
+    """Shingle sets of the rows whose cell is marked, once a task; all others pass by untouched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = wanted.value
+        marks, seen = wanted.value, set()
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             batch = batch.filter(pa.array((marks[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
             for chunk in C.text_chunks(batch.column("text")):
                 gram, edge = shingle_sets(chunk, width)
-                yield pa.RecordBatch.from_arrays(
+                made = pa.RecordBatch.from_arrays(
                     [batch.column("id")[chunk.rows], *_set_hashes(gram, edge), _lists(gram.view(np.int64), edge)], names=_SETS.names
                 )
+                own = list(zip(*(made.column(k).to_pylist() for k in range(4)), strict=True))
+                fresh = [k for k, row in enumerate(own) if row not in seen and not seen.add(row)]
+                yield made if len(fresh) == len(own) else made.take(pa.array(fresh, pa.int64()))
 
     return run
 
@@ -254,12 +257,12 @@ def grouped(
     own = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = materialise(own.mapInArrow(_sign(shingle, bands, rows), _SIGNED), "minhash-sets")
 
-    # classes of equal sets, numbered; a written table, so that a join on a hot set may be split
+    # classes of equal sets, numbered, with the signature that all their rows have; a written table, so that a join on a
+    # hot set may be split
     full = signed.filter("n_shingles > 0 and id is not null")
-    classes = materialise(full.groupBy(*_SET).agg(F.min("id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
-    leaders = full.join(classes.withColumnRenamed("first", "id"), ["id", *_SET])
-    # rows that repeat both id and set have one signature
-    leaders = materialise(leaders.groupBy("rep").agg(F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys")), "minhash-leaders")
+    classes = full.groupBy(*_SET).agg(F.min("id").alias("first"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
+    leaders = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
+    classes = leaders.select("rep", "first", *_SET)
 
     member = leaders.select("rep", F.explode("keys").alias("bucket"))
     heads = member.groupBy("bucket").agg(
@@ -272,7 +275,7 @@ def grouped(
     sigs = leaders.select("rep", "sig")
 
     def sets_of(reps: DataFrame) -> DataFrame:
-        """(rep, grams) of these classes: a bit table picks their first texts, and few others, in the scan."""
+        """Shingle sets of these classes' first texts, by id and set: a bit table picks them, and few others, in the scan."""
         some = materialise(classes.join(reps.distinct(), "rep"), "minhash-wanted")
         least, most_cells = LOG_CELLS
         log = min(most_cells, max(least, (some.count() * 16).bit_length()))
@@ -287,20 +290,26 @@ def grouped(
             marks[at : at + 4096] = np.frombuffer(bytes(x["bits"]), np.uint8)
         texts = own.filter("id is not null").withColumn("cell", cell)
         grams = texts.mapInArrow(_gather(shingle, spark.sparkContext.broadcast(marks)), _SETS)
-        grams = grams.withColumnRenamed("id", "first").join(some, ["first", *_SET])
-        return materialise(grams.groupBy("rep").agg(F.any_value("grams").alias("grams")), "minhash-grams")
+        return materialise(grams.withColumnRenamed("id", "first"), "minhash-grams")
+
+    def named(side: str) -> DataFrame:
+        """Classes by number, as columns of one side of a pair."""
+        return classes.select(F.col("rep").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("first", *_SET)))
+
+    def with_grams(rows: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+        own = sets.select(*(F.col(c).alias(f"{side}_{c}") for c in ("first", *_SET)), F.col("grams").alias(f"{side}_grams"))
+        keys = [f"{side}_{c}" for c in ("first", *_SET)]
+        return rows.join(named(side), side).join(own, keys).drop(*keys)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough. Sets are built for the pairs' texts only."""
         pairs = materialise(pairs, "minhash-pairs")
         sets = sets_of(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))))
-        both = (
-            pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a")
-            .join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
-            .select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("both"))
+        both = with_grams(with_grams(pairs, sets, "a"), sets, "b").select(
+            "a", "b", F.size("a_grams").alias("na"), F.size("b_grams").alias("nb"), F.size(F.array_intersect("a_grams", "b_grams")).alias("both")
         )
         return materialise(
-            both.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"),
+            both.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b").distinct(),
             "minhash-links",
         )
 
@@ -340,11 +349,11 @@ def grouped(
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         sets = sets_of(big.select("rep"))
         large = (
-            big.join(sets, "rep")
+            with_grams(big, sets, "rep")
             .withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select(
-                "bucket", "rep", "comp", "sig", "grams",
+                "bucket", "rep", "comp", "sig", F.col("rep_grams").alias("grams"),
                 F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
                 (F.col("own") > F.col("other")).cast("int").alias("side"),
             )
