@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import (
-    decontam, embed_dedup, html_layout, lm_mixing, minhash, packing, quality_mil, toxicity, url_filter, warc_shards,
+    ball_tree, decontam, embed_dedup, html_layout, lm_mixing, minhash, packing, phrases, quality_mil, quality_rules, toxicity, url_filter, warc_shards,
 )
 from fathomline.runtime import table
 
@@ -63,6 +63,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(table(spark, sf_dir, "documents"), packing.vocabulary(), 4096, 1)
 
 
+def op11_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=10, longest=3, top=2000, cover=50)
+
+
+def op12_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.clusters(table(spark, sf_dir, "embeddings"), centroids=40, rounds=5, dim=64, scale=256, salt="2")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_markov_ratio": op1_url_markov_ratio,
     "op2_html_layout": op2_html_layout,
@@ -74,7 +86,14 @@ QUERIES: dict[str, Query] = {
     "op8_quality_mil": op8_quality_mil,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_pivot_collocations": op11_pivot_collocations,
+    "op12_ball_tree_clusters": op12_ball_tree_clusters,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 #: DuckDB SQL of the same rows, where SQL can state them at the tables' whole size.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_pivot_collocations": phrases.oracle(),
+    "op12_ball_tree_clusters": ball_tree.oracle(),
+    "op13_quality_rules": quality_rules.oracle(),
+}
