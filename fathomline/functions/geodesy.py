@@ -17,6 +17,16 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+def on_sphere(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """A place as a point of the unit sphere."""
+    return F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+
+
+def chord(km: float) -> float:
+    """The straight distance, on the unit sphere, of places ``km`` apart along a great circle."""
+    return 2 * math.sin(min(km / (2 * EARTH_KM), math.pi / 2))
+
+
 def planar(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt(F.pow(x1 - x2, 2) + F.pow(y1 - y2, 2))
 

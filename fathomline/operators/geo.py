@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.geodesy import EARTH_KM, haversine_km
+from fathomline.functions.geodesy import EARTH_KM, chord, haversine_km, on_sphere
 from fathomline.operators.graph import components
 from fathomline.runtime import materialise
 
@@ -55,28 +55,29 @@ def all_pairs(points: DataFrame, key: str = "id", tile: int = 512, rows: int | N
     return a.join(b, met).filter(F.col(f"a_{key}") < F.col(f"b_{key}")).drop("_p", "_q", "_ta", "_tb", "_oa", "_ob")
 
 
-def close_pairs(points: DataFrame, km: float, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (a, b) within a great-circle distance, through a band join on latitude and longitude.
-
-    Columns to keep come along as a_* and b_*.
+def near_join(left: DataFrame, right: DataFrame, km: float, equal: list[str] = ()) -> DataFrame:
+    """Pairs of rows (with lon, lat) within a great-circle distance and with equal keys, as columns l_*, r_* and km.
 
-    The longitude band is that of the highest latitude present, so no pair is missed; points are
-    taken not to span the date line.
+    Places are taken as points of the sphere and met through a band join along the axes of space, so the date line and the
+    poles are like any other place. Rows without a place meet nothing.
     """
-    top = points.agg(F.max(F.abs("lat")).alias("m")).first()["m"]
-    if top is None:
-        kept = (F.col(c).alias(f"{s}_{c}") for s in "ab" for c in keep)
-        return points.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("km"), *kept)
-    degree = math.degrees(km / 6371.0088) * (1 + 1e-9)
-    wide = min(360.0, degree / max(1e-6, math.cos(math.radians(min(89.999, top + degree)))))
-    own = points.select("id", "lon", "lat", *keep)
-    met = band_join(own, own, {"lat": degree, "lon": wide})
-    return (
-        met.filter("l_id < r_id")
-        .select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat")).alias("km"),
-                *(F.col(f"{s}_{c}").alias(f"{t}_{c}") for s, t in (("l", "a"), ("r", "b")) for c in keep))
-        .filter(F.col("km") <= km)
-    )
+    reach = chord(km) * (1 + 1e-9) + 1e-12
+
+    def placed(df: DataFrame) -> DataFrame:
+        some = df.filter("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
+        return some.withColumns({f"axis_{a}": c for a, c in zip("xyz", on_sphere(F.col("lon"), F.col("lat")), strict=True)})
+
+    met = band_join(placed(left), placed(right), {f"axis_{a}": reach for a in "xyz"}, list(equal))
+    straight = reduce(lambda s, t: s + t, (F.pow(F.col(f"l_axis_{a}") - F.col(f"r_axis_{a}"), 2) for a in "xyz"))
+    met = met.filter(straight <= reach * reach).withColumn("km", haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat")))
+    return met.drop(*(f"{s}_axis_{a}" for s in "lr" for a in "xyz")).filter(F.col("km") <= km)
+
+
+def close_pairs(points: DataFrame, km: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b), a before b, within a great-circle distance; columns to keep come along as a_* and b_*."""
+    own = points.select("id", "lon", "lat", *(F.col(c).alias(f"keep_{c}") for c in keep))
+    kept = (F.col(f"{s}_keep_{c}").alias(f"{t}_{c}") for s, t in (("l", "a"), ("r", "b")) for c in keep)
+    return near_join(own, own, km).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "km", *kept)
 
 
 def nearest_other(points: DataFrame, label: str, reach: float, within: str | None = None, tiles: int = 16) -> DataFrame:
@@ -128,33 +129,79 @@ def cell_of(lon: Column, lat: Column, west: float, north: float, resolution: flo
     return F.floor((F.lit(north) - lat) / resolution).cast("int"), F.floor((lon - F.lit(west)) / resolution).cast("int")
 
 
+#: Bins of one pass over a stream of values, bins that one pass cuts further, and values that are looked at one by one.
+BINS, CUT, FEW = 1 << 14, 1 << 13, 4096
+
+
+def _binned(values: DataFrame, spans: list[tuple[float, float]], bins: int) -> list[tuple[float, float, int]]:
+    """(least, greatest, count) of the values of every used bin, in order; each of some disjoint spans is cut into ``bins``.
+
+    The number of a bin grows with the value, so a bin holds all values between its least and its greatest one.
+    """
+    spark = values.sparkSession
+    cut = spark.createDataFrame([(k, lo, hi, bins / (hi - lo)) for k, (lo, hi) in enumerate(spans)], "span int, lo double, hi double, scale double")
+    if len(spans) == 1:
+        at = values.filter(F.col("v").between(*spans[0])).select("v", F.lit(0).alias("span"), F.lit(spans[0][0]).alias("lo"), F.lit(bins / (spans[0][1] - spans[0][0])).alias("scale"))
+    else:
+        # spans meet values through the coarse cells they touch, a bounded table
+        low, high = spans[0][0], spans[-1][1]
+        coarse = lambda c: F.least(F.lit(BINS - 1), F.floor((c - low) * (BINS / (high - low))))
+        cut = cut.withColumn("cell", F.explode(F.sequence(coarse(F.col("lo")), coarse(F.col("hi")))))
+        laid = values.filter(F.col("v").between(low, high)).withColumn("cell", coarse(F.col("v")))
+        at = laid.join(F.broadcast(cut), "cell").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    number = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) * F.col("scale")))
+    got = at.select("v", "span", number.alias("bin")).groupBy("span", "bin").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n"))
+    return sorted((r["least"], r["most"], r["n"]) for r in got.collect())  # spans times bins at most
+
+
+def _widest(parts: list[tuple[float, float, int]]) -> tuple[float, float, float]:
+    """(gap, from, to): the widest gap between neighbouring parts, the first such."""
+    return max(((b[0] - a[1], a[1], b[0]) for a, b in zip(parts, parts[1:], strict=False)), key=lambda g: (g[0], -g[1]), default=(0.0, math.nan, math.nan))
+
+
 def ordered_summary(values: DataFrame, column: str) -> DataFrame:
     """One row (n, least, median, most, gap, gap_from, gap_to) of a column without nulls: the median is the value at n // 2
     of the sorted values, the gap the widest between neighbours (the first such).
 
-    Values are range-sorted; each partition tells its own, and only a row a partition meets the others.
+    Values are never sorted, shuffled or written: every pass makes them anew and folds them into bins with their least and greatest value.
+    The median's bin is cut until few values are left. A gap inside a bin is no wider than the bin's values lie apart, so only
+    bins that spread as wide as the widest gap between bins are cut further.
     """
     spark = values.sparkSession
-    ordered = materialise(values.select(F.col(column).cast("double").alias("v")).repartitionByRange("v").sortWithinPartitions("v"), "ordered")
-    part = ordered.select("v", F.spark_partition_id().alias("p"))
-    near = part.withColumn("after", F.lead("v").over(Window.partitionBy("p").orderBy("v")))
-    gap = F.max(F.struct((F.col("after") - F.col("v")).alias("gap"), (-F.col("v")).alias("turned"), F.col("after").alias("to")))
-    parts = near.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), gap.alias("gap")).orderBy("lo", "hi").collect()
-    if not parts:
-        return spark.createDataFrame([], "n bigint, least double, median double, most double, gap double, gap_from double, gap_to double")
-    gaps = [(r["gap"]["gap"], -r["gap"]["turned"], r["gap"]["to"]) for r in parts if r["gap"]["gap"] is not None]
-    gaps += [(b["lo"] - a["hi"], a["hi"], b["lo"]) for a, b in zip(parts, parts[1:], strict=False)]
-    n = sum(r["n"] for r in parts)
-    left = n // 2
-    for r in parts:
-        if left < r["n"]:
-            own = part.filter((F.col("p") == r["p"]))
-            row = own.select("v", F.row_number().over(Window.partitionBy("p").orderBy("v")).alias("k")).filter(F.col("k") == left + 1).first()
+    schema = "n bigint, least double, median double, most double, gap double, gap_from double, gap_to double"
+    values = values.select(F.col(column).cast("double").alias("v"))
+    whole = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n, lo, hi = whole["n"], whole["lo"], whole["hi"]
+    if not n:
+        return spark.createDataFrame([], schema)
+    if lo == hi:
+        gap = (0.0, lo, lo) if n > 1 else (None, None, None)
+        return spark.createDataFrame([(n, lo, lo, hi, *gap)], schema)
+    parts = _binned(values, [(lo, hi)], BINS)
+    rank, own = n // 2, parts
+    while True:
+        for least, most, count in own:
+            if rank < count:
+                break
+            rank -= count
+        if least == most:
+            median = least
+            break
+        if count <= FEW:
+            median = sorted(r["v"] for r in values.filter(F.col("v").between(least, most)).collect())[rank]
+            break
+        own = _binned(values, [(least, most)], BINS)
+    while True:
+        gap = _widest(parts)
+        wide = [k for k, p in enumerate(parts) if p[2] > 1 and p[0] < p[1] and p[1] - p[0] >= gap[0]]
+        wide = [k for k in wide if not (parts[k][2] == 2 and (parts[k][1] - parts[k][0], -parts[k][0]) <= (gap[0], -gap[1]))]
+        if not wide:
             break
-        left -= r["n"]
-    widest = max(gaps, key=lambda g: (g[0], -g[1]), default=(None, None, None))
-    made = [(n, parts[0]["lo"], row["v"], parts[-1]["hi"], *widest)]
-    return spark.createDataFrame(made, "n bigint, least double, median double, most double, gap double, gap_from double, gap_to double")
+        wide = sorted(sorted(wide, key=lambda k: parts[k][0] - parts[k][1])[:CUT])
+        finer = _binned(values, [parts[k][:2] for k in wide], max(2, BINS * 8 // len(wide)))
+        gone = set(wide)
+        parts = sorted([p for k, p in enumerate(parts) if k not in gone] + finer)
+    return spark.createDataFrame([(n, lo, median, hi, *gap)], schema)
 
 
 def cluster_spread(rows: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.geodesy import haversine_km
-from fathomline.operators.geo import band_join, cell_of
+from fathomline.operators.geo import cell_of, near_join
 from fathomline.operators.provenance import frame_hash, sealed
 
 #: Names that a refusal lists.
@@ -56,11 +54,7 @@ def grades_at_stations(grades: DataFrame, stations: DataFrame, tolerance_km: flo
     rest = grades.join(named.select("grade_id"), "grade_id", "left_anti")
     if tolerance_km is None:
         return named.unionByName(rest.select("grade_id", F.lit(None).cast("bigint").alias("station"), F.lit("undecided").alias("method")))
-    degree = tolerance_km / 110.0
-    top = rest.agg(F.max(F.abs("lat")).alias("m")).first()["m"] or 0.0
-    wide = min(360.0, degree / max(1e-6, math.cos(math.radians(min(89.9, top + degree)))))
-    met = band_join(rest.select("grade_id", "cruise", "event", "lon", "lat"), stations.select("id", "cruise", "event", "lon", "lat"), {"lat": degree, "lon": wide}, ["cruise", "event"])
-    met = met.withColumn("km", haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"))).filter(F.col("km") <= tolerance_km)
+    met = near_join(rest.select("grade_id", "cruise", "event", "lon", "lat"), stations.select("id", "cruise", "event", "lon", "lat"), tolerance_km, ["cruise", "event"])
     near = met.groupBy(F.col("l_grade_id").alias("grade_id")).agg(F.min_by("r_id", F.struct("km", "r_id")).alias("station"))
     found = rest.select("grade_id").join(near, "grade_id", "left")
     return named.unionByName(found.select("grade_id", "station", F.when(F.col("station").isNull(), F.lit("unmatched")).otherwise(F.lit("nearness")).alias("method")))

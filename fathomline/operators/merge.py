@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
+import math
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators.geo import band_join, tolerant
 from fathomline.operators.graph import components
-from fathomline.runtime import materialise
+from fathomline.runtime import materialise, ship
 
 PROVENANCE = ("notes", "duplicate_group_id")
 
@@ -105,63 +110,142 @@ def _step(acc: Column, row: Column, fields: list[str]) -> Column:
     return F.struct(*(F.when(same, s(f)).otherwise(merged[f]).alias(f) for f in fields))
 
 
-def upsert(
-    corpus: DataFrame, batch: DataFrame, bands: dict[str, float], *, tolerant_on: Iterable[str] = (), rounds: int = 20,
-) -> tuple[DataFrame, DataFrame]:
+#: Candidates of one component that a task decides at once.
+AT_ONCE = 200_000
+_RANK = {"A": 3, "B": 2, "C": 1}
+
+
+class _Slots:
+    """Slots of one component in cells twice the tolerances wide: what decides a match, and nothing else."""
+
+    def __init__(self, bands: dict[str, float], tolerant_on: list[str]):
+        self.bands, self.tolerant_on, self.rows, self.cells = list(bands.items()), tolerant_on, {}, {}
+
+    def _cell(self, row: dict) -> tuple | None:
+        at = [row[c] for c, _ in self.bands]
+        return None if None in at else tuple(math.floor(v / (2 * t or 1.0)) for v, (_, t) in zip(at, self.bands, strict=True))
+
+    def put(self, row: dict) -> None:
+        seq = row["seq"]
+        if seq in self.rows and (was := self._cell(self.rows[seq])) is not None:
+            del self.cells[was][bisect.bisect_left(self.cells[was], seq)]
+        self.rows[seq] = row
+        if (cell := self._cell(row)) is not None:
+            bisect.insort(self.cells.setdefault(cell, []), seq)
+
+    def first(self, row: dict) -> dict | None:
+        """The earliest slot that the candidate duplicates."""
+        home = self._cell(row)
+        if home is None:
+            return None
+        near = (self.cells.get(tuple(h + d for h, d in zip(home, step, strict=True)), ()) for step in itertools.product((-1, 0, 1), repeat=len(home)))
+        for seq in heapq.merge(*near):
+            slot = self.rows[seq]
+            close = all(abs(slot[c] - row[c]) <= t for c, t in self.bands)
+            alike = all(slot[c] is None or row[c] is None or slot[c] == row[c] for c in self.tolerant_on)
+            source = row["evidence_class"] != "GRID" or (slot["source_id"] is not None and slot["source_id"] == row["source_id"])
+            if close and alike and source and slot["evidence_class"] == row["evidence_class"]:
+                return slot
+        return None
+
+
+def _decide(bands: dict[str, float], tolerant_on: list[str]):
+    """Dispositions of a component's candidates in order of arrival, and its slots as they are then."""
+    kept = ["evidence_class", "source_id", "source_record_id", "quality_grade", *bands, *tolerant_on]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        slots, log = _Slots(bands, tolerant_on), []
+        rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
+        for row in (r for r in rows if r["is_slot"]):
+            slots.put(row)
+        for row in sorted((r for r in rows if not r["is_slot"]), key=lambda r: r["seq"]):
+            slot = slots.first(row)
+            same = slot is not None and None not in (row["source_id"], row["source_record_id"]) and all(slot[c] == row[c] for c in ("source_id", "source_record_id"))
+            if slot is None or same:
+                log.append((row, slot, "Admit" if slot is None else "AlreadyPresent"))
+                continue
+            wins = _RANK.get(row["quality_grade"], 0) > _RANK.get(slot["quality_grade"], 0)
+            log.append((row, slot, "Replace" if wins else "AbsorbInto"))
+            one, two = (row, slot) if wins else (slot, row)
+            slots.put(slot | {c: one[c] if one[c] is not None else two[c] for c in kept})
+        told = [{**row, "slot": slot and slot["seq"], "disposition": d, "displaced_source": slot and slot["source_id"]} for row, slot, d in log]
+        return pd.DataFrame([*told, *slots.rows.values()], columns=[*frame.columns, "slot", "disposition", "displaced_source"], dtype=object)
+
+    return run
+
+
+def decisions(corpus: DataFrame, batch: DataFrame, bands: dict[str, float], tolerant_on: list[str], at_once: int = AT_ONCE) -> DataFrame:
+    """(candidate, slot, disposition, evidence_class, source_id, displaced_source) of every candidate of a batch.
+
+    A slot only ever moves to a candidate's position, so candidates and slots fall into components of closeness that know
+    nothing of each other. Each is decided in one task, by the few columns that decide; a component of more than
+    ``at_once`` candidates takes as many passes as it holds such parts, and hands its slots on.
+    """
+    ship(corpus.sparkSession)
+    kept = list(dict.fromkeys(["seq", "evidence_class", "source_id", "source_record_id", "quality_grade", *bands, *tolerant_on]))
+    slots, spots = corpus.select(*kept), batch.select(*kept)
+    place = ["node", "evidence_class", *bands]
+    odd = spots.withColumn("node", F.col("seq") * 2 + 1)
+    every = odd.select(*place).unionByName(slots.withColumn("node", F.col("seq") * 2).select(*place))
+    label = materialise(components(band_join(odd.select(*place), every, bands, ["evidence_class"]), "l_node", "r_node"), "upsert-label")
+
+    def labelled(rows: DataFrame, is_slot: bool) -> DataFrame:
+        node = F.col("seq") * 2 + (0 if is_slot else 1)
+        return rows.withColumn("_node", node).join(label, F.col("_node") == label["id"], "left").select(*kept, F.coalesce("component", "_node").alias("group"), F.lit(is_slot).alias("is_slot"))
+
+    waiting, state = labelled(spots, False), labelled(slots, True)
+    order = Window.partitionBy("group").orderBy("seq")
+    waiting = materialise(waiting.withColumn("turn", F.floor((F.row_number().over(order) - 1) / at_once).cast("int")), "upsert-waiting")
+    last = waiting.agg(F.max("turn").alias("t")).first()["t"]
+    kinds = waiting.drop("turn").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(",", ", ").replace(":", " ")
+    schema = f"{kinds}, slot bigint, disposition string, displaced_source string"
+    logs = []
+    for turn in range(0 if last is None else last + 1):
+        now = waiting.filter(F.col("turn") == turn).drop("turn")
+        active = now.select("group").distinct()
+        told = materialise(now.unionByName(state.join(active, "group", "left_semi")).groupBy("group").applyInPandas(_decide(bands, list(tolerant_on)), schema), "upsert-told")
+        logs.append(told.filter("not is_slot"))
+        state = told.filter("is_slot").select(*state.columns)  # a component that is done is not asked for again
+    log = reduce(DataFrame.unionByName, logs) if logs else waiting.withColumns({"slot": F.lit(None).cast("bigint"), "disposition": F.lit(""), "displaced_source": F.lit("")})
+    return log.select(F.col("seq").alias("candidate"), "slot", "disposition", "evidence_class", "source_id", "displaced_source")
+
+
+def upsert(corpus: DataFrame, batch: DataFrame, bands: dict[str, float], *, tolerant_on: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(corpus after the batch, disposition log). Both sides carry ``seq``, the order of arrival.
 
-    Candidates match the corpus as it was before the batch and as earlier candidates of the batch
-    changed it; rows of the batch do not see each other. Candidates of one slot fold in order. A
-    Replace moves its slot to the candidate's position, which may change what later candidates
-    match. A slot only ever moves to a candidate's position, so candidates and slots are split
-    once into components of closeness; each round settles every component up to its first Replace
-    and matches the rest of it again. Rounds are as many as the most Replaces of one component.
+    Candidates match the corpus as it was before the batch and as earlier candidates of the batch changed it (a Replace
+    moves its slot, a merge fills its gaps); rows of the batch do not see each other. Candidates of one slot fold in order.
     """
     fields = [c for c in corpus.columns if c != "seq"]
-    same_source = (F.col("l_evidence_class") != "GRID") | (F.col("l_source_id") == F.col("r_source_id"))
-    slots = materialise(corpus, "upsert-slots")
-    place = ["seq", "evidence_class", *bands]
-    spots = batch.select(*place).withColumn("node", F.col("seq") * 2 + 1)
-    every = spots.unionByName(slots.select(*place).withColumn("node", F.col("seq") * 2)).drop("seq")
-    close = band_join(spots.drop("seq"), every, bands, ["evidence_class"])
-    label = components(close, "l_node", "r_node").filter("id % 2 = 1").select(F.shiftright("id", 1).alias("_s"), "component")
-    pending = batch.join(label, F.col("seq") == F.col("_s"), "left").drop("_s")
-    pending = materialise(pending.withColumn("_group", F.coalesce("component", F.col("seq") * 2 + 1)).drop("component"), "upsert-batch")
-    logs = []
-    for _ in range(rounds):
-        matched = first_match(
-            pending, slots, bands, key="seq", order="seq", equal=["evidence_class"], tolerant_on=tolerant_on, extra=same_source
-        ).withColumn("disposition", disposition())
-        matched = materialise(matched, "upsert-matched")
-        moves = matched.filter("disposition = 'Replace'").groupBy(F.col("l__group").alias("_g")).agg(F.min("l_seq").alias("_move"))
-        moves = materialise(moves, "upsert-moves")
-        more = not moves.isEmpty()
-        # up to a component's first Replace nothing that was matched can change
-        done = matched.join(moves, F.col("l__group") == F.col("_g"), "left").filter("_move is null or l_seq <= _move")
-        logs.append(
-            done.select(
-                F.col("l_seq").alias("candidate"), F.col("r_seq").alias("slot"), "disposition",
-                F.col("l_evidence_class").alias("evidence_class"), F.col("l_source_id").alias("source_id"),
-                F.col("r_source_id").alias("displaced_source"),
-            )
-        )
-        touched = done.filter(F.col("disposition").isin("Replace", "AbsorbInto"))
-        folds = touched.groupBy(F.col("r_seq").alias("seq")).agg(
-            F.array_sort(F.collect_list(F.struct(F.col("l_seq").alias("seq"), *(F.col(f"l_{f}").alias(f) for f in fields)))).alias("queue")
-        )
-        now = slots.join(folds, "seq", "left")
-        start = F.struct(*(F.col(f) for f in fields))
-        folded = F.when(F.col("queue").isNull(), start).otherwise(F.aggregate("queue", start, lambda acc, row: _step(acc, row, fields)))
-        slots = materialise(now.withColumn("_row", folded).select("seq", *(F.col(f"_row.{f}").alias(f) for f in fields)), "upsert-slots")
-        if not more:
-            break
-        later = pending.join(moves, F.col("_group") == F.col("_g")).filter(F.col("seq") > F.col("_move")).drop("_g", "_move")
-        pending = materialise(later, "upsert-batch")
-    else:
-        raise RuntimeError(f"the batch did not settle in {rounds} rounds of replacements")
-    log = materialise(reduce(DataFrame.unionByName, logs), "upsert-log")
+    log = materialise(decisions(corpus, batch, bands, list(tolerant_on)), "upsert-log")
+    touched = log.filter(F.col("disposition").isin("Replace", "AbsorbInto")).select(F.col("candidate").alias("_c"), F.col("slot").alias("_slot"))
+    rows = batch.join(touched, F.col("seq") == F.col("_c"))
+    folds = rows.groupBy("_slot").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("queue"))
+    start = F.struct(*(F.col(f) for f in fields))
+    folded = F.when(F.col("queue").isNull(), start).otherwise(F.aggregate("queue", start, lambda acc, row: _step(acc, row, fields)))
+    slots = corpus.join(folds, F.col("seq") == F.col("_slot"), "left").withColumn("_row", folded).select("seq", *(F.col(f"_row.{f}").alias(f) for f in fields))
     admitted = batch.join(log.filter("disposition = 'Admit'").select(F.col("candidate").alias("seq")), "seq", "left_semi")
-    return slots.unionByName(admitted.select("seq", *fields)), log
+    return materialise(slots.unionByName(admitted.select("seq", *fields)), "upsert-slots"), log
+
+
+def signed_log(log: DataFrame) -> DataFrame:
+    """(source_id, evidence_class, admitted, absorbed, already_present) of a log of dispositions, as rows to add up.
+
+    A Replace is two rows: the candidate's source gains an admitted one, and the displaced row, admitted before, goes over to
+    its own source's absorbed ones. Sums over logs of several batches tell what the corpus holds, in whatever order they ran.
+    """
+    row = lambda source, a, b, c: F.struct(source.alias("source_id"), F.lit(a).alias("admitted"), F.lit(b).alias("absorbed"), F.lit(c).alias("already_present"))
+    own, other, d = F.col("source_id"), F.col("displaced_source"), F.col("disposition")
+    made = F.when(d == "Admit", F.array(row(own, 1, 0, 0))).when(d == "AbsorbInto", F.array(row(own, 0, 1, 0))).when(d == "AlreadyPresent", F.array(row(own, 0, 0, 1)))
+    made = made.when(d == "Replace", F.array(row(own, 1, 0, 0), row(other, -1, 1, 0)))
+    return log.select("evidence_class", F.explode(made).alias("r")).select("r.source_id", "evidence_class", "r.admitted", "r.absorbed", "r.already_present")
+
+
+def dispositions(log: DataFrame, *by: str) -> DataFrame:
+    """Sums of the signed log by source (and class); what nets to nothing is left out."""
+    keys = by or ("source_id",)
+    told = signed_log(log).groupBy(*keys).agg(*(F.sum(c).cast("bigint").alias(c) for c in ("admitted", "absorbed", "already_present")))
+    return told.filter("admitted <> 0 or absorbed <> 0 or already_present <> 0")
 
 
 def running_order(df: DataFrame, by: list[str]) -> DataFrame:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.geodesy import EARTH_KM, haversine_km
-from fathomline.operators.geo import band_join, close_pairs, nearest_other
-from fathomline.operators.graph import components
+from fathomline.functions.geodesy import EARTH_KM
+from fathomline.operators.geo import close_pairs
+from fathomline.operators.merge import running_order
+from fathomline.operators.spatial import nearest_points, spanning_by_scales
 from fathomline.runtime import materialise, ship
 
 #: Fitting limits.
@@ -25,13 +27,16 @@ MOST_POINTS = 4000
 NEAREST = 64
 
 
+def lag_bin(km: str, edges: list[float]) -> Column:
+    """Which half-open bin a lag within the edges lies in; the lag is named often enough that its plan is not inlined."""
+    return reduce(lambda s, t: s + t, ((F.col(km) >= float(e)).cast("int") for e in edges)) - 1
+
+
 def variogram_bins(pairs: DataFrame, edges: list[float], km: str = "km", half: str = "half_sq") -> DataFrame:
     """Per half-open lag bin: pair_count, semivariance and mean_lag_km; empty bins stay, with nulls."""
     spark = pairs.sparkSession
-    bin_ = F.lit(None).cast("int")
-    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        bin_ = F.when((F.col(km) >= lo) & (F.col(km) < hi), F.lit(k)).otherwise(bin_)
-    got = pairs.select(bin_.alias("k"), km, half).filter("k is not null").groupBy("k").agg(
+    within = pairs.filter(F.col(km).between(float(edges[0]), float(edges[-1])) & (F.col(km) != float(edges[-1])))
+    got = within.select(lag_bin(km, edges).alias("k"), km, half).groupBy("k").agg(
         F.count(F.lit(1)).alias("pair_count"), F.avg(half).alias("semivariance"), F.avg(km).alias("mean_lag_km")
     )
     bins = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], "bin int, lag_lo_km double, lag_hi_km double")
@@ -87,6 +92,30 @@ def variogram_fit(bins: DataFrame, family: str = "exponential", max_lag: float =
     )
 
 
+def fit_report(bins: DataFrame, fit: DataFrame, points: DataFrame, max_lag: float = MAX_LAG_KM, min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """One row on a variogram fit: its parameters, bins used and left out by reason, residual degrees of freedom, whether the range
+    stands at the largest candidate or within the first used lag, lags without pairs, and pairs beyond the bins (by closed form)."""
+    told = bin_report(bins, max_lag, min_pairs)
+    used = F.col("status") == "fitted"
+    lag = F.when(F.col("status") == "no pairs", F.struct("lag_lo_km", "lag_hi_km"))
+    whole = told.agg(
+        F.count_if(used).alias("fitted_bins"), F.count_if(F.col("status") == "no pairs").alias("empty_bins"),
+        F.count_if(F.col("status") == "beyond the largest lag").alias("far_bins"), F.count_if(F.col("status") == "too few pairs").alias("thin_bins"),
+        (2 * F.max(F.when(used, F.col("mean_lag_km")))).alias("ceiling"), F.min(F.when(used, F.col("lag_hi_km"))).alias("floor"),
+        F.sum("pair_count").alias("binned"), F.array_sort(F.collect_list(lag)).alias("gaps"),
+    )
+    n = points.agg(F.count(F.lit(1)).alias("points"))
+    met = fit.join(F.broadcast(whole), F.lit(True)).join(F.broadcast(n), F.lit(True))  # single rows
+    structured = F.col("partial_sill") > 0
+    return met.select(
+        "nugget", "partial_sill", (F.col("nugget") + F.col("partial_sill")).alias("sill"), "range_km", "fitted_bins", "empty_bins", "far_bins", "thin_bins",
+        (F.col("fitted_bins") - 3).alias("residual_dof"), (structured & (F.col("range_km") >= F.col("ceiling") * (1 - 1e-12))).alias("range_at_ceiling"),
+        (structured & (F.col("range_km") <= F.col("floor"))).alias("range_below_first_lag"),
+        F.array_join(F.transform("gaps", lambda g: F.concat_ws("-", g["lag_lo_km"].cast("int").cast("string"), g["lag_hi_km"].cast("int").cast("string"))), ",").alias("unsupported_lags"),
+        F.expr("points * (points - 1) div 2 - binned").alias("pairs_outside"),
+    )
+
+
 def gamma(h: np.ndarray, nugget: float, sill: float, reach: float, family: str = "exponential") -> np.ndarray:
     """Semivariance at lags ``h``; 0 at lag 0."""
     if reach <= 0:
@@ -160,45 +189,11 @@ class Kriging:
         return weight[:-1].T @ self.y, np.sqrt(np.maximum(0, var))
 
 
-def nearest_points(asked: DataFrame, points: DataFrame, near: int = NEAREST, label: str | None = None) -> DataFrame:
-    """Asked rows (with id, lon, lat) and ``around``: their nearest points as (km, id, lon, lat, y), nearest first.
-
-    With a label, points of the row's own label do not count. Pairs come from band joins whose reach doubles for rows that
-    have met too few points; only the nearest of each row are shuffled. Rows that can meet none keep an empty array.
-    """
-    own = asked.select("id", "lon", "lat", (F.col(label) if label else F.lit(0)).alias("label"))
-    points = materialise(points.select("id", "lon", "lat", "y", (F.col(label) if label else F.lit(1)).alias("label")), "krige-points")
-    box = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("lat")).alias("top"), (F.max("lon") - F.min("lon")).alias("x"), (F.max("lat") - F.min("lat")).alias("y")).first()
-    kind = "array<struct<km:double,id:bigint,lon:double,lat:double,y:double>>"
-    if not box["n"]:
-        return asked.withColumn("around", F.expr(f"cast(array() as {kind})"))
-    reach = max(1e-3, 111.0 * math.sqrt(max(box["x"] * box["y"], 1e-12) * 2 * near / box["n"] / math.pi))
-    left, found = materialise(own, "krige-left"), []
-    while left.head(1):
-        last = reach >= math.pi * EARTH_KM
-        degree = math.degrees(reach / EARTH_KM) * (1 + 1e-9)
-        wide = min(360.0, degree / max(1e-6, math.cos(math.radians(min(89.999, box["top"] + degree)))))
-        met = band_join(left, points, {"lat": degree, "lon": wide}).filter("l_label <> r_label")
-        met = met.withColumn("km", haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat")))
-        met = met if last else met.filter(F.col("km") <= reach)
-        first = met.withColumn("k", F.row_number().over(Window.partitionBy("l_id").orderBy("km", "r_id"))).filter(F.col("k") <= near)
-        point = F.struct("km", F.col("r_id").alias("id"), F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"), F.col("r_y").alias("y"))
-        got = first.groupBy(F.col("l_id").alias("asked_id")).agg(F.array_sort(F.collect_list(point)).alias("around"))
-        found.append(materialise(got if last else got.filter(F.size("around") == near), "krige-found"))
-        if last:
-            break
-        left = materialise(left.join(found[-1], left["id"] == F.col("asked_id"), "left_anti"), "krige-left")
-        reach *= 2
-    around = reduce(DataFrame.unionAll, found)
-    empty = F.expr(f"cast(array() as {kind})")
-    return asked.join(around, asked["id"] == around["asked_id"], "left").drop("asked_id").withColumn("around", F.coalesce("around", empty))
-
-
-def _krige_near(frame: pd.DataFrame, model: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Ordinary kriging of each row from its own points."""
+def _krige_near(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ordinary kriging of each row from its own points (``around``) by its own model (``model``: nugget, sill, range)."""
     out = np.full((len(frame), 2), np.nan)
-    for k, (lon, lat, around) in enumerate(zip(frame["lon"], frame["lat"], frame["around"], strict=True)):
-        if len(around) < 3:
+    for k, (lon, lat, around, model) in enumerate(zip(frame["lon"], frame["lat"], frame["around"], frame["model"], strict=True)):
+        if model is None or len(around) < 3:
             continue
         xy = np.array([(p["lon"], p["lat"]) for p in around])
         system = np.ones((len(xy) + 1, len(xy) + 1))
@@ -210,41 +205,52 @@ def _krige_near(frame: pd.DataFrame, model: tuple[float, float, float]) -> tuple
     return out[:, 0], out[:, 1]
 
 
-def _lag_sums(pairs: DataFrame, edges: list[float]) -> DataFrame:
-    bin_ = F.lit(None).cast("int")
-    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        bin_ = F.when((F.col("km") >= lo) & (F.col("km") < hi), F.lit(k)).otherwise(bin_)
-    half = 0.5 * (F.col("a_y") - F.col("b_y")) * (F.col("a_y") - F.col("b_y"))
-    return pairs.select(bin_.alias("k"), "km", half.alias("half"), "a_label", "b_label").filter("k is not null").groupBy("k", "a_label", "b_label").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("km").alias("km"), F.sum("half").alias("half")
-    )
-
-
-def _models(rows: DataFrame, edges: list[float], min_pairs: int) -> dict:
-    """A fitted model, or why there is none, for the rows outside each label (None: for all rows).
+def fold_models(rows: DataFrame, edges: list[float], min_pairs: int) -> DataFrame:
+    """(label, model, refusal): the model (nugget, sill, range) of the rows outside each label, or why there is none;
+    the row without a label tells of all rows.
 
-    Pairs are counted once, by both labels; a fold's training pairs are all but those that touch it.
+    Pairs are summed by lag bin, and by lag bin and each label they touch: a fold's training pairs are all less those that
+    touch it. Every fold is fitted from its bins on its own, so folds may be as many as rows.
     """
-    sums = _lag_sums(close_pairs(rows.select("id", "lon", "lat", "y", "label"), edges[-1], ("y", "label")), edges).collect()  # a row a bin and two labels
-    total = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
-    made = {}
-    for fold in [None, *(r["label"] for r in total)]:
-        rest = [r for r in total if fold is None or r["label"] != fold]
-        n = sum(r["n"] for r in rest)
-        lag = np.zeros((len(edges) - 1, 3))
-        for r in sums:
-            if fold is None or fold not in (r["a_label"], r["b_label"]):
-                lag[r["k"]] += r["n"], r["km"], r["half"]
+    near = close_pairs(rows.select("id", "lon", "lat", "y", "label"), edges[-1], ("y", "label"))
+    half = 0.5 * (F.col("a_y") - F.col("b_y")) * (F.col("a_y") - F.col("b_y"))
+    near = near.filter((F.col("km") >= float(edges[0])) & (F.col("km") < float(edges[-1]))).select(lag_bin("km", edges).alias("k"), "km", half.alias("half"), "a_label", "b_label")
+    pair = [F.count(F.lit(1)).alias("n"), F.sum("km").alias("km"), F.sum("half").alias("half")]
+    by_labels = materialise(near.groupBy("k", "a_label", "b_label").agg(*pair), "lag-sums")
+    add = [F.sum(c).alias(c) for c in ("n", "km", "half")]
+    touched = by_labels.select("k", "n", "km", "half", F.explode(F.array_distinct(F.array("a_label", "b_label"))).alias("label"))
+    touched = touched.groupBy("label", "k").agg(*add)
+    folds = rows.groupBy("label").agg(F.count("y").alias("rows"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+    # the least and greatest value outside a label are those of the first two labels by either
+    ends = folds.agg(F.sum("rows").alias("all"))
+    low = [tuple(r) for r in folds.select("lo", "label").orderBy("lo", "label").limit(2).collect()]
+    high = [tuple(r) for r in folds.select("hi", "label").orderBy(F.desc("hi"), "label").limit(2).collect()]
+    total = int(ends.first()["all"] or 0)
+    whole = {r["k"]: (r["n"], r["km"], r["half"]) for r in by_labels.groupBy("k").agg(*add).collect()}  # a row a bin
+
+    def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
+        label = None if pd.isna(key[0]) else key[0]
+        n = total - int(frame["rows"].iloc[0])
+        lag = np.array([whole.get(k, (0, 0.0, 0.0)) for k in range(len(edges) - 1)], float)
+        for k, *less in frame.loc[frame["k"].notna(), ["k", "n", "km", "half"]].itertuples(index=False):
+            lag[int(k)] -= less
         bins = [(km / c, half / c, c) for c, km, half in lag if c >= min_pairs]
+        rest = [next((v for v, own in side if own != label), None) for side in (low, high)]
+        model, why = None, None
         if n < 3:
-            made[fold] = f"{n} points; three are needed"
-        elif min(r["lo"] for r in rest) == max(r["hi"] for r in rest):
-            made[fold] = "the target is constant"
+            why = f"{n} points; three are needed"
+        elif rest[0] == rest[1]:
+            why = "the target is constant"
         elif len(bins) < 3:
-            made[fold] = f"{len(bins)} lag bin(s) with {min_pairs} pairs; three are needed"
+            why = f"{len(bins)} lag bin(s) with {min_pairs} pairs; three are needed"
         else:
-            made[fold] = fit_bins(*np.array(bins).T)
-    return made
+            model = list(map(float, fit_bins(*np.array(bins).T)))
+        return pd.DataFrame({"label": [label], "model": [model], "refusal": [why]})
+
+    kind = dict(rows.dtypes)["label"]
+    every = folds.select(F.lit(None).cast(kind).alias("label"), F.lit(0).cast("bigint").alias("rows")).limit(1)
+    laid = folds.select("label", "rows").unionAll(every).join(touched, "label", "left")
+    return laid.groupBy("label").applyInPandas(fit, f"label {kind}, model array<double>, refusal string")
 
 
 def kriging_cv(rows: DataFrame, edges: list[float], min_pairs: int = MIN_PAIRS, *, most: int = MOST_POINTS, near: int = NEAREST) -> DataFrame:
@@ -258,21 +264,15 @@ def kriging_cv(rows: DataFrame, edges: list[float], min_pairs: int = MIN_PAIRS,
     grid = np.array(edges)
     schema = "fold int, id bigint, y double, prediction double, sd double, refusal string"
     if rows.count() > most:
-        fitted = _models(rows, edges, min_pairs)
         around = nearest_points(rows.select("id", "lon", "lat", "y", "label"), rows, near, "label")
+        laid = around.join(fold_models(rows, edges, min_pairs), "label")
 
         def local(frames):
             for frame in frames:
-                out = pd.DataFrame({"fold": frame["label"], "id": frame["id"], "y": frame["y"], "prediction": np.nan, "sd": np.nan, "refusal": None})
-                for fold, own in frame.groupby("label"):
-                    if isinstance(fitted[fold], str):
-                        out.loc[own.index, "refusal"] = fitted[fold]
-                    else:
-                        p, sd = _krige_near(own, fitted[fold])
-                        out.loc[own.index, "prediction"], out.loc[own.index, "sd"] = p, sd
-                yield out
+                p, sd = _krige_near(frame)
+                yield pd.DataFrame({"fold": frame["label"], "id": frame["id"], "y": frame["y"], "prediction": p, "sd": sd, "refusal": frame["refusal"]})
 
-        return around.mapInPandas(local, schema)
+        return laid.mapInPandas(local, schema)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         test = frame[frame["label"] == frame["fold"]]
@@ -304,18 +304,19 @@ def kriging_surface(
     kinds = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
     points = train.select("id", "lon", "lat", "y")
     if points.count() > most:
-        model = _models(points.withColumn("label", F.lit(0)), edges, min_pairs)[None]
-        if isinstance(model, str):
-            raise ValueError(model)
+        made = fold_models(points.withColumn("label", F.lit(0)), edges, min_pairs).filter("label is null").first()
+        if made["model"] is None:
+            raise ValueError(made["refusal"])
         numbered = materialise(cells.withColumn("_cell", F.monotonically_increasing_id()), "krige-cells")
         around = nearest_points(numbered.select(F.col("_cell").alias("id"), "lon", "lat"), points, near)
+        laid = around.withColumn("model", F.array(*(F.lit(float(v)) for v in made["model"])))
 
         def local(frames):
             for frame in frames:
-                p, sd = _krige_near(frame, model)
+                p, sd = _krige_near(frame)
                 yield pd.DataFrame({"_cell": frame["id"], "prediction": p, "sd": sd})
 
-        return numbered.join(around.mapInPandas(local, "_cell bigint, prediction double, sd double"), "_cell").drop("_cell")
+        return numbered.join(laid.mapInPandas(local, "_cell bigint, prediction double, sd double"), "_cell").drop("_cell")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
@@ -336,38 +337,15 @@ def kriging_surface(
     return cells.mapInPandas(run, f"{kinds}, prediction double, sd double")
 
 
-def _boruvka(points: DataFrame, group: str) -> DataFrame:
-    """Minimum spanning edges of groups of any size: every round joins each component to its nearest other one of the group."""
-    own = points.select("id", "lon", "lat", group, F.to_json(F.struct(F.col(group))).alias("within"))
-    now = materialise(own.withColumn("label", F.to_json(F.struct("within", "id"))), "mst-points")
-    box = now.groupBy("within").agg(F.count(F.lit(1)).alias("n"), ((F.max("lon") - F.min("lon")) * (F.max("lat") - F.min("lat"))).alias("area"))
-    reach = 111.0 * (box.agg(F.max(F.sqrt(F.col("area") / F.col("n"))).alias("step")).first()["step"] or 0.0)  # about the spacing of the points
-    found = []
-    while True:
-        reach = max(reach, 1e-3)
-        # ties go by (km, a, b), so the edges of a round close no ring
-        edges = materialise(nearest_other(now, "label", reach, "within").select("within", "a", "b", "km").distinct(), "mst-edges")
-        if not edges.head(1):
-            break
-        a, b = (now.select(F.col("within").alias(f"w{c}"), F.col("id").alias(f"i{c}"), F.col("label").alias(f"l{c}"), F.col(group).alias(f"g{c}")) for c in "ab")
-        met = edges.join(a, (F.col("within") == F.col("wa")) & (F.col("a") == F.col("ia"))).join(b, (F.col("within") == F.col("wb")) & (F.col("b") == F.col("ib")))
-        met = materialise(met.select(F.col("ga").alias(group), "a", "b", "km", "la", "lb"), "mst-met")
-        found.append(met.select(group, "a", "b", "km"))
-        joined = components(met, "la", "lb").select(F.col("id").alias("label"), "component")
-        now = materialise(now.join(joined, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"), "mst-points")
-        reach *= 2
-    return reduce(DataFrame.unionAll, found) if found else points.select(group, F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("km")).limit(0)
-
-
 def mst_edges(points: DataFrame, group: str, most: int = MOST_POINTS) -> DataFrame:
     """(group, a, b, km): minimum spanning edges within each group of (id, lon, lat).
 
-    A group of at most ``most`` points is solved in one task, a larger one by rounds of band joins.
+    A group of at most ``most`` points is solved in one task, a larger one scale by scale over cells.
     """
     ship(points.sparkSession)
     large = materialise(points.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "mst-large")
     same = F.col(group).eqNullSafe(F.col("_g"))
-    more = _boruvka(points.join(large, same, "left_semi"), group) if large.head(1) else None
+    more = spanning_by_scales(points.join(large, same, "left_semi"), group) if large.head(1) else None
     points = points.join(large, same, "left_anti")
 
     def prim(frame: pd.DataFrame) -> pd.DataFrame:
@@ -433,3 +411,49 @@ def forest_quantiles(train: DataFrame, test: DataFrame, features: list[str], *,
 
     asked = leaves(model.transform(join_up.transform(test)), "id")
     return pooled_quantiles(leaves(model.transform(laid), "y"), asked, trees)
+
+
+def permuted(rows: DataFrame, features: list[str], seeds: list[int]) -> DataFrame:
+    """(seed, feature, id, y, features): every row once for each seed and feature, with that feature's value taken from another row.
+
+    A seed's order of rows by hash against their order by id is a permutation: row k takes the value of the k-th by hash. Both orders
+    come from range ranks, so no task sorts all rows, and all seeds and features are one join.
+    """
+    own = running_order(rows.select("id", "y", *features), ["id"])
+    donors = []
+    for seed in seeds:
+        drawn = rows.select("id", *(F.col(f).alias(f"_{f}") for f in features)).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))))
+        donors.append(running_order(drawn, ["_h", "id"]).select("seq", F.lit(seed).alias("seed"), *(f"_{f}" for f in features)))
+    met = own.join(reduce(DataFrame.unionAll, donors), "seq")
+    taken = [F.struct(F.lit(f).alias("feature"), *(F.col(f"_{g}" if g == f else g).alias(g) for g in features)) for f in features]
+    return met.select("seed", "id", "y", F.explode(F.array(*taken)).alias("t")).select("seed", "id", "y", "t.*")
+
+
+def permutation_importance(rows: DataFrame, features: list[str], predict: Callable[[DataFrame], DataFrame], seeds: list[int]) -> DataFrame:
+    """(feature, seed, rmse, loss): how much worse ``predict`` (which adds prediction) does with one feature permuted than with none."""
+    error = (F.col("prediction") - F.col("y")) * (F.col("prediction") - F.col("y"))
+    base = predict(rows.select("id", "y", *features)).agg(F.sqrt(F.avg(error)).alias("base"))
+    got = predict(permuted(rows, features, seeds)).groupBy("feature", "seed").agg(F.sqrt(F.avg(error)).alias("rmse"))
+    return got.join(F.broadcast(base), F.lit(True)).select("feature", "seed", "rmse", (F.col("rmse") - F.col("base")).alias("loss"))  # one row
+
+
+def importance_spread(importance: DataFrame) -> DataFrame:
+    """(feature, place, mean_loss, least, most): features by their mean loss over seeds, and how far seeds differ."""
+    told = importance.groupBy("feature").agg(F.avg("loss").alias("mean_loss"), F.min("loss").alias("least"), F.max("loss").alias("most"))
+    place = F.row_number().over(Window.orderBy(F.desc("mean_loss"), "feature"))  # a row a feature
+    return told.select("feature", place.alias("place"), "mean_loss", "least", "most")
+
+
+def forest_importance(train: DataFrame, test: DataFrame, features: list[str], seeds: list[int], *, trees: int = 30, depth: int = 8) -> DataFrame:
+    """(feature, seed, rmse, loss, impurity) of a forest: permutation loss on ``test``, and the share of the fit's impurity, for forests of several seeds."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    join_up = VectorAssembler(inputCols=features, outputCol="_x")
+    laid, out = join_up.transform(train), []
+    for seed in seeds:
+        fitted = RandomForestRegressor(featuresCol="_x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3).fit(laid)
+        shares = train.sparkSession.createDataFrame(list(zip(features, map(float, fitted.featureImportances.toArray()), strict=True)), "feature string, impurity double")
+        got = permutation_importance(test, features, lambda df, m=fitted: m.transform(join_up.transform(df)), [seed])
+        out.append(got.join(F.broadcast(shares), "feature"))
+    return reduce(DataFrame.unionByName, out)

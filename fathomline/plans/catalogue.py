@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.geodesy import covered, haversine_km
-from fathomline.operators import contracts, geo, grid, ingest, merge, models, surfaces, validation
+from fathomline.operators import contracts, geo, grid, ingest, matrix, merge, models, polygons, surfaces, validation
 from fathomline.plans.staging import sql, view
-from fathomline.runtime import table
-from fathomline.sources import adapters
+from fathomline.runtime import materialise, scratch, table
+from fathomline.sources import adapters, rasters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,9 +574,30 @@ def kriging_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.kriging_surface(view(spark, sf_dir, "outpost"), cells, [float(e) for e in range(0, 360, 60)], min_pairs=4)
 
 
-@query()
+def _spanning(points: str) -> str:
+    """Spanning edges of (id, lon, lat, g): pairs that no path of shorter pairs joins. Only pairs without a third point nearer
+    to both ends can be such, and paths of these are enough."""
+    return f"""with recursive p as ({points}), pair as materialized (select a.g, a.id as a, b.id as b, {_KM.format('a', 'b')} as km from p a join p b on a.g = b.g and a.id < b.id),
+way as materialized (select g, a, b, km from pair union all select g, b, a, km from pair),
+free as materialized (select * from pair e where not exists (select 1 from way x join way y on x.g = y.g and x.b = y.b where x.g = e.g and x.a = e.a and y.a = e.b and x.km < e.km and y.km < e.km)),
+step as materialized (select g, a, b, km from free union all select g, b, a, km from free),
+reach(g, a, b, km, node) as (select g, a, b, km, a from free union select r.g, r.a, r.b, r.km, s.b from reach r join step s on s.g = r.g and s.a = r.node and s.km < r.km),
+spanning as (select g, a, b, km from free f where not exists (select 1 from reach r where r.g = f.g and r.a = f.a and r.b = f.b and r.node = f.b))"""
+
+
+@query(f"{_spanning('select id, lon, lat, site as g from ' + sql('station'))} select g as site, a, b, round(km, 6) as km from spanning")
 def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.mst_edges(view(spark, sf_dir, "station").select("id", "lon", "lat", "site"), "site")
+    return models.mst_edges(view(spark, sf_dir, "station").select("id", "lon", "lat", "site"), "site").select("site", "a", "b", r6("km"))
+
+
+_ALL_OUTPOSTS = _spanning("select id, lon, lat, 0 as g from " + sql("outpost"))
+
+
+@query(f"{_ALL_OUTPOSTS} select a, b, round(km, 6) as km from spanning")
+def spanning_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All outposts as one group, scale by scale, as groups of any size are."""
+    rows = view(spark, sf_dir, "outpost").select("id", "lon", "lat", F.lit(0).alias("all"))
+    return models.mst_edges(rows, "all", most=0).select("a", "b", r6("km"))
 
 
 @query()
@@ -728,11 +749,184 @@ def leaf_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", r6("prediction"), "q16", "q84")
 
 
-@query()
+@query(f"""{_ALL_OUTPOSTS} select round(max(km) filter (km <= {LINK_KM}e0), 6) as holds_from, round(min(km) filter (km > {LINK_KM}e0), 6) as holds_to from spanning""")
 def linkage_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = models.mst_edges(view(spark, sf_dir, "outpost").select("id", "lon", "lat", F.lit(0).alias("all")), "all")
     return validation.stability_interval(edges, LINK_KM).select(r6("holds_from"), r6("holds_to"))
 
 
+# ---------------------------------------------------------------- polygons and grids
+
+#: A ring of twelve around every nation's sites, with a hole of four, and an island of three; numbers of vertices and steps from the middle.
+_RINGS = [(0, k, x, y) for k, (x, y) in enumerate([(6, 0), (5, 3), (3, 5), (0, 6), (-3, 5), (-5, 3), (-6, 0), (-5, -3), (-3, -5), (0, -6), (3, -5), (5, -3)])]
+_RINGS += [(1, k, x, y) for k, (x, y) in enumerate([(2, 0), (0, 2), (-2, 0), (0, -2)])] + [(2, k, x, y) for k, (x, y) in enumerate([(8, 0), (9, 2), (10, 0)])]
+_CLAIM = (
+    "select n_nationkey as polygon, ring, nth, -125e0 + (n_nationkey % 5) * 2e0 + 0.1e0 + dx * (1 + n_nationkey % 3) * 0.0125e0 as x,"
+    " 10e0 + floor(n_nationkey / 5e0) * 2e0 + 0.1e0 + dy * (1 + n_nationkey % 4) * 0.0125e0 as y from nation cross join {0}"
+)
+_CLAIM_SQL = "(" + _CLAIM.format("(values " + ", ".join(str(r) for r in _RINGS) + ") v(ring, nth, dx, dy)") + ")"
+_EDGE_SQL = f"""(select polygon, x as x1, y as y1, coalesce(lead(x) over w, first(x) over w) as x2, coalesce(lead(y) over w, first(y) over w) as y2
+  from {_CLAIM_SQL} window w as (partition by polygon, ring order by nth rows between unbounded preceding and unbounded following))"""
+
+
+def _crossed(points: str) -> str:
+    """(id, polygon) of points (id, px, py) that a polygon covers, by crossings of all its edges."""
+    return f"""(select id, polygon from (select id, polygon, sum(case when (y1 > py) <> (y2 > py) and px < (x2 - x1) * (py - y1) / (case when y2 = y1 then null else y2 - y1 end) + x1 then 1 else 0 end) as n,
+  bool_or((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) = 0 and px between least(x1, x2) and greatest(x1, x2) and py between least(y1, y2) and greatest(y1, y2)) as on_edge
+  from {points} cross join {_EDGE_SQL} group by id, polygon) where n % 2 = 1 or on_edge)"""
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> polygons.Index:
+    steps = spark.createDataFrame(_RINGS, "ring int, nth int, dx int, dy int")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey").join(F.broadcast(steps), F.lit(True))  # a fixed table of steps
+    made = _CLAIM.removeprefix("select ").split(" from nation")[0]
+    return polygons.Index(nations.selectExpr(*(c.strip() for c in _split(made))))
+
+
+@query(f"""select polygon, count(*) as stations, min(id) as first_id, max(id) as last_id, round(sum(y), 2) as y
+from {_crossed('(select id, lon as px, lat as py from ' + sql('station') + ')')} join {sql('station')} using (id) group by polygon""")
+def polygon_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "station")
+    met = _claims(spark, sf_dir).covering(rows, "id", "lon", "lat")
+    return met.join(rows.select("id", "y"), "id").groupBy("polygon").agg(
+        F.count(F.lit(1)).alias("stations"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.round(F.sum("y"), 2).alias("y")
+    )
+
+
+_SPOT = ["i", "j", "-125e0 + j * 0.16e0 as lon", "10e0 + (i % 50) * 0.16e0 as lat"]
+
+
+@query(f"""with spot as (select row_number() over () as id, * from (select {', '.join(_SPOT)} from {sql('cell')}))
+select i, j from spot where id not in (select id from {_crossed('(select id, lon as px, lat as py from spot)')})""")
+def outside_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spots = view(spark, sf_dir, "cell").selectExpr(*_SPOT)
+    return _claims(spark, sf_dir).outside(spots, ["i", "j"], "lon", "lat").select("i", "j")
+
+
+FINE, COARSE = surfaces.Grid(WEST, NORTH, RES), surfaces.Grid(-125.003, 20.004, 0.025)
+_RESAMPLED = f"""(select r as i, c as j, sum(w * z) / sum(w) as z, sum(w) as covered from (select z, r, c, (least(y1, r + 1) - greatest(y0, r)) * (least(x1, c + 1) - greatest(x0, c)) as w from (
+  select *, unnest(range(cast(floor(x0 + 1e-9) as bigint), cast(ceil(x1 - 1e-9) as bigint))) as c from (select *, unnest(range(cast(floor(y0 + 1e-9) as bigint), cast(ceil(y1 - 1e-9) as bigint))) as r from (
+    select z, y0, x0, y0 + {RES}e0 / 0.025e0 as y1, x0 + {RES}e0 / 0.025e0 as x1 from (
+      select z, (i * {RES}e0 + ({COARSE.north}e0 - {NORTH}e0)) / 0.025e0 as y0, (j * {RES}e0 + ({WEST}e0 - ({COARSE.west}e0))) / 0.025e0 as x0 from {sql('cell')}))))) where w > 0 group by r, c)"""
+
+
+def _resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surfaces.resample(view(spark, sf_dir, "cell"), "z", FINE, COARSE)
+
+
+@query(f"""select cast(i as int) as i, cast(j as int) as j, round(z, 6) as z, round(covered, 6) as covered,
+  case when z is null then null when z >= -4190e0 then 'shallow' when z >= -4210e0 then 'middle' else 'deep' end as band from {_RESAMPLED}""")
+def resampled_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = surfaces.classify(F.col("z"), [-4210.0, -4190.0], ["deep", "middle", "shallow"])
+    return _resampled(spark, sf_dir).select("i", "j", r6("z"), r6("covered"), bands.alias("band"))
+
+
+@query(f"""select count(*) as cells, round(corr(z, metric), 6) as spatial_correlation, round(avg(z - metric), 6) as mean_difference,
+  round(sqrt(avg((z - metric) * (z - metric))), 6) as rmse from {_RESAMPLED} a join {_YIELD} b on a.i = b.i and a.j = b.j where covered >= 0.5e0""")
+def resampled_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A surface against another one on a grid of other width and origin."""
+    got = surfaces.agreement(_resampled(spark, sf_dir).filter("covered >= 0.5"), _yield(spark, sf_dir), "z", "metric", ["i", "j"])
+    return got.select("cells", r6("spatial_correlation"), r6("mean_difference"), r6("rmse"))
+
+
+@query(f"select i, j, cast(z as float)::double as value from {sql('cell')} where z is not null")
+def raster_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer written as a mosaic of float tiles and read back, a partition a tile."""
+    folder = scratch(spark, "raster")
+    rasters.write_raster(view(spark, sf_dir, "cell"), "z", FINE, folder, "depth", side=32)
+    return rasters.read_raster(spark, folder)
+
+
+# ---------------------------------------------------------------- dispositions and reports
+
+@query(f"""{_MATCH}, d as (select b.source_id, c.source_id as other, case when c.seq is null then 'Admit' when b.source_id = c.source_id and b.source_record_id = c.source_record_id then 'AlreadyPresent'
+  when {_RANK.format('b')} > {_RANK.format('c')} then 'Replace' else 'AbsorbInto' end as d from batch b left join first on b.seq = l left join corpus c on r = c.seq),
+signed as (select source_id, case when d in ('Admit', 'Replace') then 1 else 0 end as a, case when d = 'AbsorbInto' then 1 else 0 end as b, case when d = 'AlreadyPresent' then 1 else 0 end as p from d
+  union all select other, -1, 1, 0 from d where d = 'Replace')
+select source_id, 'MASS' as evidence_class, cast(sum(a) as bigint) as admitted, cast(sum(b) as bigint) as absorbed, cast(sum(p) as bigint) as already_present from signed group by source_id
+having sum(a) <> 0 or sum(b) <> 0 or sum(p) <> 0""")
+def source_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = _matched(spark, sf_dir).withColumn("disposition", merge.disposition())
+    log = matched.select("disposition", F.col("l_evidence_class").alias("evidence_class"), F.col("l_source_id").alias("source_id"), F.col("r_source_id").alias("displaced_source"))
+    return merge.dispositions(log, "source_id", "evidence_class")
+
+
+_FIT = ORACLE["variogram_fit"][: ORACLE["variogram_fit"].index("select round(n / 1e3, 2)")]
+
+
+@query(f"""{_FIT.rstrip()}, told as (select lo, hi, count(km) as n, avg(km) as h from {_BINS} left join pairs on km >= lo and km < hi group by bin, lo, hi),
+whole as (select cast(count(*) filter (n >= 10 and hi <= 40e0) as bigint) as fitted_bins, cast(count(*) filter (n = 0) as bigint) as empty_bins, cast(count(*) filter (n > 0 and hi > 40e0) as bigint) as far_bins,
+  cast(count(*) filter (n between 1 and 9 and hi <= 40e0) as bigint) as thin_bins, 2 * max(h) filter (n >= 10 and hi <= 40e0) as ceiling, min(hi) filter (n >= 10 and hi <= 40e0) as least, sum(n) as binned,
+  coalesce(string_agg(cast(cast(lo as int) as varchar) || '-' || cast(cast(hi as int) as varchar), ',' order by lo) filter (n = 0), '') as unsupported_lags from told)
+select round((n + p) / 1e3, 2) as sill, round(case when p > 0 then a else 0e0 end, 4) as range_km, fitted_bins, empty_bins, far_bins, thin_bins, fitted_bins - 3 as residual_dof,
+  p > 0 and a >= ceiling * (1 - 1e-12) as range_at_ceiling, p > 0 and a <= least as range_below_first_lag, unsupported_lags,
+  cast((select count(*) from o) * ((select count(*) from o) - 1) // 2 - binned as bigint) as pairs_outside from four cross join whole order by sse, c limit 1""")
+def kriging_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = materialise(models.variogram_bins(_near_pairs(spark, sf_dir), EDGES), "report-bins")
+    fit = models.variogram_fit(bins, max_lag=40.0, min_pairs=10)
+    got = models.fit_report(bins, fit, view(spark, sf_dir, "outpost"), max_lag=40.0, min_pairs=10)
+    return got.drop("nugget", "partial_sill").withColumns({"sill": F.round(F.col("sill") / 1e3, 2), "range_km": F.round("range_km", 4)})
+
+
+_GRADED = "select id, case when id % 3 = 0 then concat('s', cast(id as string)) when id % 3 = 1 then 'unknown' end as station_id, cruise, cast(site as string) as event, lon, lat from {0}"
+
+
+@query(f"""with s as ({_GRADED.format(sql('station'))}), g as (select id + 100000 as grade_id, case when id % 2 = 0 then concat('s', cast(id * 3 as string)) end as station_id, cruise, event, lon + 0.002e0 as lon, lat from s),
+named as (select grade_id, min(s.id) as station from g join s on g.station_id = s.station_id group by grade_id),
+near as (select grade_id, id as station from (select g.grade_id, s.id, row_number() over (partition by g.grade_id order by {_KM.format('g', 's')}, s.id) as k from g join s on g.cruise = s.cruise and g.event = s.event
+  and abs(g.lat - s.lat) <= 0.02e0 and {_KM.format('g', 's')} <= 1.5e0 where g.grade_id not in (select grade_id from named)) where k = 1)
+select g.grade_id, coalesce(n.station, m.station) as station, case when n.station is not null then 'station_id' when m.station is not null then 'nearness' else 'unmatched' end as method
+from g left join named n using (grade_id) left join near m on m.grade_id = g.grade_id""")
+def grades_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades find stations by id first, the rest by cruise, event and nearness."""
+    s = view(spark, sf_dir, "station").selectExpr(*(c.strip() for c in _split(_GRADED.split(" from ")[0])))
+    g = s.selectExpr("id + 100000 as grade_id", "case when id % 2 = 0 then concat('s', cast(id * 3 as string)) end as station_id", "cruise", "event", "lon + 0.002e0 as lon", "lat")
+    return matrix.grades_at_stations(g, s, 1.5)
+
+
+_STEPS = [("longitude", TOL), ("latitude", TOL)]
+_STATE = "struct_pack(seq := seq, lon := longitude, lat := latitude, cruise := cruise, grade := quality_grade, src := source_id, rec := source_record_id)"
+
+
+@query(f"""{_BOTH.replace('with ', 'with recursive ', 1)}, queue as (select *, row_number() over (order by seq) as k from batch),
+fold(k, candidate, slot, disposition, displaced, held) as (
+  select 0, cast(null as bigint), cast(null as bigint), '', cast(null as varchar), (select list({_STATE} order by seq) from corpus)
+  union all select * from (select q.k, q.seq, held[pos].seq, d, case when pos is not null then held[pos].src end, case when d in ('Admit', 'AlreadyPresent') then held else list_transform(held, lambda s, i:
+    case when i <> pos then s when d = 'Replace' then struct_pack(seq := s.seq, lon := q.longitude, lat := q.latitude, cruise := coalesce(q.cruise, s.cruise), grade := q.quality_grade, src := q.source_id, rec := q.source_record_id)
+      else struct_pack(seq := s.seq, lon := s.lon, lat := s.lat, cruise := coalesce(s.cruise, q.cruise), grade := s.grade, src := s.src, rec := s.rec) end) end
+  from (select q.*, f.held, pos, case when pos is null then 'Admit' when f.held[pos].src = q.source_id and f.held[pos].rec = q.source_record_id then 'AlreadyPresent'
+      when case q.quality_grade when 'A' then 3 when 'B' then 2 else 1 end > case f.held[pos].grade when 'A' then 3 when 'B' then 2 else 1 end then 'Replace' else 'AbsorbInto' end as d
+    from (select f.k, f.held, list_filter(range(1, len(f.held) + 1), lambda i: abs(f.held[i].lon - q.longitude) <= {TOL}e0 and abs(f.held[i].lat - q.latitude) <= {TOL}e0
+        and (f.held[i].cruise is null or q.cruise is null or f.held[i].cruise = q.cruise))[1] as pos from fold f join queue q on q.k = f.k + 1) f join queue q on q.k = f.k + 1) q))
+select candidate, slot, disposition, displaced as displaced_source from fold where k > 0""")
+def upsert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole batch folded in order: slots that were moved or filled decide what later candidates match."""
+    corpus, batch = (_records(spark, sf_dir, odd) for odd in (True, False))
+    return merge.decisions(corpus, batch, dict(_STEPS), ["cruise"]).select("candidate", "slot", "disposition", "displaced_source")
+
+
+_SEEDS = [0, 1, 2]
+
+
+def _guess(df: DataFrame) -> DataFrame:
+    return df.withColumn("prediction", F.col("near") * 3 - F.col("far"))
+
+
+@query(f"""with r as (select *, row_number() over (order by id) as k from (select id, y / 1e3 as near, lat as far, cast(site as double) as idle, y / 1e3 * 3 - lat + (id % 7) / 10e0 as y from {sql('station')})),
+d as (select s, row_number() over (partition by s order by md5(concat(cast(s as string), ':', cast(id as string))), id) as k, near as n, far as f from r, (values (0), (1), (2)) t(s)),
+told as (select s as seed, unnest(['near', 'far', 'idle']) as feature, unnest([n * 3 - far, near * 3 - f, near * 3 - far]) as p, y from r join d using (k))
+select feature, seed, round(sqrt(avg((p - y) * (p - y))), 6) as rmse, round(sqrt(avg((p - y) * (p - y))) - (select sqrt(avg((near * 3 - far - y) * (near * 3 - far - y))) from r), 6) as loss from told group by all""")
+def permutation_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of a known predictor: the column it leans on loses most, the one it does not read loses nothing."""
+    rows = view(spark, sf_dir, "station").selectExpr("id", "y / 1e3 as near", "lat as far", "cast(site as double) as idle", "y / 1e3 * 3 - lat + (id % 7) / 10e0 as y")
+    return models.permutation_importance(rows, ["near", "far", "idle"], _guess, _SEEDS).select("feature", "seed", r6("rmse"), r6("loss"))
+
+
+@query()
+def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "station").selectExpr("id", "lon", "lat", "cast(id % 11 as double) as idle", "site * 10e0 + (id % 3) as y")
+    return models.forest_importance(rows.filter("id % 10 <> 0"), rows.filter("id % 10 = 0"), ["lon", "lat", "idle"], [0, 1])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline_cv(spark, sf_dir)

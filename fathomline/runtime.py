@@ -51,13 +51,18 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     a folder of their application, which ``clear`` deletes; ``discard`` deletes one.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.mode("error").option("compression", compression).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._written_to = path
     return made
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by ``clear``."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
