@@ -271,9 +271,15 @@ def collocations(
         within = found.filter(F.size("w") > 2).select("lang", F.explode(F.array_compact(F.array(*inner))).alias("phrase"), F.col("phrase").alias("longer"), "a")
         most = within.filter("phrase <> longer").groupBy("lang", "phrase").agg(F.max("a").alias("most"))
         best = best.join(most, ["lang", "phrase"], "left").filter(F.coalesce(F.col("most") * 100 < F.col("a") * cover, F.lit(True)))
-    rows = best.select("lang", "phrase", "a", "b.l", "b.r", "b.score")
+    rows = materialise(best.select("lang", "phrase", "a", "b.l", "b.r", "b.score"), "phrase-scored")
+    # the step of the scale of scores that holds a language's last phrase to return; few rows a language, whatever its size
+    step = F.floor(F.log2(F.col("score") + 1) * 64).cast("int")
+    steps = rows.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("c"))
+    down = Window.partitionBy("lang").orderBy(F.desc("step"))
+    last = steps.withColumn("c", F.sum("c").over(down)).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("c") >= top, F.col("step"))), F.lit(0)).alias("last"))
+    rows = rows.join(last, "lang").filter(step >= F.col("last")).drop("last")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # a language's first ones are among the first of its shares, so no task sorts a whole language
+    # many may share that step, so a language's first ones are sought among the first of its shares
     shares = rows.withColumn("_s", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     first = shares.withColumn("_k", F.row_number().over(Window.partitionBy("lang", "_s").orderBy(*order))).filter(F.col("_k") <= top).drop("_s", "_k")
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).filter(F.col("rank") <= top)
