@@ -9,7 +9,8 @@ is shuffled. Of equal words in a phrase the first one is its pivot.
 How rare a word is comes from a table of fixed size with the logarithm of the counts of all frequent words in a slot. Words that
 meet in a slot seem more frequent than they are: that moves a phrase to another of its words or keeps a rare word in a
 fragment for longer, and changes no count. A pivot with more than ``1 / SHARES`` of all words would be a hot partition; its
-phrases are sent one by one, each to a partition of its own, after a task has added up equal ones.
+phrases are sent one by one, each to a partition of its own. Equal words and fragments of about 2 MB of texts are added up before
+they are sent, by 128 bits of hash.
 
 Counts are exact (long; products in 38 decimal digits). Joins on words look the few hot ones up in a broadcast table of at most
 ``2 * SHARES`` rows and shuffle the rest.
@@ -28,20 +29,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import LOWER, Chunk, mix, owner, span_hashes, spans, text_chunks
+from fathomline.llm.common import LOWER, Chunk, mix, owner, seeded, span_hashes, spans, text_chunks
 from fathomline.runtime import materialise, ship
 
 SLOTS = 1 << 22
 SHARES = 1 << 14
-#: Rows that a task adds up before it sends them on.
-HELD = 400_000
-#: Words whose fragments are laid out at once.
+#: Bytes of whole texts in which equal words and fragments are added up before they are sent on.
+AT_ONCE = 2 << 20
+#: Words or fragments that are laid out as strings at once.
 STEP = 1 << 18
+#: Languages whose scales are broadcast; those of more are shuffled.
+LANGUAGES = 10_000
+#: Bits that hold where the words of a fragment end.
+BITS = 60
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(10, 14)]] = True
 _PART = ~_BREAK
 _PART[[32, 9]] = False
+_OTHER = seeded(256, 29)
 
 
 def rank_of(count: np.ndarray) -> np.ndarray:
@@ -50,13 +56,14 @@ def rank_of(count: np.ndarray) -> np.ndarray:
 
 
 class Laid:
-    """Words of a chunk: places in a buffer where one space follows each, text, hash by language, and what they touch."""
+    """Words of a chunk: places in a buffer where one space follows each, text, two hashes by language, and what they touch."""
 
     def __init__(self, chunk: Chunk, salts: np.ndarray):
         data = LOWER[chunk.data]
         first, last, edge = spans(_PART[data], chunk.starts)
         self.text = owner(edge)
         self.hash = mix(span_hashes(data, first, last) ^ salts[self.text])
+        self.other = mix(span_hashes(data, first, last, _OTHER) ^ salts[self.text])
         cut = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_BREAK[data], out=cut[1:])
         #: whether a word and the next one stand in one piece
@@ -68,47 +75,44 @@ class Laid:
         self.bytes[self.at[1:] - 1] = 32
 
     def strings(self, low: np.ndarray, high: np.ndarray) -> pa.Array:
-        """Words ``low`` to ``high`` (inclusive) with single spaces, as strings."""
+        """Words ``low`` to ``high`` (inclusive) with single spaces, as bytes."""
         start, size = self.at[low], self.at[high] + self.size[high] - self.at[low]
         offsets = np.concatenate([[0], np.cumsum(size)])
         source = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - start, size)
-        return pa.LargeStringArray.from_buffers(len(low), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.bytes[source]))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.bytes[source])]).cast(pa.binary())
+
+    def keys(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of words ``low`` to ``high``; equal words of one language have equal ones."""
+        made = []
+        for own in (self.hash, self.other):
+            h = np.zeros(len(low), np.uint64)
+            for d in range(int((high - low).max(initial=-1)) + 1):
+                there = low + d <= high
+                h = np.where(there, mix(h + own[np.minimum(low + d, len(own) - 1)]), h)
+            made.append(h)
+        return made[0], made[1]
 
 
 def _salts(langs: list[str]) -> np.ndarray:
     return mix(np.array([zlib.crc32(x.encode()) + 1 for x in langs], np.uint64))
 
 
-class Sums:
-    """Rows of a task, equal ones added up; sent on when many differ."""
-
-    def __init__(self, keys: list[str]):
-        self.keys, self.held, self.rows = keys, [], 0
-
-    def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        self.held.append(table.group_by(self.keys).aggregate([("n", "sum")]).rename_columns([*self.keys, "n"]))
-        self.rows += self.held[-1].num_rows
-        if self.rows >= HELD:
-            self._merge()
-            if self.rows >= HELD // 2:
-                yield from self.rest()
+def grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an item of every group, its number of items) of items alike in both 64-bit hashes.
 
-    def _merge(self) -> None:
-        self.held = [pa.concat_tables(self.held).group_by(self.keys).aggregate([("n", "sum")]).rename_columns([*self.keys, "n"])]
-        self.rows = self.held[0].num_rows
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            self._merge()
-            yield from self.held[0].cast(pa.schema([(f.name, pa.string() if pa.types.is_large_string(f.type) else f.type) for f in self.held[0].schema])).to_batches(max_chunksize=1 << 16)
-        self.held, self.rows = [], 0
+    A group may come in parts (its counts are added up later), but items of different words would have to share 128 bits.
+    """
+    order = np.argsort(one, kind="stable")
+    one, two = one[order], two[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(one)), bool), (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    return order[first], np.diff(np.append(first, len(one)))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Laid, pa.Array]]:
     """Laid-out words of whole texts, and the language of each text."""
     for batch in batches:
-        lang = batch.column("lang").cast(pa.large_string())
-        for chunk in text_chunks(batch.column("text")):
+        lang = batch.column("lang")
+        for chunk in text_chunks(batch.column("text"), AT_ONCE):
             own = lang.slice(chunk.rows.start, chunk.n)
             code = own.dictionary_encode()
             laid = Laid(chunk, _salts(code.dictionary.to_pylist())[code.indices.to_numpy()])
@@ -117,12 +121,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Laid, pa.Array]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = Sums(["lang", "word"])
     for laid, lang in _chunks(batches):
-        for a in range(0, len(laid.text), STEP):
-            at = np.arange(a, min(a + STEP, len(laid.text)))
-            yield from sums.add(pa.table({"lang": lang.take(pa.array(laid.text[at])), "word": laid.strings(at, at), "n": pa.array(np.ones(len(at), np.int64))}))
-    yield from sums.rest()
+        items, counts = grouped(laid.hash, laid.other)
+        for a in range(0, len(items), STEP):
+            at = items[a : a + STEP]
+            columns = [lang.take(pa.array(laid.text[at])), laid.strings(at, at).cast(pa.string()), pa.array(counts[a : a + STEP].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
 
 
 def _slots(size: int):
@@ -142,72 +146,87 @@ def _slots(size: int):
 
 
 def fragments(laid: Laid, ranks: np.ndarray, hot: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, last word, pivot's place in the fragment, route) of all fragments; place -1: the fragment is one phrase."""
+    """(first word, last word, pivot's place in the fragment, route) of all fragments; place -1: the fragment is one phrase.
+
+    Fragments of hot pivots, and those too long for their ends to be packed, come as the phrases they hold.
+    """
     rank = ranks[(laid.hash & np.uint64(len(ranks) - 1)).astype(np.int64)].astype(np.uint64)
     key = np.where(rank > 0, (rank << np.uint64(56)) | (laid.hash >> np.uint64(8)), np.uint64(0))
     n = len(key)
-    place = np.arange(n)
 
     def reach(step: int) -> np.ndarray:
         """Words, up to ``longest - 1``, that stay in a pivot's fragment on one side."""
         open_, far = rank > 0, np.zeros(n, np.int64)
-        for d in range(1, longest):
-            other = place + step * d
-            inside = (other >= 0) & (other < n)
-            other = np.where(inside, other, 0)
-            link = np.where(inside, other if step < 0 else other - 1, 0)
-            joined = inside & (laid.joined[link] if len(laid.joined) else False)
-            # before the pivot only words that are more frequent, so the first of equal words owns a phrase
-            open_ = open_ & joined & ((key[other] > key) if step < 0 else (key[other] >= key))
+        for d in range(1, min(longest, n)):
+            if step < 0:  # before the pivot only words that are more frequent, so the first of equal words owns a phrase
+                here, there, joined = slice(d, None), key[:-d], laid.joined[: n - d]
+                open_[here] &= joined & (there > key[here])
+                open_[:d] = False
+            else:
+                here, there, joined = slice(0, n - d), key[d:], laid.joined[d - 1 :]
+                open_[here] &= joined & (there >= key[here])
+                open_[n - d :] = False
             far += open_
         return far
 
     left, right = reach(-1), reach(1)
-    is_hot = rank >= hot
-    some = np.flatnonzero((left + right > 0) & ~is_hot)
-    low, high, at, route = [some - left[some]], [some + right[some]], [left[some]], [key[some]]
-    busy = np.flatnonzero((left + right > 0) & is_hot)
+    some = np.flatnonzero(left + right > 0)
+    low, high = some - left[some], some + right[some]
+    size = laid.at[high] + laid.size[high] - laid.at[low]
+    single = (rank[some] >= hot) | (size >= 1 << (BITS // (2 * longest - 1)))
+    busy, some = some[single], some[~single]
+    made = [(low[~single], high[~single], left[some], key[some])]
     for size in range(2, longest + 1):
         for before in range(size):
             p = busy[(left[busy] >= before) & (right[busy] >= size - 1 - before)]
             s = p - before
-            h = key[p]
-            for d in range(size):
-                h = mix(h + laid.hash[s + d])
-            low.append(s), high.append(s + size - 1), at.append(np.full(len(p), -1)), route.append(h)
-    return tuple(np.concatenate(v) for v in (low, high, at, route))
+            made.append((s, s + size - 1, np.full(len(p), -1), laid.keys(s, s + size - 1)[0]))
+    return tuple(np.concatenate(v) for v in zip(*made, strict=True))
+
+
+def packed_ends(laid: Laid, low: np.ndarray, high: np.ndarray, longest: int) -> np.ndarray:
+    """Where the words of each fragment end, from its start on, in equal parts of one number; 0 where there is no word."""
+    bits, ends = BITS // (2 * longest - 1), np.zeros(len(low), np.int64)
+    for d in range(2 * longest - 1):
+        word = np.minimum(low + d, high)
+        ends |= np.where(low + d <= high, laid.at[word] + laid.size[word] - laid.at[low], 0) << (bits * d)
+    return ends
+
+
+#: ``shape`` holds the ends of a fragment's words, and above them the pivot's place, counted from 1; 0 for a phrase.
+_SENT = "lang string, route int, shape bigint, fragment binary, n int"
 
 
 def _route(shared, hot: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(["lang", "route", "at", "fragment"])
         ranks = shared.value
         for laid, lang in _chunks(batches):
             low, high, at, route = fragments(laid, ranks, hot, longest)
-            for a in range(0, len(low), STEP):
-                p = slice(a, a + STEP)
-                yield from sums.add(
-                    pa.table(
-                        {
-                            "lang": lang.take(pa.array(laid.text[low[p]])), "route": pa.array(route[p].view(np.int64)), "at": pa.array(at[p].astype(np.int32)),
-                            "fragment": laid.strings(low[p], high[p]), "n": pa.array(np.ones(len(low[p]), np.int64)),
-                        }
-                    )
-                )
-        yield from sums.rest()
+            one, two = laid.keys(low, high)
+            place = mix((at + 2).astype(np.uint64))
+            items, counts = grouped(one ^ place, two ^ place)
+            for a in range(0, len(items), STEP):
+                k = items[a : a + STEP]
+                shape = np.where(at[k] < 0, 0, packed_ends(laid, low[k], high[k], longest) | (at[k] + 1) << BITS)
+                columns = [
+                    lang.take(pa.array(laid.text[low[k]])), pa.array((mix(route[k]) >> np.uint64(33)).astype(np.int32)), pa.array(shape), laid.strings(low[k], high[k]), pa.array(counts[a : a + STEP].astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "route", "shape", "fragment", "n"])
 
     return run
 
 
-def _owned(longest: int) -> tuple[F.Column, F.Column]:
-    """Words of a fragment, and its phrases that hold its pivot."""
-    words, at = F.split("fragment", " "), F.col("at")
-    made = []
+def _owned(longest: int) -> F.Column:
+    """Phrases of a fragment that hold its pivot, null where a place has none: slices of its bytes."""
+    bits = BITS // (2 * longest - 1)
+    at = f"(cast(shiftright(shape, {BITS}) as int) - 1)"
+    end = lambda k: f"(shiftright(shape, {bits} * ({k})) & {(1 << bits) - 1})"
+    made = ["case when shape = 0 then fragment end"]
     for size in range(2, longest + 1):
         for before in range(size):
-            inside = (at >= before) & (F.size("w") - at >= size - before)
-            made.append(F.when(inside, F.concat_ws(" ", F.slice("w", at - before + 1, F.lit(size)))))
-    return words, F.when(at < 0, F.array("fragment")).otherwise(F.array_compact(F.array(*made)))
+            stop, start = end(f"{at} + {size - 1 - before}"), f"case when {at} = {before} then 1 else {end(f'{at} - {before + 1}')} + 2 end"
+            made.append(f"case when shape <> 0 and {at} >= {before} and {at} + {size - 1 - before} < {2 * longest - 1} and {stop} > 0 then substring(fragment, cast({start} as int), cast({stop} + 1 - ({start}) as int)) end")
+    return F.expr(f"explode(array({', '.join(made)}))")
 
 
 def _piece(start: F.Column | int, size: F.Column | int) -> F.Column:
@@ -226,10 +245,9 @@ def mined(docs: DataFrame, least: int, longest: int, slots: int, shares: int) ->
     ranks = np.zeros(slots, np.uint8)  # as many rows as slots at most
     ranks[used.column("slot").to_numpy()] = rank_of(used.column("n").to_numpy())
     hot = int(rank_of(np.array([max(least, total // shares)]))[0])
-    sent = own.mapInArrow(_route(spark.sparkContext.broadcast(ranks), hot, longest), "lang string, route bigint, at int, fragment string, n bigint")
-    words_of, phrases = _owned(longest)
-    laid = sent.repartition("lang", "route").withColumn("w", words_of).select("lang", "route", "n", F.explode(phrases).alias("phrase"))
-    found = laid.groupBy("lang", "route", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    sent = own.mapInArrow(_route(spark.sparkContext.broadcast(ranks), hot, longest), _SENT)
+    laid = sent.repartition("lang", "route").select("lang", "route", "n", _owned(longest).alias("phrase")).filter("phrase is not null")
+    found = laid.groupBy("lang", "route", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least).withColumn("phrase", F.col("phrase").cast("string"))
     found = materialise(found.select("lang", "phrase", F.split("phrase", " ").alias("w"), "a"), "phrase-mined")
     return words, found, whole, total
 
@@ -277,7 +295,9 @@ def collocations(
     steps = rows.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("c"))
     down = Window.partitionBy("lang").orderBy(F.desc("step"))
     last = steps.withColumn("c", F.sum("c").over(down)).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("c") >= top, F.col("step"))), F.lit(0)).alias("last"))
-    rows = rows.join(last, "lang").filter(step >= F.col("last")).drop("last")
+    last = materialise(last, "phrase-last")
+    few = last.limit(LANGUAGES + 1).count() <= LANGUAGES
+    rows = rows.join(F.broadcast(last) if few else last, "lang").filter(step >= F.col("last")).drop("last")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # many may share that step, so a language's first ones are sought among the first of its shares
     shares = rows.withColumn("_s", F.pmod(F.xxhash64("phrase"), F.lit(64)))
