@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -372,24 +373,90 @@ def _number(raw: str | None, low: int, high: int, other: int) -> int:
     return min(max(int(m[1]), low), high) if m else other
 
 
+class _Covered:
+    """Columns that cells of earlier rows still cover: disjoint spans, each up to a row, and the runs they form.
+
+    Every span is entered once and ends once, so time follows the number of cells, not rows times columns.
+    """
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.spans: dict[int, tuple[int, int]] = {}  # start: end, first row that is free again
+        self.runs: list[int] = []
+        self.ends: dict[int, int] = {}
+        self.due: list[tuple[int, int, int]] = []
+
+    def _enter(self, start: int, end: int, until: int) -> None:
+        insort(self.starts, start)
+        self.spans[start] = (end, until)
+        heappush(self.due, (until, start, end))
+
+    def _leave(self, start: int) -> tuple[int, int]:
+        del self.starts[bisect_left(self.starts, start)]
+        return self.spans.pop(start)
+
+    def cover(self, start: int, end: int, until: int) -> None:
+        """What a new cell covers is its own, whoever covered it before."""
+        k = max(0, bisect_left(self.starts, start) - 1)
+        for at in [x for x in self._from(k, end) if self.spans[x][0] > start]:
+            stop, row = self._leave(at)
+            if at < start:
+                self._enter(at, start, row)
+            if stop > end:
+                self._enter(end, stop, row)
+        self._enter(start, end, until)
+        k = bisect_left(self.runs, start)
+        if k and self.ends[self.runs[k - 1]] >= start:
+            k -= 1
+            start = self.runs[k]
+        while k < len(self.runs) and self.runs[k] <= end:
+            end = max(end, self.ends.pop(self.runs.pop(k)))
+        self.runs.insert(k, start)
+        self.ends[start] = end
+
+    def _from(self, k: int, end: int) -> Iterator[int]:
+        while k < len(self.starts) and self.starts[k] < end:
+            yield self.starts[k]
+            k += 1
+
+    def row(self, now: int) -> None:
+        """Spans that end before row ``now`` are free again."""
+        while self.due and self.due[0][0] <= now:
+            until, start, end = heappop(self.due)
+            if self.spans.get(start) != (end, until):
+                continue  # another cell took of it since
+            self._leave(start)
+            k = bisect_right(self.runs, start) - 1
+            first = self.runs.pop(k)
+            last = self.ends.pop(first)
+            for a, b in ((end, last), (first, start)):
+                if a < b:
+                    self.runs.insert(k, a)
+                    self.ends[a] = b
+
+    def free(self, at: int) -> int:
+        """The first free column from ``at`` on."""
+        k = bisect_right(self.runs, at) - 1
+        return max(at, self.ends[self.runs[k]]) if k >= 0 else at
+
+
 class _Grid:
     """Cells of a table by row and column."""
 
     def __init__(self):
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.taken: dict[int, int] = {}  # columns that cells of earlier rows still cover, and up to which row
+        self.taken = _Covered()
         self.at = 0
 
     def row(self) -> None:
         self.rows.append([])
         self.at = 0
-        self.taken = {c: r for c, r in self.taken.items() if r > len(self.rows) - 1}
+        self.taken.row(len(self.rows) - 1)
 
     def cell(self, lines: list[str], columns: int, rows: int) -> None:
-        while self.at in self.taken:
-            self.at += 1
+        self.at = self.taken.free(self.at)
         if rows > 1:
-            self.taken.update(dict.fromkeys(range(self.at, self.at + columns), len(self.rows) - 1 + rows))
+            self.taken.cover(self.at, self.at + columns, len(self.rows) - 1 + rows)
         self.rows[-1].append((self.at, columns, lines))
         self.at += columns
 

@@ -563,3 +563,36 @@ def test_the_stage_judges_texts(spark, tmp_path):
     docs = [(None, "x the quick brown fox jumps over the lazy dog again"), (7, "the quick brown fox jumps over the lazy dog again y"), (7, "clean words"), (None, None)]
     left = decontam.stage(spark, spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as leak_text"), str(tmp_path))
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == [(7, "clean words"), (None, None)]
+
+
+def test_covered_columns_equal_a_plain_table():
+    """Spans against a table of single columns: the last cell that takes a column holds it up to its own row."""
+    r = random.Random(12)
+    for _ in range(300):
+        spans, plain, at = html_layout._Covered(), {}, 0
+        for row in range(30):
+            spans.row(row)
+            plain = {c: until for c, until in plain.items() if until > row}
+            at = 0
+            for _ in range(r.randrange(5)):
+                while at in plain:
+                    at += 1
+                assert spans.free(at) == at
+                wide, tall = r.choice([1, 1, 2, 5, 9]), r.choice([1, 1, 2, 3, 8, 65534])
+                if tall > 1:
+                    spans.cover(at, at + wide, row + tall)
+                    plain |= dict.fromkeys(range(at, at + wide), row + tall)
+                at += wide
+                edge = r.randrange(40)
+                want = edge
+                while want in plain:
+                    want += 1
+                assert spans.free(edge) == want
+
+
+@pytest.mark.parametrize("rest", ["<tr>", "<tr><td>y", "<tr><td rowspan=3 colspan=7>y", "<td colspan=1000 rowspan=0>x", "<tr><td rowspan=0 colspan=1000>x", "<tr><td rowspan=65534>x<td rowspan=9>z"])
+def test_a_megabyte_of_spans(rest):
+    page = "<table><tr>" + "<td colspan=1000 rowspan=0>x" * 20 + rest * (1_000_000 // len(rest))
+    began = time.process_time()
+    html_layout.page_text(page)
+    assert time.process_time() - began < 20
