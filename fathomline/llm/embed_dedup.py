@@ -98,42 +98,48 @@ def linked(u: np.ndarray, v: np.ndarray, axes: np.ndarray, threshold: float, lea
     return i[keep], j[keep]
 
 
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest members of the sets of ``label`` once members ``a`` and ``b`` are joined."""
+    a, b = label[a], label[b]
+    apart = a != b
+    if not apart.any():
+        return label
+    a, b = np.divmod(np.unique(a[apart] * len(label) + b[apart]), len(label))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _compare(axes, threshold: float, dim: int):
+    """Links and first members of a pair of tiles, block by block: pairs of one block are all that is held at a time."""
+
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cid")  # a set's first member is then its smallest index
         ids, times = table.column("cid").to_numpy(), table.column("times").to_numpy()
         side = table.column("side").to_numpy()
         x = _matrix(table.column("vec").combine_chunks(), dim)
         one = not side.any()
         left = np.flatnonzero(side == 0)
         right = left if one else np.flatnonzero(side == 1)
-        links = np.zeros(len(ids), np.int64)
-        parent = np.arange(len(ids))
-
-        def root(n: int) -> int:
-            while parent[n] != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
-
-        parts = [
-            (left[a + i], right[b + j])
-            for a in range(0, len(left), BLOCK) for b in range(a if one else 0, len(right), BLOCK)
-            for i, j in [linked(x[left[a : a + BLOCK]], x[right[b : b + BLOCK]], axes.value, threshold)]
-        ]
-        i, j = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
-        if one:
-            i, j = i[i < j], j[i < j]
-        np.add.at(links, i, times[j])
-        np.add.at(links, j, times[i])
-        # links in order of their first member: a member already hung on another's root adds nothing
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            if parent[p] != parent[q]:
-                p, q = root(p), root(q)
-                if p != q:
-                    parent[max(p, q, key=lambda n: ids[n])] = min(p, q, key=lambda n: ids[n])
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a in range(0, len(left), BLOCK):
+            for b in range(a if one else 0, len(right), BLOCK):
+                p, q = left[a : a + BLOCK], right[b : b + BLOCK]
+                i, j = linked(x[p], x[q], axes.value, threshold)
+                i, j = p[i], q[j]
+                if one and a == b:
+                    i, j = i[i < j], j[i < j]
+                np.add.at(links, i, times[j])
+                np.add.at(links, j, times[i])
+                label = _joined(label, i, j)
         some = np.flatnonzero(links)
-        to = np.array([ids[root(n)] for n in some.tolist()], np.int64)
-        return pa.table({"cid": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(to)})
+        return pa.table({"cid": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(ids[label[some]])})
 
     return run
 

@@ -139,3 +139,27 @@ def test_no_pair_is_given_up_wrongly():
     axes = np.linalg.eigh(u.T @ u)[1][:, ::-1]
     i, j = embed_dedup.linked(u, u, axes, 0.8)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(u @ u.T >= 0.8)), strict=True))
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_a_tile_that_links_whole_stays_small(sides):
+    """All pairs of two blocks and more are linked: counts and first members without a list of pairs."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    n = 2600
+    x = np.ones((n, 16)) + 0.01 * r.normal(size=(n, 16))
+    ids = r.permutation(n) * 3
+    side = np.zeros(n, np.int32) if sides == 1 else (np.arange(n) % 2).astype(np.int32)
+    table = pa.table({"cid": ids, "times": np.full(n, 2), "side": side, "vec": pa.array(x.tolist())})
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
+    tracemalloc.start()
+    got = embed_dedup._compare(SimpleNamespace(value=axes), 0.9, 16)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got.column("root").to_pylist()) == {0} and got.num_rows == n
+    assert set(got.column("links").to_pylist()) == {2 * (n - 1) if sides == 1 else n}
+    assert peak < 300e6
