@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from fathomline.runtime import materialise
+
 #: Screening bounds (inclusive).
 BOUNDS = {
     "abundance_kg_m2": (0.0, 45.0), "mn_pct": (10.0, 45.0), "ni_pct": (0.3, 2.0), "cu_pct": (0.2, 2.0), "co_pct": (0.02, 0.5),
@@ -133,6 +135,24 @@ def validate(records: DataFrame, strict: bool = False) -> tuple[DataFrame, DataF
     return marked.filter(F.size("violations") == 0).drop("violations"), marked.filter(F.size("violations") > 0)
 
 
+def ingested(records: DataFrame, label: str = "ingested") -> tuple[DataFrame, DataFrame]:
+    """(written rows with ``violations``, one row of counts): records normalised, screened and checked, and what became of them.
+
+    Counts are observed by the job that writes the rows, so they tell of the rows that were written and cost no other scan.
+    """
+    counts = Observation(label)
+    laid = screen(normalise(records))
+    laid = laid.withColumn("violations", violations(laid))
+    told = laid.observe(
+        counts, F.count(F.lit(1)).alias("adapted"), F.count("abundance_kg_m2").alias("with_value"), F.count_if(F.col("qa_status") == "flagged").alias("flagged"),
+        F.count_if(F.size("violations") > 0).alias("refused"), F.min("abundance_kg_m2").alias("least"), F.max("abundance_kg_m2").alias("most"),
+    )
+    made = materialise(told, label)
+    row = counts.get
+    kinds = {"least": "double", "most": "double"}
+    return made, made.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in row))
+
+
 #: Marks of a licence that bars commercial use.
 NON_COMMERCIAL = ("-NC-", "NONCOMMERCIAL", "NON-COMMERCIAL")
 

@@ -210,8 +210,8 @@ def decisions(corpus: DataFrame, batch: DataFrame, bands: dict[str, float], tole
     return log.select(F.col("seq").alias("candidate"), "slot", "disposition", "evidence_class", "source_id", "displaced_source")
 
 
-def upsert(corpus: DataFrame, batch: DataFrame, bands: dict[str, float], *, tolerant_on: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(corpus after the batch, disposition log). Both sides carry ``seq``, the order of arrival.
+def changes(corpus: DataFrame, batch: DataFrame, bands: dict[str, float], *, tolerant_on: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows of the corpus that a batch changes or adds, as they are after it; disposition log). Both sides carry ``seq``, the order of arrival.
 
     Candidates match the corpus as it was before the batch and as earlier candidates of the batch changed it (a Replace
     moves its slot, a merge fills its gaps); rows of the batch do not see each other. Candidates of one slot fold in order.
@@ -222,10 +222,16 @@ def upsert(corpus: DataFrame, batch: DataFrame, bands: dict[str, float], *, tole
     rows = batch.join(touched, F.col("seq") == F.col("_c"))
     folds = rows.groupBy("_slot").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("queue"))
     start = F.struct(*(F.col(f) for f in fields))
-    folded = F.when(F.col("queue").isNull(), start).otherwise(F.aggregate("queue", start, lambda acc, row: _step(acc, row, fields)))
-    slots = corpus.join(folds, F.col("seq") == F.col("_slot"), "left").withColumn("_row", folded).select("seq", *(F.col(f"_row.{f}").alias(f) for f in fields))
+    folded = F.aggregate("queue", start, lambda acc, row: _step(acc, row, fields))
+    slots = corpus.join(folds, F.col("seq") == F.col("_slot")).withColumn("_row", folded).select("seq", *(F.col(f"_row.{f}").alias(f) for f in fields))
     admitted = batch.join(log.filter("disposition = 'Admit'").select(F.col("candidate").alias("seq")), "seq", "left_semi")
-    return materialise(slots.unionByName(admitted.select("seq", *fields)), "upsert-slots"), log
+    return materialise(slots.unionByName(admitted.select("seq", *fields)), "upsert-changes"), log
+
+
+def upsert(corpus: DataFrame, batch: DataFrame, bands: dict[str, float], *, tolerant_on: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(corpus after the batch, disposition log)."""
+    changed, log = changes(corpus, batch, bands, tolerant_on=tolerant_on)
+    return corpus.join(changed.select("seq"), "seq", "left_anti").select(*corpus.columns).unionByName(changed), log
 
 
 def signed_log(log: DataFrame) -> DataFrame:

@@ -126,6 +126,26 @@ def assert_separated(points: DataFrame, label: str, required_km: float) -> None:
         raise ValueError(f"fold {near['fold']}: a training row is {near['min_km']:.3f} km from a test row; {required_km} km are required")
 
 
+def leakage(points: DataFrame, label: str, recorded: DataFrame, required_km: float, tolerance_km: float = 1e-6) -> DataFrame:
+    """(fold, recorded_km, measured_km, verdict): distances that a design recorded (fold, min_km) against what is measured anew.
+
+    ``too near``: a training row is nearer than required; ``not as recorded``: the two differ, or one of them is missing; else ``ok``.
+    """
+    measured = fold_distance(points, label, max(required_km, 1.0)).select("fold", F.col("min_km").alias("measured_km"))
+    told = recorded.select(F.col("fold").alias("_fold"), F.col("min_km").alias("recorded_km"))
+    met = measured.join(told, F.col("fold").eqNullSafe(F.col("_fold")), "full_outer")
+    same = F.coalesce(F.abs(F.col("recorded_km") - F.col("measured_km")) <= tolerance_km, F.lit(False))
+    verdict = F.when(F.col("measured_km") < required_km, F.lit("too near")).when(~same, F.lit("not as recorded")).otherwise(F.lit("ok"))
+    return met.select(F.coalesce("fold", "_fold").alias("fold"), "recorded_km", "measured_km", verdict.alias("verdict"))
+
+
+def assert_recorded(points: DataFrame, label: str, recorded: DataFrame, required_km: float) -> None:
+    """Refuses a design whose folds are nearer than required, or not as far apart as it recorded."""
+    bad = leakage(points, label, recorded, required_km).filter("verdict <> 'ok'").orderBy("fold").first()
+    if bad is not None:
+        raise ValueError(f"fold {bad['fold']}: {bad['verdict']} (recorded {bad['recorded_km']}, measured {bad['measured_km']}, required {required_km} km)")
+
+
 def linkage_folds(clusters: DataFrame, min_blocks: int) -> DataFrame:
     """(label, test_rows, train_rows) of folds that hold out one linked component each; fewer than ``min_blocks`` are refused."""
     part = clusters.groupBy(F.col("cluster").alias("label")).agg(F.count(F.lit(1)).alias("test_rows"))

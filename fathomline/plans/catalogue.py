@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.geodesy import covered, haversine_km
-from fathomline.operators import contracts, geo, grid, ingest, matrix, merge, models, polygons, surfaces, validation
+from fathomline.operators import contracts, geo, grid, ingest, matrix, merge, models, polygons, provenance, surfaces, validation
 from fathomline.plans.staging import sql, view
 from fathomline.runtime import materialise, scratch, table
 from fathomline.sources import adapters, rasters
@@ -928,5 +928,89 @@ def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.forest_importance(rows.filter("id % 10 <> 0"), rows.filter("id % 10 = 0"), ["lon", "lat", "idle"], [0, 1])
 
 
+_PIECES = [
+    "concat('SO', cast(l_orderkey % 7 as string), '_', cast(l_orderkey as string)) as event", "l_linenumber as nth", "l_partkey", "l_suppkey",
+    "case when l_returnflag = 'R' or l_linenumber = 5 then null else l_quantity end as mass_g", "case when l_linenumber = 5 then l_extendedprice end as length_mm",
+    "case when l_returnflag = 'R' then concat('Plus ', cast(l_linenumber as string), ' Nodules of less than 5g') when l_linenumber = 5 then 'broken' end as remark",
+    "case when l_orderkey % 9 = 0 then 'recovery failed' end as event_comment", "-1e0 * l_partkey as elevation_m", "l_extendedprice", "l_discount",
+]
+_FIRST = "nth, l_partkey, l_suppkey, l_extendedprice, l_discount"
+
+
+@query(f"""with p as (select {', '.join(_PIECES)} from lineitem), e as (
+  select event, count(mass_g) as weighed, coalesce(sum(mass_g), 0) as grams, cast(count(*) filter (mass_g is not null or length_mm is not null) as bigint) as seen,
+    cast(coalesce(sum(case when remark like 'Plus%' then nth end), 0) as bigint) as unweighed, arg_min(elevation_m, ({_FIRST})) as elevation, arg_min(event_comment is not null, ({_FIRST})) as failed,
+    arg_min(l_suppkey, ({_FIRST})) as vessel, row_number() over (order by event) - 1 as k from p group by event)
+select printf('src_pieces_%s_%06d', c, k) as source_record_id, c as evidence_class, event, split_part(event, '_', 1) as cruise, vessel, -elevation as water_depth_m,
+  case when failed then 'flagged' else 'pending' end as qa_status, case when c = 'MASS' then 'B' end as quality_grade, round(grams / nullif(weighed, 0), 6) as mean_nodule_mass_g,
+  case when c = 'MASS' then round(grams / 1000, 9) end as nodule_mass_kg, case when c = 'COUNT' then seen + unweighed end as nodule_count, case when c = 'COUNT' then (seen + unweighed) / 0.25e0 end as nodule_density_m2,
+  unweighed > 0 as is_biased from e cross join (values ('MASS'), ('COUNT')) t(c)""")
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of nested pieces as a MASS and a COUNT record, numbered in the order of events."""
+    pieces = table(spark, sf_dir, "lineitem").selectExpr(*_PIECES)
+    made = adapters.event_records(
+        pieces, "src_pieces", "event", _FIRST.split(", "), "mass_g", dimensions=["length_mm"], remark="remark", shared={"vessel": "l_suppkey"},
+        elevation="elevation_m", event_comment="event_comment", area_m2=0.25,
+    )
+    columns = ["source_record_id", "evidence_class", "event", "cruise", "vessel", "water_depth_m", "qa_status", "quality_grade", "nodule_count", "nodule_density_m2"]
+    return made.select(*columns, r6("mean_nodule_mass_g"), r6("nodule_mass_kg", 9), F.coalesce(F.col("notes").contains("unweighed"), F.lit(False)).alias("is_biased"))
+
+
+@query(f"""with near as (select fold, min(km) as km from (with o as {sql('outpost')}, pairs as ({_PAIRS}) select sa as fold, km from pairs where sa <> sb union all select sb, km from pairs where sa <> sb) group by fold),
+told as (select fold, km as measured, case when fold % 5 = 1 then km + 0.5e0 when fold % 5 <> 2 then km end as recorded from near)
+select fold, round(recorded, 6) as recorded_km, round(measured, 6) as measured_km, case when measured < 3e0 then 'too near' when recorded is null or abs(recorded - measured) > 1e-6 then 'not as recorded' else 'ok' end as verdict from told""")
+def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded distances between folds against those measured anew; one in five was recorded wrongly, one in five not at all."""
+    o = view(spark, sf_dir, "outpost")
+    true = materialise(validation.fold_distance(o, "site", 30.0), "leak-recorded")
+    recorded = true.filter("fold % 5 <> 2").select("fold", (F.col("min_km") + F.when(F.col("fold") % 5 == 1, 0.5).otherwise(0.0)).alias("min_km"))
+    return validation.leakage(o, "site", recorded, 3.0).select("fold", r6("recorded_km"), r6("measured_km"), "verdict")
+
+
+@query(f"""select count(*) as adapted, count(abundance_kg_m2) as with_value, cast(count(*) filter (screened = 'flagged') as bigint) as flagged,
+  cast(count(*) filter (visible_cover_percent > 100 or abundance_kg_m2 < 0 or abundance_kg_m2 > 100 or nodule_mass_kg < 0 or (evidence_class = 'COUNT' and abundance_kg_m2 is not null and mean_nodule_mass_g is null)) as bigint) as refused,
+  min(abundance_kg_m2) as least, max(abundance_kg_m2) as most from ({_SCREENED})""")
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the writing job saw of a batch."""
+    return ingest.ingested(view(spark, sf_dir, "record"))[1]
+
+
+_FLAT = f"(select estimator, fold, id, y, case when id % 14 = 0 then y else prediction end as prediction, case when id % 7 = 0 then 0e0 else sd end as sd from {_MODELS})"
+
+
+@query(f"""with z as (select *, prediction - y as e, 1e-9 * greatest(abs(y), abs(prediction)) as tiny from {_FLAT} where fold % 2 = 0 or id % 14 = 0 or id % 7 <> 0),
+f as (select *, sd <= tiny as is_zero, abs(e) <= tiny as is_exact from z)
+select estimator, fold, count(*) as n, cast(count(*) filter (is_zero) as bigint) as n_sd_zero, cast(count(*) filter (is_zero and not is_exact) as bigint) as n_sd_zero_wrong,
+  round(avg(case when abs(e) <= greatest(sd, tiny) then 1e0 else 0e0 end), 9) as coverage_1sigma, round(sqrt(avg(case when is_zero and is_exact then 0e0 when not is_zero then e / sd * e / sd end)), 9) as standardized_finite,
+  round(case when count(*) filter (is_zero and not is_exact) = 0 then sqrt(avg(case when is_zero then 0e0 else e / sd * e / sd end)) end, 9) as standardized_rmse from f group by estimator, fold""")
+def cv_flat_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores where some spreads are zero: an exact prediction counts as none, a wrong one leaves the ratio undefined."""
+    rows = _estimates(spark, sf_dir).withColumns(
+        {"prediction": F.when(F.col("id") % 14 == 0, F.col("y")).otherwise(F.col("prediction")), "sd": F.when(F.col("id") % 7 == 0, 0.0).otherwise(F.col("sd"))}
+    )
+    got = validation.scores(rows.filter("fold % 2 = 0 or id % 14 = 0 or id % 7 <> 0"), ["estimator", "fold"])
+    return got.select("estimator", "fold", "n", "n_sd_zero", "n_sd_zero_wrong", *(r6(c, 9) for c in ("coverage_1sigma", "standardized_finite", "standardized_rmse")))
+
+
+_PLACE = "(select row_number() over (order by lon, lat) as id, lon, lat, 0 as site, 0e0 as y from (select distinct lon, lat from " + sql("outpost") + " where {0}))"
+
+
+def _places_sql(basis: str, condition: str) -> str:
+    o = _PLACE.format(condition)
+    return f"""(with recursive o as {o}, pairs as ({_PAIRS}), link as (select a, b from pairs where km <= {LINK_KM}e0 union all select b, a from pairs where km <= {LINK_KM}e0),
+  reach(id, seen) as (select id, id from o union select l.b, seen from reach join link l on l.a = reach.id), label as (select id, min(seen) as cluster from reach group by id),
+  s as (select km, lead(km) over (order by km) as after, row_number() over (order by km) as k, count(*) over () as n from pairs),
+  gap as (select after - km as gap, km as gap_from, after as gap_to from s where after is not null order by after - km desc, km limit 1)
+  select '{basis}' as basis, (select count(*) from o) as locations, {LINK_KM}e0 as linkage_km, (select count(distinct cluster) from label) as clusters, (select count(*) from pairs) as pairs,
+    round((select min(km) from s), 4) as least_km, round((select km from s where k = n // 2 + 1), 4) as median_km, round((select max(km) from s), 4) as most_km, round(gap, 4) as gap_km, round(gap_from, 4) as gap_from_km, round(gap_to, 4) as gap_to_km from gap)"""
+
+
+@query(f"select * from {_places_sql('all rows', 'true')} union all select * from {_places_sql('eligible rows', 'y > 0 and id % 5 <> 0')}")
+def places_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where all rows and those that may train lie, as a corpus manifest tells it."""
+    o = view(spark, sf_dir, "outpost")
+    return provenance.places_report(o, LINK_KM, "all rows").unionByName(provenance.places_report(o.filter("y > 0 and id % 5 <> 0"), LINK_KM, "eligible rows"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline_cv(spark, sf_dir)

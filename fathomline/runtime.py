@@ -67,20 +67,28 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store Spark reaches."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(there)] if store.exists(there) else []
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialise`` made, once nothing that is still to run reads them."""
     for df in tables:
-        _delete(df.sparkSession, df._written_to)
+        delete(df.sparkSession, df._written_to)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that ``materialise`` made in this application, when their results are stored elsewhere."""
-    _delete(spark, _own_folder(spark))
+    delete(spark, _own_folder(spark))
 
 
 def shuffle_width(spark: SparkSession) -> int:

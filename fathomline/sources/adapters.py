@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.operators.ingest import unweighed_in
+from fathomline.operators.merge import running_order
+
 #: The note of a box core whose cover was seen in photographs.
 COVER_NOTE = "cover read from photographs"
 
@@ -64,6 +67,58 @@ def box_cores(records: DataFrame, event: str = "event", elevation: str = "elevat
     )
 
 
+def event_records(
+    pieces: DataFrame, source: str, event: str, order: list[str], mass_g: str, *, dimensions: list[str] = (), remark: str | None = None,
+    shared: dict[str, str] | None = None, elevation: str | None = None, event_comment: str | None = None, area_m2: float | None = None, is_open: bool = True,
+) -> DataFrame:
+    """Pieces nested in events as two records an event: a MASS of what was weighed, and a COUNT of all that was seen.
+
+    A piece counts when it has a mass or a dimension; remarks may tell of more that nobody weighed. The mean is that of weighed
+    pieces. What an event shares comes from its first piece by ``order``; events are numbered in the order of their names. One
+    partial aggregate an event, and range ranks for the numbers: no task holds all pieces of an event or all events.
+    """
+    shared = shared or {}
+    told = lambda c, kind="string": F.col(c) if c else F.lit(None).cast(kind)
+    seen = F.col(mass_g).isNotNull()
+    for name in dimensions:
+        seen = seen | F.col(name).isNotNull()
+    extra = unweighed_in(F.col(remark)) if remark else F.lit(0).cast("bigint")
+    first = F.min_by(F.struct(*(F.col(c).alias(t) for t, c in shared.items()), told(elevation, "double").alias("_elevation"), told(event_comment).alias("_comment")), F.struct(*order))
+    per = pieces.groupBy(F.col(event).cast("string").alias("event")).agg(
+        F.count(mass_g).alias("weighed"), F.coalesce(F.sum(F.col(mass_g).cast("double")), F.lit(0.0)).alias("grams"), F.count_if(seen).alias("seen"),
+        F.sum(extra).cast("bigint").alias("unweighed"), first.alias("first"),
+    )
+    per = running_order(per, ["event"]).withColumn("nodule_count", F.col("seen") + F.col("unweighed"))
+    failed = F.coalesce(F.lower("first._comment").contains("failed"), F.lit(False))
+    some = F.col("unweighed") > 0
+    share = F.bround(100.0 * F.col("unweighed") / F.col("nodule_count")).cast("int")
+    notes = F.concat_ws(
+        "; ", F.when(failed, F.concat(F.lit("event comment: "), F.col("first._comment"))),
+        F.when(some, F.format_string("mean leaves out %s unweighed pieces (%s%% of the event): too high", "unweighed", share)),
+    )
+    formula = F.concat(
+        F.lit("nodule_mass_kg = sum of weighed masses; mean_nodule_mass_g = 1000 * nodule_mass_kg / weighed pieces"),
+        F.when(some, F.format_string("; %s unweighed pieces are not in the sum", "unweighed")).otherwise(F.lit("")),
+    )
+    mean = F.try_divide(F.col("grams"), F.col("weighed"))
+    nothing = F.lit(None).cast("double")
+    count = F.col("nodule_count")
+    made = F.array(
+        F.struct(F.lit("MASS").alias("evidence_class"), (F.col("grams") / 1000).alias("nodule_mass_kg"), F.lit(None).cast("bigint").alias("nodule_count"),
+                 nothing.alias("nodule_density_m2"), F.lit("B").alias("quality_grade")),
+        F.struct(F.lit("COUNT").alias("evidence_class"), nothing.alias("nodule_mass_kg"), count.alias("nodule_count"),
+                 (count / F.lit(area_m2) if area_m2 else nothing).alias("nodule_density_m2"), F.lit(None).cast("string").alias("quality_grade")),
+    )
+    out = per.select(
+        "event", "seq", cruise_of(F.col("event")).alias("cruise"), (-F.col("first._elevation")).alias("water_depth_m"), mean.alias("mean_nodule_mass_g"),
+        F.when(failed, F.lit("flagged")).otherwise(F.lit("pending")).alias("qa_status"), F.nullif(notes, F.lit("")).alias("notes"), formula.alias("derivation_formula"),
+        *(F.col(f"first.{t}").alias(t) for t in shared), F.lit("observed").alias("observation_or_prediction"), F.lit(is_open).alias("is_open"),
+        F.lit(area_m2).cast("double").alias("sampled_area_m2"), F.explode(made).alias("r"),
+    )
+    record = F.format_string(f"{source}_%s_%06d", "evidence_class", "seq")
+    return out.select("*", "r.*").drop("r").withColumns({"source_id": F.lit(source), "source_record_id": record}).drop("seq")
+
+
 def regional_grid(rows: DataFrame, source: str, ordinal: str, value: str, observation: str = "compiled", **maps: dict) -> DataFrame:
     """Cells of a compiled grid as records; what a grid holds was not observed there, so that claim is refused."""
     if observation == "observed":

@@ -6,10 +6,12 @@ import hashlib
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators.ingest import validate
+from fathomline.runtime import materialise
+
 
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN is not a value of the data model: doubles that hold it become null."""
@@ -40,15 +42,28 @@ def with_comments(rows: DataFrame, comments: DataFrame, event: str) -> DataFrame
     return rows.join(comments.withColumnRenamed("event", "_event"), rows[event] == F.col("_event"), "left").drop("_event")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, line): lines of one text file with their numbers, read by splits.
+
+    A split knows where in the file it starts, and Spark numbers rows as it reads them; lines per split, summed up over the splits
+    before, make numbers of the whole file. Only a row a split meets others, so a file may have any length.
+    """
+    split = F.col("_metadata.file_block_start").alias("split")
+    lines = spark.read.option("lineSep", "\n").text(path).select(split, F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = materialise(lines.withColumn("read", F.monotonically_increasing_id()), "lines")
+    splits = lines.groupBy("split").agg(F.min("read").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(splits.withColumn("before", before), "split").select((F.col("read") - F.col("first") + F.col("before")).alias("at"), "line")
+
+
 def read_tab(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A ``.tab`` export: (rows with native headers and their line as ``_row``, event comments).
 
     The header block ends at the line that is ``*/``; a file without it is refused. Native headers
-    may repeat in part, so they are kept whole. Lines are a table: only the header's end and the
+    may repeat in part, so they are kept whole. Lines are a table read by splits: only the header's end and the
     column names reach the driver.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    lines = numbered_lines(spark, path)
     stop = lines.filter(F.trim("line") == "*/").agg(F.min("at").alias("at")).first()["at"]
     if stop is None:
         raise ValueError(f"{path}: the header block has no end")

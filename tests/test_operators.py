@@ -340,6 +340,68 @@ def test_tab_reader_and_guard(spark, tmp_path):
             readers.admit(entry, content)
 
 
+def test_a_tab_file_is_read_by_splits(spark, tmp_path):
+    """Numbers of lines are those of the whole file, however it is split; blank lines and returns count as they stand."""
+    f = tmp_path / "long.tab"
+    body = [f"A_{k}\t{k * 3}" if k % 50 else "" for k in range(4000)]
+    f.write_bytes("\r\n".join(["/* DATA", "A_1 (x) * COMMENT: one", "*/", "Event\tN", *body]).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows, comments = readers.read_tab(spark, str(f))
+        got = {r["_row"]: (r["Event"], r["N"]) for r in rows.collect()}
+        assert spark.read.text(str(f)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert got == {k: (f"A_{k}", str(k * 3)) for k in range(4000) if k % 50}
+    assert [tuple(r) for r in comments.collect()] == [("A_1", "one")]
+
+
+def test_events_become_two_records(spark):
+    pieces = spark.createDataFrame(
+        [
+            ("S1_2", 0, 30.0, None, None, "a", -4000.0, None), ("S1_2", 1, None, 4.0, "Broken", "b", -1.0, None), ("S1_2", 2, None, None, "Plus 13 Nodules of less than 5g", "b", -1.0, None),
+            ("S1_2", 3, 10.0, None, "plus 2 nodules of less than 5 g", "b", -1.0, None), ("S1_10", 0, None, None, "note", "c", None, "Recovery FAILED"), ("S1_10", 1, 5.0, 1.0, None, "d", -9.0, None),
+        ],
+        "event string, nth int, g double, width double, remark string, ship string, elevation double, told string",
+    )
+    from fathomline.sources import adapters
+
+    got = {r["source_record_id"]: r for r in adapters.event_records(
+        pieces, "src_x", "event", ["nth"], "g", dimensions=["width"], remark="remark", shared={"vessel": "ship"}, elevation="elevation", event_comment="told", area_m2=0.25).collect()}
+    assert sorted(got) == ["src_x_COUNT_000000", "src_x_COUNT_000001", "src_x_MASS_000000", "src_x_MASS_000001"]
+    count, mass = got["src_x_COUNT_000001"], got["src_x_MASS_000001"]
+    assert (count["event"], count["nodule_count"], count["nodule_density_m2"], count["quality_grade"]) == ("S1_2", 18, 72.0, None)
+    assert (mass["nodule_mass_kg"], mass["mean_nodule_mass_g"], mass["quality_grade"], mass["vessel"], mass["water_depth_m"], mass["cruise"]) == (0.04, 20.0, "B", "a", 4000.0, "S1")
+    assert "15 unweighed pieces (83%" in mass["notes"] and "15 unweighed" in mass["derivation_formula"]
+    failed = got["src_x_MASS_000000"]
+    assert (failed["qa_status"], failed["notes"], failed["water_depth_m"], failed["vessel"]) == ("flagged", "event comment: Recovery FAILED", None, "c")
+
+
+def test_ingest_counts_come_from_the_writing_job(spark):
+    rows = spark.createDataFrame([("MASS", 12.0, "kg_m2"), ("MASS", 50.0, "kg_m2"), ("MASS", 120.0, "kg_m2"), ("COVER", 1.0, None)], "evidence_class string, abundance_value_original double, abundance_unit_original string")
+    rows = rows.selectExpr("*", "cast(null as double) as nodule_mass_kg", "cast(null as double) as sampled_area_m2", "cast(null as double) as nodule_density_m2", "cast(null as double) as mean_nodule_mass_g", "'pending' as qa_status")
+    made, counts = ingest.ingested(rows)
+    assert tuple(counts.first()) == (4, 3, 2, 1, 12.0, 120.0) and made.filter("size(violations) > 0").count() == 1
+    none = ingest.ingested(rows.limit(0))[1].first()
+    assert tuple(none)[:4] == (0, 0, 0, 0) and none["least"] is None
+
+
+def test_recorded_distances_are_measured_anew(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 0.1, 0.0, 1), (3, 1.0, 0.0, 2)], "id bigint, lon double, lat double, label int")
+    true = validation.fold_distance(pts, "label", 5.0).select("fold", "min_km")
+    validation.assert_recorded(pts, "label", true, 5.0)
+    with pytest.raises(ValueError, match="too near"):
+        validation.assert_recorded(pts, "label", true, 20.0)
+    with pytest.raises(ValueError, match="fold 2: not as recorded"):
+        validation.assert_recorded(pts, "label", true.withColumn("min_km", F.col("min_km") + (F.col("fold") == 2).cast("int")), 5.0)
+    with pytest.raises(ValueError, match="fold 1: not as recorded"):
+        validation.assert_recorded(pts, "label", true.filter("fold <> 1"), 5.0)
+
+
 def test_csv_reads_nan_as_null(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_text("a,b\n1.5,NaN\n,2\n")

@@ -32,3 +32,23 @@ def test_stream_into_corpus(spark, tmp_path):
     assert table.before(99).count() == 2
     assert sorted(r["version"] for r in table.refused().collect() if r["source_record_id"] == "r2") == [0, 1]
     assert table.refused(1).count() == 1 and table.refused(7).count() == 0
+
+
+def test_versions_hold_what_changed_and_old_ones_go(spark, tmp_path):
+    """Six batches, a whole state every other one: any state can be read until it is let go, and a batch may be tried again."""
+    def row(k, lon, grade, value):
+        return (k, f"r{k}-{round(lon * 1e4)}", "src_a", "MASS", lon, 0.0, value, "kg_m2", None, None, None, None, None, None, None, "observed", grade, "pending", None, None)
+
+    table = CorpusTable(f"file://{tmp_path}/corpus", spark.createDataFrame([], COLUMNS), every=2)
+    bands = {"longitude": 0.001, "latitude": 0.001}
+    batches = [[row(0, 0.1 * v, "C", 1.0 + v), row(1, 0.0004, "A" if v == 3 else "C", 5.0 + v)] for v in range(6)]
+    states = []
+    for v, rows in enumerate(batches):
+        for _ in range(2 if v in (1, 4) else 1):
+            table.merge(spark.createDataFrame(rows, COLUMNS), v, bands, [])
+        states.append({r["seq"]: r["source_record_id"] for r in table.before(v + 1).collect()})
+    assert [len(x) for x in states] == [2, 3, 4, 5, 6, 7]
+    assert list(states[-1].values()).count("r1-4") == 2 and "r0-4000" in states[-1].values()  # the better record took the first slot
+    assert table._versions("whole") == [3, 5] and table._versions("changed") == [4, 5]
+    assert {r["seq"]: r["source_record_id"] for r in table.before(5).collect()} == states[4]
+    assert spark.read.parquet(table._path(4)).count() <= 3  # only what the batch touched
