@@ -216,17 +216,19 @@ def _route(shared, hot: int, longest: int):
     return run
 
 
-def _owned(longest: int) -> F.Column:
-    """Phrases of a fragment that hold its pivot, null where a place has none: slices of its bytes."""
+def _owned(sent: DataFrame, longest: int) -> DataFrame:
+    """Phrases of fragments that hold their pivot, as (lang, route, n, phrase): slices of a fragment's bytes.
+
+    Every row meets a fixed list of places a phrase may have around the pivot; expressions stay small enough for the JVM to compile.
+    """
     bits = BITS // (2 * longest - 1)
-    at = f"(cast(shiftright(shape, {BITS}) as int) - 1)"
+    places = ", ".join(f"named_struct('before', {b}, 'after', {m - 1 - b})" for m in range(2, longest + 1) for b in range(m))
     end = lambda k: f"(shiftright(shape, {bits} * ({k})) & {(1 << bits) - 1})"
-    made = ["case when shape = 0 then fragment end"]
-    for size in range(2, longest + 1):
-        for before in range(size):
-            stop, start = end(f"{at} + {size - 1 - before}"), f"case when {at} = {before} then 1 else {end(f'{at} - {before + 1}')} + 2 end"
-            made.append(f"case when shape <> 0 and {at} >= {before} and {at} + {size - 1 - before} < {2 * longest - 1} and {stop} > 0 then substring(fragment, cast({start} as int), cast({stop} + 1 - ({start}) as int)) end")
-    return F.expr(f"explode(array({', '.join(made)}))")
+    laid = sent.selectExpr("lang", "route", "n", "fragment", "shape", f"cast(shiftright(shape, {BITS}) as int) - 1 as at", f"explode(array({places})) as p")
+    laid = laid.selectExpr("lang", "route", "n", "fragment", "shape", "at - p.before as first", "at + p.after as last", "p.before = 0 and p.after = 1 as once")
+    laid = laid.filter(f"(shape = 0 and once) or (shape <> 0 and first >= 0 and last < {2 * longest - 1} and {end('last')} > 0)")
+    start = f"case when first <= 0 then 0 else {end('first - 1')} + 1 end"
+    return laid.selectExpr("lang", "route", "n", f"case when shape = 0 then fragment else substring(fragment, cast({start} + 1 as int), cast({end('last')} - {start} as int)) end as phrase")
 
 
 def _piece(start: F.Column | int, size: F.Column | int) -> F.Column:
@@ -246,7 +248,7 @@ def mined(docs: DataFrame, least: int, longest: int, slots: int, shares: int) ->
     ranks[used.column("slot").to_numpy()] = rank_of(used.column("n").to_numpy())
     hot = int(rank_of(np.array([max(least, total // shares)]))[0])
     sent = own.mapInArrow(_route(spark.sparkContext.broadcast(ranks), hot, longest), _SENT)
-    laid = sent.repartition("lang", "route").select("lang", "route", "n", _owned(longest).alias("phrase")).filter("phrase is not null")
+    laid = _owned(sent.repartition("lang", "route"), longest)
     found = laid.groupBy("lang", "route", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least).withColumn("phrase", F.col("phrase").cast("string"))
     found = materialise(found.select("lang", "phrase", F.split("phrase", " ").alias("w"), "a"), "phrase-mined")
     return words, found, whole, total
