@@ -69,7 +69,9 @@ def near_join(left: DataFrame, right: DataFrame, km: float, equal: list[str] = (
 
     met = band_join(placed(left), placed(right), {f"axis_{a}": reach for a in "xyz"}, list(equal))
     straight = reduce(lambda s, t: s + t, (F.pow(F.col(f"l_axis_{a}") - F.col(f"r_axis_{a}"), 2) for a in "xyz"))
-    met = met.filter(straight <= reach * reach).withColumn("km", haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat")))
+    # a generator of one row: what filters and bins distances reads the column, where a projection would be inlined into each of them
+    km_of = F.explode(F.array(haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"))))
+    met = met.filter(straight <= reach * reach).select("*", km_of.alias("km"))
     return met.drop(*(f"{s}_axis_{a}" for s in "lr" for a in "xyz")).filter(F.col("km") <= km)
 
 
