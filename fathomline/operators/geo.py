@@ -3,35 +3,56 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.geodesy import EARTH_KM, chord, haversine_km, on_sphere
+from fathomline.functions.geodesy import chord, haversine_km, on_sphere
 from fathomline.operators.graph import components
-from fathomline.runtime import materialise
+from fathomline.runtime import shuffle_width
+
+
+#: Rows of a cell that one key of a band join holds.
+CROWD = 1024
 
 
 def band_join(left: DataFrame, right: DataFrame, bands: dict[str, float], equal: list[str] = ()) -> DataFrame:
     """Pairs with |left.c - right.c| <= tolerance in every band and equal keys, as columns l_* and r_*.
 
     Both sides are laid on a grid twice the tolerance wide; the left side is repeated into the
-    neighbouring cells, so the join is an equi-join whatever the number of rows.
+    neighbouring cells, so the join is an equi-join whatever the number of rows. A cell of more than ``CROWD`` rows of the right
+    side is dealt into parts of that size, each of which meets the cell's left rows; as few rows make many pairs, the
+    join keeps the session's number of tasks.
     """
     a = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns))
     b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    on, exact = [], []
+    cells, exact = [], []
     for k, (name, tolerance) in enumerate(bands.items()):
         width = 2 * tolerance
         near = F.sequence(F.floor((F.col(f"l_{name}") - tolerance) / width - F.lit(1e-6)), F.floor((F.col(f"l_{name}") + tolerance) / width + F.lit(1e-6)))
         a = a.withColumn(f"_cell{k}", F.explode(near))
         b = b.withColumn(f"_home{k}", F.floor(F.col(f"r_{name}") / width))
-        on.append(F.col(f"_cell{k}") == F.col(f"_home{k}"))
+        cells.append((f"_cell{k}", f"_home{k}"))
         exact.append(F.abs(F.col(f"l_{name}") - F.col(f"r_{name}")) <= tolerance)
-    on += [F.col(f"l_{c}") == F.col(f"r_{c}") for c in equal]
-    joined = a.join(b, reduce(lambda x, y: x & y, on)).filter(reduce(lambda x, y: x & y, exact))
-    return joined.drop(*(f"_cell{k}" for k in range(len(bands))), *(f"_home{k}" for k in range(len(bands))))
+    for k, c in enumerate(equal):
+        a, b = a.withColumn(f"_same{k}", F.col(f"l_{c}")), b.withColumn(f"_as{k}", F.col(f"r_{c}"))
+        cells.append((f"_same{k}", f"_as{k}"))
+    homes = [h for _, h in cells]
+    held = b.groupBy(*homes).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("_parts"))
+    sized = lambda df, at: df.join(held.select(*(F.col(h).alias(f"{h}_") for h in homes), "_parts"), _all(F.col(c) == F.col(f"{h}_") for c, h in zip(at, homes, strict=True)))
+    one = sized(a, [c for c, _ in cells]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    two = sized(b, homes).withColumn("_of", F.pmod(F.xxhash64(*(f"r_{c}" for c in right.columns)), F.col("_parts")).cast("int"))
+    tasks = shuffle_width(left.sparkSession)
+    one = one.drop("_parts", *(f"{h}_" for h in homes)).repartition(tasks, *(c for c, _ in cells), "_part")
+    two = two.drop("_parts", *(f"{h}_" for h in homes)).repartition(tasks, *homes, "_of")
+    joined = one.join(two, _all([*(F.col(c) == F.col(h) for c, h in cells), F.col("_part") == F.col("_of")])).filter(_all(exact))
+    return joined.drop("_part", "_of", *(c for pair in cells for c in pair))
+
+
+def _all(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda x, y: x & y, conditions)
 
 
 def tolerant(a: Column, b: Column) -> Column:
@@ -82,44 +103,6 @@ def close_pairs(points: DataFrame, km: float, keep: tuple[str, ...] = ()) -> Dat
     return near_join(own, own, km).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), "km", *kept)
 
 
-def nearest_other(points: DataFrame, label: str, reach: float, within: str | None = None, tiles: int = 16) -> DataFrame:
-    """(within, label, km, a, b): for every label the least (km, a, b) of a row of its own and one of another label, however far.
-
-    Pairs come from band joins. Labels that met no other within ``reach`` km go on with twice the reach,
-    dealt over tiles, up to half the globe; bands go around the date line. Labels with no other one in their
-    ``within`` are left out, rows without a label or a place are ignored.
-    """
-    group = F.col(within) if within else F.lit("")
-    own = points.select("id", "lon", "lat", F.col(label).alias("label"), group.alias("within"))
-    own = materialise(own.filter("label is not null and not isnan(coalesce(lon + lat, double('nan')))"), "nearest-points")
-    kinds = own.select("within", "label").distinct()
-    several = kinds.groupBy("within").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    left = materialise(kinds.join(several, "within", "left_semi"), "nearest-left")
-    edge = own.agg(F.max(F.abs("lat")).alias("top"), F.min("lon").alias("west"), F.max("lon").alias("east")).first()
-    found, dealt, last = [], 1, False
-    while left.count():
-        last = reach >= math.pi * EARTH_KM
-        degree = math.degrees(reach / EARTH_KM) * (1 + 1e-9)
-        wide = min(360.0, degree / max(1e-6, math.cos(math.radians(min(89.999, edge["top"] + degree)))))
-        asked = own.join(left, ["within", "label"], "left_semi").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
-        around = own.withColumn("lon", F.explode(F.array(*(F.col("lon") + F.lit(t) for t in (-360.0, 0.0, 360.0)))))
-        around = around.filter(F.col("lon").between(edge["west"] - wide, edge["east"] + wide)).withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(dealt)).cast("int"))
-        met = band_join(asked, around, {"lat": degree, "lon": wide}, ["within", "tile"]).filter("l_label <> r_label")
-        km = haversine_km(F.col("l_lon"), F.col("l_lat"), F.col("r_lon"), F.col("r_lat"))
-        met = met.select(F.col("l_within").alias("within"), F.col("l_label").alias("label"), km.alias("km"), F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
-        if not last:
-            met = met.filter(F.col("km") <= reach)
-        best = met.groupBy("within", "label").agg(F.min(F.struct("km", "a", "b")).alias("m")).select("within", "label", "m.km", "m.a", "m.b")
-        found.append(materialise(best, "nearest-found"))
-        if last:
-            break
-        left = materialise(left.join(found[-1], ["within", "label"], "left_anti"), "nearest-left")
-        reach, dealt = 2 * reach, tiles
-    if not found:
-        return own.select("within", "label", F.lit(0.0).alias("km"), F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return reduce(DataFrame.unionAll, found)
-
-
 def single_linkage(points: DataFrame, km: float) -> DataFrame:
     """(id, cluster): the smallest id linked to each point by steps of at most ``km``."""
     label = components(close_pairs(points, km))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.operators.geo import close_pairs, nearest_other
 from fathomline.operators.merge import running_order
+from fathomline.operators.spatial import nearest_of_labels
 
 
 def random_folds(points: DataFrame, k: int, seed: int) -> DataFrame:
@@ -18,23 +18,17 @@ def random_folds(points: DataFrame, k: int, seed: int) -> DataFrame:
 def fold_separation(points: DataFrame, label: str, reach: float) -> DataFrame:
     """Smallest distance between a fold's test rows and its training rows, where below ``reach`` km.
 
-    Pairs come from a band join, never from a product of both sides; folds without a training row
-    within reach have a null distance: they are separated by at least ``reach``.
+    Folds without a training row within reach have a null distance: they are separated by at least ``reach``.
     """
-    pairs = close_pairs(points, reach)
-    named = points.select("id", F.col(label).alias("fold"))
-    met = pairs.join(named.select(F.col("id").alias("a"), F.col("fold").alias("fa")), "a").join(named.select(F.col("id").alias("b"), F.col("fold").alias("fb")), "b")
-    cross = met.filter("fa <> fb").select(F.explode(F.array("fa", "fb")).alias("fold"), "km")
-    near = cross.groupBy("fold").agg(F.min("km").alias("min_km"))
-    return named.groupBy("fold").agg(F.count(F.lit(1)).alias("test_rows")).join(near, "fold", "left")
+    return fold_distance(points, label).withColumn("min_km", F.when(F.col("min_km") <= reach, F.col("min_km")))
 
 
-def fold_distance(points: DataFrame, label: str, reach: float) -> DataFrame:
+def fold_distance(points: DataFrame, label: str, reach: float | None = None) -> DataFrame:
     """Smallest distance between a fold's test rows and its training rows, however far; null only without a training row.
 
-    ``reach`` km is where the search begins, no bound.
+    ``reach`` is no bound, and no longer where the search begins: cells of folds are cut until few pairs of them are left.
     """
-    near = nearest_other(points, label, reach).select(F.col("label").alias("fold"), F.col("km").alias("min_km"))
+    near = nearest_of_labels(points, label).select(F.col("label").alias("fold"), F.col("km").alias("min_km"))
     return points.groupBy(F.col(label).alias("fold")).agg(F.count(F.lit(1)).alias("test_rows")).join(near, "fold", "left")
 
 
