@@ -9,10 +9,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.geodesy import covered, haversine_km
-from fathomline.operators.geo import all_pairs, ordered_summary, single_linkage
+from fathomline.functions.geodesy import covered
+from fathomline.operators.geo import single_linkage
 from fathomline.operators.ingest import eligible, non_commercial
 from fathomline.operators.merge import dispositions
+from fathomline.operators.pairs import distance_order
 from fathomline.runtime import materialise
 
 
@@ -48,9 +49,7 @@ def places_report(points: DataFrame, linkage_km: float, basis: str) -> DataFrame
     missing stretch of their pairs' distances. ``basis`` says which rows these are. Pairs are made anew by each pass, never written."""
     places = materialise(points.filter("lon is not null and lat is not null").select("lon", "lat").distinct().withColumn("id", F.monotonically_increasing_id()), "places")
     clusters = single_linkage(places, linkage_km).agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("locations"))
-    p = all_pairs(places)
-    km = haversine_km(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"))
-    pairs = ordered_summary(p.select(km.alias("km")), "km")
+    pairs = distance_order(places)
     told = clusters.join(F.broadcast(pairs), F.lit(True), "left")  # single rows
     rounded = [F.bround(c, DIGITS).alias(f"{c}_km") for c in ("least", "median", "most", "gap", "gap_from", "gap_to")]
     return told.select(F.lit(basis).alias("basis"), "locations", F.lit(float(linkage_km)).alias("linkage_km"), "clusters", F.coalesce("n", F.lit(0)).cast("bigint").alias("pairs"), *rounded)
