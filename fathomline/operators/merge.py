@@ -149,6 +149,34 @@ class _Slots:
         return None
 
 
+def home_cell(bands: dict[str, float], equal: list[str]) -> list[Column]:
+    """The cell, a tolerance wide, that a row lies in: rows of a cell are close to each other. Not a number is no place."""
+    return [*(F.col(c) for c in equal), *(F.when(~F.isnan(c), F.floor(F.col(c).cast("double") / t)) for c, t in bands.items())]
+
+
+def near_cells(spots: DataFrame, slots: DataFrame, bands: dict[str, float], equal: list[str]) -> DataFrame:
+    """(cells, component) of all cells that hold a spot or lie near one: what is within the tolerances of a spot shares its component.
+
+    Cells meet by the boxes of what they hold, so their pairs are as many as the cells have neighbours, however crowded they are.
+    """
+    cell = [*(f"as_{c}" for c in equal), *(f"at_{c}" for c in bands)]
+    laid = slots.select(*equal, *bands, F.lit(0).alias("asks")).unionByName(spots.select(*equal, *bands, F.lit(1).alias("asks")))
+    laid = laid.select(*(c.alias(n) for n, c in zip(cell, home_cell(bands, equal), strict=True)), "asks", *(F.col(c).cast("double").alias(c) for c in bands))
+    box = [f(c).alias(f"{k}_{c}") for c in bands for k, f in (("lo", F.min), ("hi", F.max))]
+    held = laid.na.drop(subset=cell).groupBy(*cell).agg(F.max("asks").alias("asks"), *box)
+    held = materialise(held.withColumn("cell", F.monotonically_increasing_id()), "near-held")
+    one = held.filter("asks = 1")
+    for c, t in bands.items():
+        one = one.withColumn(f"to_{c}", F.explode(F.sequence(F.floor((F.col(f"lo_{c}") - t) / t - 1e-6), F.floor((F.col(f"hi_{c}") + t) / t + 1e-6))))
+    two = held.select(*(F.col(c).alias(f"b_{c}") for c in held.columns))
+    met = [*(F.col(f"as_{c}") == F.col(f"b_as_{c}") for c in equal), *(F.col(f"to_{c}") == F.col(f"b_at_{c}") for c in bands)]
+    met += [(F.greatest(F.col(f"b_lo_{c}") - F.col(f"hi_{c}"), F.col(f"lo_{c}") - F.col(f"b_hi_{c}")) <= t * (1 + 1e-9)) for c, t in bands.items()]
+    pairs = one.join(two, reduce(lambda x, y: x & y, met)).select(F.col("cell").alias("a"), F.col("b_cell").alias("b"))
+    label = components(pairs)
+    near = held.join(label.select(F.col("id").alias("cell"), "component"), "cell", "left")
+    return near.select(*cell, F.coalesce("component", "cell").alias("component"))
+
+
 def _decide(bands: dict[str, float], tolerant_on: list[str]):
     """Dispositions of a component's candidates in order of arrival, and its slots as they are then."""
     kept = ["evidence_class", "source_id", "source_record_id", "quality_grade", *bands, *tolerant_on]
@@ -184,14 +212,14 @@ def decisions(corpus: DataFrame, batch: DataFrame, bands: dict[str, float], tole
     ship(corpus.sparkSession)
     kept = list(dict.fromkeys(["seq", "evidence_class", "source_id", "source_record_id", "quality_grade", *bands, *tolerant_on]))
     slots, spots = corpus.select(*kept), batch.select(*kept)
-    place = ["node", "evidence_class", *bands]
-    odd = spots.withColumn("node", F.col("seq") * 2 + 1)
-    every = odd.select(*place).unionByName(slots.withColumn("node", F.col("seq") * 2).select(*place))
-    label = materialise(components(band_join(odd.select(*place), every, bands, ["evidence_class"]), "l_node", "r_node"), "upsert-label")
+    homes = materialise(near_cells(spots, slots, bands, ["evidence_class"]), "upsert-cells")
+    cell = [c for c in homes.columns if c != "component"]
 
     def labelled(rows: DataFrame, is_slot: bool) -> DataFrame:
         node = F.col("seq") * 2 + (0 if is_slot else 1)
-        return rows.withColumn("_node", node).join(label, F.col("_node") == label["id"], "left").select(*kept, F.coalesce("component", "_node").alias("group"), F.lit(is_slot).alias("is_slot"))
+        at = rows.join(homes.select(*(F.col(c).alias(f"_{c}") for c in cell), "component"), reduce(lambda x, y: x & y, (c == F.col(f"_{n}") for n, c in zip(cell, home_cell(bands, ["evidence_class"]), strict=True))), "left")
+        # rows without a cell are alone, numbered below zero
+        return at.select(*kept, F.coalesce("component", -1 - node).alias("group"), F.lit(is_slot).alias("is_slot"))
 
     waiting, state = labelled(spots, False), labelled(slots, True)
     order = Window.partitionBy("group").orderBy("seq")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from test_operators import SCHEMA, SCHEMA_NAMES, fold, rec
 
-from fathomline.operators import merge
+from fathomline.operators import graph, merge
 
 BANDS = {"longitude": 0.001, "latitude": 0.001}
 
@@ -48,6 +49,25 @@ def test_ten_thousand_replaces_in_one_chain(spark):
     assert got == want and sum(d == "Replace" for _, d in want.values()) >= 9_990
 
 
+def test_a_crowded_place_makes_few_edges(spark, monkeypatch):
+    """Closeness is told by cells, so its edges do not grow with the square of what lies at one place; nothing close is parted."""
+    r, seen = random.Random(4), []
+    monkeypatch.setattr(merge, "components", lambda edges, *a: seen.append(edges.count()) or graph.components(edges, *a))
+    place = lambda k: (k, "MASS", r.choice([0.0, 0.0004, 0.0021, 0.0095]) + r.random() * 0.001, r.choice([0.0, 0.003, -0.005]) + r.random() * 0.001)
+    schema = "seq bigint, evidence_class string, longitude double, latitude double"
+    slots, spots = [place(k) for k in range(300)], [place(1000 + k) for k in range(300)]
+    slots += [(300, "COUNT", 0.0, 0.0), (301, "MASS", None, 0.0), (302, "MASS", float("nan"), 0.0)]
+    cells = merge.near_cells(spark.createDataFrame(spots, schema), spark.createDataFrame(slots, schema), BANDS, ["evidence_class"]).collect()
+    label = {tuple(x[:3]): x["component"] for x in cells}
+    home = lambda p: label[(p[1], math.floor(p[2] / 0.001), math.floor(p[3] / 0.001))]
+    for a in spots:
+        assert all(home(a) == home(b) for b in spots + slots[:300] if abs(a[2] - b[2]) <= 0.001 and abs(a[3] - b[3]) <= 0.001)
+    assert len(set(label.values())) > 3 and label[("COUNT", 0, 0)] not in {home(a) for a in spots}
+    rows = [[rec(k, 0.0005 * r.random(), "A") for k in range(n, n + 400)] for n in (0, 1000)]
+    merge.decisions(*(spark.createDataFrame(x, SCHEMA) for x in rows), BANDS, ["cruise"])
+    assert max(seen) <= 9 * len(cells)
+
+
 def fold_fast(slots, batch):
     """Matches of the ordered fold along one line, found among the slots near a candidate."""
     from collections import defaultdict
