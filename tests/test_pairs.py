@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from fathomline.operators import pairs
@@ -79,3 +80,33 @@ def test_lag_sums_of_blocks(frame, places, monkeypatch, last):
     assert got.keys() == want.keys()
     for key in want:
         assert got[key] == pytest.approx(want[key], rel=1e-9)
+
+
+@pytest.mark.parametrize(("x0", "far"), [(0.0, 300.0), (0.4, 300.0), (0.4, 30.0), (0.0002, 300.0), (120.0, 20000.0)])
+def test_lags_of_two_blocks_part_by_part(x0, far):
+    """Few rows tell what all pairs add up to, with labels, values and places that are missing or shared."""
+    rng, edges = np.random.default_rng(5), [far * k / 5 for k in range(6)]
+
+    def block(n: int, west: float, side: int) -> pd.DataFrame:
+        at = pd.DataFrame({"side": side, "id": np.arange(n) + int(west * 1e4), "lon": west + rng.random(n) * 0.2, "lat": 10 + rng.random(n) * 0.2, "y": rng.normal(5000, 900, n)})
+        at["label"] = (at["lat"] > 10.1).astype(float)
+        at.loc[rng.random(n) < 0.1, "y"], at.loc[rng.random(n) < 0.1, "label"] = np.nan, np.nan
+        at.loc[n - 3 :, ["lon", "lat"]] = at.loc[0, ["lon", "lat"]].to_numpy()
+        return at
+
+    met = pairs.Met(block(700, 0.0, 0) if x0 == 0 else pd.concat([block(700, 0.0, 0), block(600, x0, 1)]), None)
+    la, lb = (s["label"].fillna(2).astype(int).to_numpy() for s in (met.a, met.b))
+    one = pairs.Parts(met.a, la)
+    two = one if met.own else pairs.Parts(met.b, lb)
+    got, rows = np.zeros((3, 3, 7, 4)), 0
+    for k, p, q, n, km, m, half in pairs._lags(met, one, two, edges):
+        np.add.at(got, (np.minimum(p, q), np.maximum(p, q), k), np.stack([np.ones(len(k)) if n is None else n, km, m, half], axis=1))
+        rows += len(k)
+    want, seen = np.zeros((3, 3, 7, 4)), 0
+    for straight, i, j in met.chunks(ends=True):
+        km, half = pairs.kilometres(straight), 0.5 * (met.a["y"].to_numpy()[i] - met.b["y"].to_numpy()[j]) ** 2
+        told, seen = ~np.isnan(half), seen + len(km)
+        np.add.at(want, (np.minimum(la[i], lb[j]), np.maximum(la[i], lb[j]), np.searchsorted(edges, km, "right")), np.stack([np.ones(len(km)), km, told, np.where(told, half, 0.0)], axis=1))
+    assert np.allclose(got[:, :, 1:6], want[:, :, 1:6], rtol=1e-11, atol=1e-9)
+    assert (got[:, :, 1:6, ::2] == want[:, :, 1:6, ::2]).all()
+    assert far < 300 or met.repeated or rows < seen / 2
