@@ -238,3 +238,32 @@ def test_every_row_a_fold_of_its_own(spark):
         assert near[k]["fold"] == k and near[k]["prediction"] == pytest.approx(p[0], abs=1e-5) and near[k]["sd"] == pytest.approx(sd[0], abs=1e-5)
     flat = models.kriging_cv(df.withColumn("y", F.when(F.col("id") == 3, 2.0).otherwise(1.0)), edges, 20, most=10)
     assert {(x["id"] == 3, x["refusal"]) for x in flat.filter("id in (3, 4)").collect()} == {(True, "the target is constant"), (False, None)}
+
+
+def test_spanning_edges_that_a_cell_makes_out():
+    """Of a cell's places most are joined before any scale, by edges of the whole's spanning tree only."""
+    import pandas as pd
+
+
+    rng, side = np.random.default_rng(9), 2.0**-9
+    at = np.stack([np.full(900, 0.5 + side / 2), *(rng.random((2, 900)) * 2 * side)], axis=1)  # four cells
+    rows = pd.DataFrame(at, columns=list(spatial.AXES)).assign(id=np.arange(900), label=np.arange(900) + 5000, depth=10, lon=at[:, 1], lat=at[:, 2])
+    for k, a in enumerate(spatial.AXES):
+        rows[f"c{a}"] = np.floor((at[:, k] + 1) / side).astype(int)
+    square = ((at[:, None] - at[None]) ** 2).sum(2)
+    near, to, left, whole, now = np.full(900, np.inf), np.zeros(900, int), np.ones(900, bool), set(), 0
+    left[0] = False
+    while left.any():
+        closer = left & (square[now] < near)
+        near[closer], to[closer] = square[now][closer], now
+        now = int(np.where(left, near, np.inf).argmin())
+        left[now] = False
+        whole.add((min(now, int(to[now])), max(now, int(to[now]))))
+    taken, roots = set(), set()
+    for _, cell in rows.groupby(["csx", "csy", "csz"]):
+        got = spatial._spanning_within(cell)
+        edges, placed = got[got["root"].isna()], got[got["root"].notna()]
+        taken |= set(zip(edges["a"], edges["b"], strict=True))
+        roots |= set(placed["root"])
+        assert len(placed) == len(cell) and len(cell) - len(edges) == placed["root"].nunique()
+    assert taken <= whole and len(roots) < 300
