@@ -147,9 +147,20 @@ class WordTokenizer:
         return [b"".join(map(get, ws)) for ws in split]
 
 
+_READY: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """The worker's tokenizer of a file, made once: its tables take longer to build than many a task to run."""
+    if path not in _READY:
+        _READY.clear()
+        _READY[path] = WordTokenizer(path)
+    return _READY[path]
+
+
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(path)
+        tok = _tokenizer(path)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         try:
@@ -176,8 +187,8 @@ def _cut(path: str, capacity: int, end_id: int):
                         ],
                         names=_PIECES.names,
                     )
-        finally:  # workers live on: what a task remembers goes with it
-            del tok
+        finally:  # workers live on: the words a task remembers go with it, the tables stay
+            tok.known = {}
             C.give_back()
 
     return run
