@@ -596,3 +596,12 @@ def test_a_megabyte_of_spans(rest):
     began = time.process_time()
     html_layout.page_text(page)
     assert time.process_time() - began < 20
+
+
+def test_a_worker_makes_its_tokenizer_once():
+    import public_tokenizers
+
+    from fathomline.llm import packing as own
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert own._tokenizer(path) is own._tokenizer(path)
