@@ -229,4 +229,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored below the threshold go; all columns of the others stay."""
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
+    C.give_back()
     return docs.mapInArrow(_filter(shared, THRESHOLD), docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import sys
 
@@ -19,6 +20,30 @@ def test_tables_are_written_and_discarded(spark):
     assert not os.path.isdir(path)
 
 
+def test_a_written_table_gives_the_driver_s_freed_memory_back(spark):
+    """Freed blocks below one that is still held stay with the C library until they are given back."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+
+    def held() -> int:  # MB outside the heap: its mappings lie elsewhere than the C library's
+        total, native = 0, False
+        with open(f"/proc/{pid}/smaps") as lines:
+            for line in lines:
+                if span := re.match(r"([0-9a-f]+)-[0-9a-f]+ ", line):
+                    native = int(span[1], 16) > 1 << 40
+                elif native and line.startswith("Anonymous:"):
+                    total += int(line.split()[1])
+        return total >> 10
+
+    runtime.materialise(spark.range(10), "test-runtime")
+    coders = [spark._jvm.java.util.zip.Deflater(9) for _ in range(800)]
+    for coder in coders[:-1]:
+        coder.end()
+    before = held()
+    runtime.materialise(spark.range(10), "test-runtime")
+    assert held() < before - 20
+    coders[-1].end()
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Context:
         master = "spark://somewhere:7077"
