@@ -319,6 +319,33 @@ def test_texts_score_as_bit_by_bit(monkeypatch):
     assert model.log(leaf, edge, held) == pytest.approx(got, rel=1e-4)
 
 
+def test_steps_are_cut_without_copies():
+    """Scoring passes over each predictor's odds in one run of memory: a step is a part of its piece, not gathered from it."""
+    r = random.Random(7)
+    model, leaf, edge, held = small_model([[int(r.paretovariate(0.7)) % 300 for _ in range(n)] for n in (40, 700, 2600, 1, 90)], {1})
+    steps = list(model.walk(leaf, edge, held))
+    assert len(steps) == 8 and sum(len(s[3]) for s in steps) == model.code.size[leaf].sum()
+    for _, x, gate, bit, text, _, _ in steps:
+        assert x.shape == (B.INPUTS, len(bit)) and x.strides == (x.base.shape[1] * 4, 4)
+        assert x.base is steps[0][1].base and gate.base is steps[0][2].base and bit.base is steps[0][3].base
+        assert (np.diff(text) >= 0).all()
+    mixer = small_mixer([bytes(r.choices(b"abcdef", k=5)) for _ in range(50)])
+    _, node, bit, slots = S.events(mixer.tree, *S.symbols(pa.array([b"abc", b"fed"], pa.binary())))
+    assert mixer.inputs(node, bit, slots, True)[0].shape == (S.TABLES + 1, len(bit))
+
+
+def test_words_within_leaves_by_some_texts_at_a_time(monkeypatch):
+    r = np.random.default_rng(8)
+    model, *_ = small_model([list(range(50)) * 2])
+    edge = np.concatenate([[0], np.cumsum([1, 300, 2, 40, 700, 1])])
+    leaf, token = r.integers(0, len(model.code.weight), edge[-1]), r.integers(0, 30, edge[-1])
+    share = np.log(r.random(edge[-1]))
+    whole = lm_mixing.within(model.code, leaf, token, share, edge)
+    monkeypatch.setattr(lm_mixing, "RUN", 50)
+    assert lm_mixing.within(model.code, leaf, token, share, edge) == pytest.approx(whole, rel=1e-12)
+    assert whole[1] < -10
+
+
 def test_leaves_are_a_distribution():
     r = random.Random(6)
     model, leaf, edge, _ = small_model([[r.randrange(40) for _ in range(30)] for _ in range(20)])
